@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 WORD = r"\p{L}\p{N}_"
 EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 # Unicode white space plus the four ASCII separators, as a class body.
-SPACE = r"\t\n\x0b\f\r\x1c-\x1f \x85\xa0  -     　"
-NEWLINE = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"
+SPACE = r"\t\n\x0b\f\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+NEWLINE = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def trim_ws(col: Column) -> Column:
@@ -29,10 +29,11 @@ def tokens(lowered: Column) -> Column:
 
 
 def trigrams(toks: Column) -> Column:
-    """Array of space-joined token trigrams; needs at least three tokens."""
-    return F.transform(
+    """Array of space-joined token trigrams; null below three tokens."""
+    grams = F.transform(
         F.sequence(F.lit(1), F.size(toks) - 2), lambda i: F.array_join(F.slice(toks, i, F.lit(3)), " ")
     )
+    return F.when(F.size(toks) >= 3, grams)
 
 
 def bank_regex(patterns: list[str]) -> str:

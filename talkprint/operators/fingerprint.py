@@ -54,10 +54,12 @@ def opening_tokens(turns: DataFrame, role: str = "user", n: int = 2) -> DataFram
 
 def repeating_turns(turns: DataFrame, role: str = "user", limit: int = TRIGRAM_LIMIT) -> DataFrame:
     """Per dialogue, the number of turns holding a trigram seen more than ``limit`` times."""
+    # The outer form keeps the optimizer from adding a size filter that would be
+    # pushed below the projection and tokenise every turn twice.
     grams = (
         turn_tokens(turns, role)
-        .where(F.size("tokens") >= 3)
-        .select("dialog_id", "turn", F.explode(T.trigrams(F.col("tokens"))).alias("gram"))
+        .select("dialog_id", "turn", F.explode_outer(T.trigrams(F.col("tokens"))).alias("gram"))
+        .where(F.col("gram").isNotNull())
     )
     frequent = grams.groupBy("dialog_id", "gram").count().where(F.col("count") > limit)
     return (
