@@ -78,3 +78,16 @@ def identifier_count(content: Column) -> Column:
             rf"|(?:\G|(?<!{solid})){solid}+@{solid}+\.{solid}+"
         ),
     )
+
+
+def fixed(col: Column, digits: int) -> Column:
+    """``digits`` decimals, exact binary ties to even (``format_string`` alone rounds them up)."""
+    x = col.cast("double")
+    tie = F.abs(x) * float(2 ** (digits + 1)) % 2.0 == 1.0
+    return F.format_string(f"%.{digits}f", F.when(tie, F.bround(x, digits)).otherwise(x))
+
+
+def indent(col: Column, prefix: str = "\t") -> Column:
+    """Prefix every non-blank line."""
+    line_start = rf"(\A|{NEWLINE})(?=[^\n\r]*[^{SPACE}])"
+    return F.regexp_replace(col, line_start, "$1" + prefix)
