@@ -110,10 +110,14 @@ def fit_scaler(points: DataFrame, dim: int, vec: str = "vec", floor: float = 1e-
 
 
 def apply_scaler(points: DataFrame, scaler: DataFrame, dim: int, vec: str = "vec") -> DataFrame:
-    """z-score ``vec``; the scaler is a one-row scalar subquery, not a join."""
-    fitted = points.withColumn("_s", scaler.select(F.struct("mu", "sd")).scalar())
-    z = F.array(*[(F.col(vec)[i] - F.col("_s.mu")[i]) / F.col("_s.sd")[i] for i in range(dim)])
-    return fitted.withColumn(vec, z).drop("_s")
+    """z-score ``vec``.
+
+    The fitted scaler is a model of ``2 * dim`` numbers, so it is read once and
+    becomes constants of the projection, as a fitted ML stage does.
+    """
+    fit = scaler.first()
+    z = [(F.col(vec)[i] - F.lit(fit["mu"][i])) / F.lit(fit["sd"][i]) for i in range(dim)]
+    return points.withColumn(vec, F.array(*z))
 
 
 def half_width(x: Column) -> Column:

@@ -1 +1,6 @@
-"""talkprint.plans"""
+"""All registered queries."""
+
+from talkprint.plans import fingerprints
+from talkprint.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "fingerprints"]

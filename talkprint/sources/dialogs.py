@@ -30,12 +30,9 @@ def _records(spark: SparkSession, path, layout: str, what: str) -> DataFrame:
     if layout == "lines":
         return raw.select("file", F.monotonically_increasing_id().alias("i"), "v")
     is_array = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
-    checked = raw.select("file", _fail(~is_array, f"{what} file must be a JSON array", F.col("v")).alias("v"))
-    checked.createOrReplaceTempView("_talkprint_records")
-    return spark.sql(
-        "select file, cast(e.pos as bigint) as i, e.value as v "
-        "from _talkprint_records, lateral variant_explode(v) as e"
-    )
+    checked = raw.select("file", _fail(~is_array, f"{what} file must be a JSON array", F.col("v")).alias("whole"))
+    items = checked.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
+    return items.select("file", F.col("pos").cast("long").alias("i"), F.col("value").alias("v"))
 
 
 def read_dialogs(spark: SparkSession, path, layout: str = "array") -> DataFrame:
@@ -153,12 +150,15 @@ def read_text_dialogs(spark: SparkSession, path, separator: str = "---") -> Data
     ).where(F.size("conversation") > 0)
 
 
-def read_keyed_dialogs(spark: SparkSession, path, domain: str) -> DataFrame:
-    """``(instance_id, conversation)`` of an object keyed by instance id, for the
-    keys opening with ``<domain>_``; entries without turns drop."""
-    raw = spark.read.option("singleVariantColumn", "v").option("multiLine", True).json(path)
-    raw.createOrReplaceTempView("_talkprint_keyed")
-    rows = spark.sql("select e.key as instance_id, e.value as v from _talkprint_keyed, lateral variant_explode(v) as e")
+def read_keyed_dialogs(spark: SparkSession, path, domain: str, layout: str = "object") -> DataFrame:
+    """``(instance_id, conversation)`` of objects keyed by instance id, for the
+    keys opening with ``<domain>_``; entries without turns drop.
+
+    ``object`` is one object per file, ``lines`` one (smaller) object per line.
+    """
+    raw = spark.read.option("singleVariantColumn", "whole").option("multiLine", layout == "object").json(path)
+    items = raw.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
+    rows = items.select(F.col("key").alias("instance_id"), F.col("value").alias("v"))
     trace = F.try_variant_get("v", F.lit("$.conversation"), f"array<{TURN}>")
     return rows.where(F.startswith("instance_id", F.lit(domain + "_"))).select(
         "instance_id", trace.alias("conversation")
