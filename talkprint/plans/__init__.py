@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from talkprint.plans import fingerprints
+from talkprint.plans import cleaning, fingerprints
 from talkprint.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "fingerprints"]
+__all__ = ["ORACLE", "QUERIES", "cleaning", "fingerprints"]
