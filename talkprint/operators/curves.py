@@ -27,7 +27,7 @@ def nearest_attempt(val: DataFrame, train: DataFrame, keys: list[str] = ()) -> D
     idx = attempt_index(train, keys).withColumn("_t", F.lit(True))
     both = (
         val.select(*keys, "iteration").distinct().join(idx, [*keys, "iteration"], "full")
-        .join(val.select(*keys, "iteration").distinct().withColumn("_v", F.lit(True)), [*keys, "iteration"], "left")
+        .join(val.select(*keys, "iteration").distinct().withColumn("_wanted", F.lit(True)), [*keys, "iteration"], "left")
     )
     it = F.col("iteration")
     here = F.when(F.col("_t"), F.struct("iteration", "attempt"))
@@ -36,7 +36,7 @@ def nearest_attempt(val: DataFrame, train: DataFrame, keys: list[str] = ()) -> D
     upper = running_max(mirrored, keys, "_neg", F.when(F.col("_t"), F.struct(F.col("_neg").alias("n"), "attempt")), "hi")
     below, above = it - F.col("lo.iteration"), -F.col("hi.n") - it
     pick = F.when(F.col("hi").isNull() | (below <= above), F.col("lo.attempt")).otherwise(F.col("hi.attempt"))
-    return upper.where("_v").select(*keys, "iteration", F.coalesce(pick, it).alias("attempt"))
+    return upper.where("_wanted").select(*keys, "iteration", F.coalesce(pick, it).alias("attempt"))
 
 
 def finite(col: str) -> Column:
