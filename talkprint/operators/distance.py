@@ -1,7 +1,8 @@
 """Mean pairwise distance, two-sided coverage, cloud compression and projection.
 
 Pairs of points are never rows.  Clouds are first reduced to distinct vectors
-with weights, so any number of copies costs one point.  Points then fall into
+with weights, so any number of copies costs one point; that table is written to
+the shared folder because every block of it is read many times.  Points fall into
 hash blocks of bounded size, blocks meet in a grid of cells, and one Arrow
 kernel per cell returns sums or minima.  Work is spread evenly over the cells
 and nothing is collected or broadcast.
@@ -16,21 +17,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkprint.sources.shared import settle
+
 BLOCK_ROWS = 2048
 
 
-def _n_blocks(points: DataFrame, keys: list[str], block_rows: int):
-    """Scalar: how many blocks the distinct vectors of ``points`` fill."""
-    n = F.greatest(F.ceil(F.count("vec") / block_rows), F.lit(1)).cast("int")
-    return points.select(*keys, "vec").distinct().select(n).scalar()
+def _blocks(points: DataFrame, keys: list[str], block_rows: int) -> tuple[DataFrame, int]:
+    """Distinct vectors with weight ``w`` in hash blocks ``blk`` of about ``block_rows``,
+    and the number of blocks.
+
+    Every block meets many others, so the distinct table is written once.
+    """
+    distinct = settle(points.groupBy(*keys, "vec").agg(F.count("*").alias("w")), "cloud")
+    n_blk = max(1, -(-distinct.count() // block_rows))
+    return distinct.withColumn("blk", F.pmod(F.xxhash64(*keys, "vec"), F.lit(n_blk)).cast("int")), n_blk
 
 
-def _blocks(points: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
-    """Distinct vectors with weight ``w`` in ``n_blk`` hash blocks of about ``block_rows``."""
-    distinct = points.groupBy(*keys, "vec").agg(F.count("*").alias("w"))
-    return distinct.withColumn("n_blk", _n_blocks(points, keys, block_rows)).withColumn(
-        "blk", F.pmod(F.xxhash64(*keys, "vec"), F.col("n_blk")).cast("int")
-    )
+def _every(n_blk: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(n_blk - 1)))
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
@@ -62,13 +66,13 @@ def reference_spread(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
 
     1.0 below two points or when the cloud has no spread.
     """
-    blocks = _blocks(points, [], block_rows)
-    cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1))).select(
+    blocks, n_blk = _blocks(points.select("vec"), [], block_rows)
+    cells = blocks.withColumn("other", _every(n_blk)).select(
         F.least("blk", "other").alias("ci"), F.greatest("blk", "other").alias("cj"), "blk", "w", "vec"
     )
     parts = cells.groupBy("ci", "cj").applyInPandas(_spread_cell, "part double")
     pairs_sum = parts.agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("s"))
-    n = points.agg(F.count("*").alias("n")).withColumn("s", pairs_sum.scalar())
+    n = blocks.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n")).withColumn("s", pairs_sum.scalar())
     mean = F.col("s") / (F.col("n") * (F.col("n") - 1) / 2.0)
     return n.select("n", F.when((F.col("n") >= 2) & (mean > 1e-9), mean).otherwise(F.lit(1.0)).alias("d_ref"))
 
@@ -106,18 +110,12 @@ def _nearest_cell(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def coverage_error(p: DataFrame, h: DataFrame, by: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(by, err)`` with err = mean_h min_p d + mean_p min_h d for every group of ``p``."""
-    pts, hum = p.select(F.col(by).alias("grp"), "vec"), h.select("vec")
-    pb, hb = _blocks(pts, ["grp"], block_rows), _blocks(hum, [], block_rows)
+    pb, n_p = _blocks(p.select(F.col(by).alias("grp"), "vec"), ["grp"], block_rows)
+    hb, n_h = _blocks(h.select("vec"), [], block_rows)
     grp_type = dict(pb.dtypes)["grp"]
-
-    def every(n_blocks):
-        return F.explode(F.sequence(F.lit(0), n_blocks - 1))
-
-    left = pb.withColumn("_n", _n_blocks(hum, [], block_rows)).select(
-        F.col("blk").alias("cp"), every(F.col("_n")).alias("ch"), F.lit(0).alias("side"), "grp", "blk", "w", "vec"
-    )
-    right = hb.withColumn("_n", _n_blocks(pts, ["grp"], block_rows)).select(
-        every(F.col("_n")).alias("cp"), F.col("blk").alias("ch"), F.lit(1).alias("side"),
+    left = pb.select(F.col("blk").alias("cp"), _every(n_h).alias("ch"), F.lit(0).alias("side"), "grp", "blk", "w", "vec")
+    right = hb.select(
+        _every(n_p).alias("cp"), F.col("blk").alias("ch"), F.lit(1).alias("side"),
         F.lit(None).cast(grp_type).alias("grp"), "blk", "w", "vec",
     )
     minima = (

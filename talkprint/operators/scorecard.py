@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from talkprint.functions.banks import FEATURES
 from talkprint.operators import stats
-from talkprint.operators.distance import mean_task_chamfer, overall_chamfer, reference_spread
+from talkprint.operators.distance import compress_cloud, mean_task_chamfer, overall_chamfer, reference_spread
+from talkprint.sources.shared import settle
 
 # --- fixed values: report order and labels -----------------------------------
 CONDITIONS = ["default", "dp", "initial", "evolved"]
@@ -54,10 +55,8 @@ class Cloud:
         self.scaler = (
             stats.fit_scaler(stats.assemble(scale_from, self.features), self.dim) if standardize else None
         )
-        self.points = self.place(humans).select("vec")
+        self.points = settle(self.place(humans).select("vec"), "points")
         if compress:
-            from talkprint.operators.distance import compress_cloud
-
             self.points = compress_cloud(self.points, compress)
         self.spread = reference_spread(self.points)
         self.ref_stats = stats.population_stats(

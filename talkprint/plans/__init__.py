@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from talkprint.plans import cleaning, files, fingerprints, rendering, splitting, training
+from talkprint.plans import cleaning, files, fingerprints, rendering, scoring, splitting, training
 from talkprint.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "cleaning", "files", "fingerprints", "rendering", "splitting", "training"]
+__all__ = ["ORACLE", "QUERIES", "cleaning", "files", "fingerprints", "rendering", "scoring", "splitting", "training"]

@@ -6,9 +6,6 @@ type and id choose a phrase: one dialogue per user and ten-day bucket, ordered
 by ``event_id``, which is unique and follows ``ts``.
 """
 
-import uuid
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,14 +60,6 @@ def with_r6(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[r6(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared one; a temporary folder only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = tempfile.mkdtemp(prefix="talkprint-")
-    return f"{base.rstrip('/')}/talkprint/{name}-{uuid.uuid4().hex}"
-
-
 # ------------------------------------------------------------------ SQL side
 
 W = r"\p{L}\p{N}_"

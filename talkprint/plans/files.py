@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from talkprint.functions.banks import FEATURES
 from talkprint.operators.fingerprint import fingerprint, individual_fingerprints
 from talkprint.operators.stats import population_stats
-from talkprint.plans.bindings import CONV, PHRASE, SPACE, conv_turns, phrase_turns, scratch, sql_fp, sql_r6, table, with_r6
+from talkprint.plans.bindings import CONV, PHRASE, SPACE, conv_turns, phrase_turns, sql_fp, sql_r6, table, with_r6
 from talkprint.plans.registry import query
 from talkprint.sources import dialogs as D
 from talkprint.sources import tables as T
+from talkprint.sources.shared import scratch
 
 
 @query("a01_read_dialogs", f"WITH {CONV} SELECT dialog_id::VARCHAR AS dialog_id, turn, role, content FROM turns")
