@@ -109,7 +109,8 @@ def _nearest_cell(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def coverage_error(p: DataFrame, h: DataFrame, by: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(by, err)`` with err = mean_h min_p d + mean_p min_h d for every group of ``p``."""
+    """``(by, err)`` with err = mean_h min_p d + mean_p min_h d for every group of ``p``,
+    null when ``h`` is empty.  ``by`` must be non-null."""
     pb, n_p = _blocks(p.select(F.col(by).alias("grp"), "vec"), ["grp"], block_rows)
     hb, n_h = _blocks(h.select("vec"), [], block_rows)
     grp_type = dict(pb.dtypes)["grp"]
@@ -125,26 +126,25 @@ def coverage_error(p: DataFrame, h: DataFrame, by: str, block_rows: int = BLOCK_
         .groupBy("side", "grp", "blk", "idx")
         .agg(F.min("d").alias("d"), F.first("w").alias("w"))
     )
-    return (
+    err = (
         minima.groupBy("grp", "side")
         .agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("mean_d"))
-        .groupBy(F.col("grp").alias(by))
+        .groupBy("grp")
         .agg(F.sum("mean_d").alias("err"))
     )
+    return pb.select("grp").distinct().join(err, "grp", "left").withColumnRenamed("grp", by)
 
 
 def chamfer(p: DataFrame, h: DataFrame, d_ref: DataFrame, by: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(by, chamfer)`` in [0, 1] for every group of ``p`` against cloud ``h``.
 
     ``d_ref`` is a one-row DataFrame with that column (:func:`reference_spread`).
-    Groups score 0 when ``h`` is empty or ``d_ref`` is not positive.  ``by``
-    must be non-null.
+    Groups score 0 when ``h`` is empty or ``d_ref`` is not positive.
     """
-    err = coverage_error(p, h, by, block_rows)
-    scored = p.select(by).distinct().join(err, by, "left").withColumn("_d", d_ref.select("d_ref").scalar())
+    scored = coverage_error(p, h, by, block_rows).withColumn("_d", d_ref.select("d_ref").scalar())
     score = F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), F.col("err") / (2.0 * F.col("_d"))))
     return scored.select(
-        by, F.coalesce(F.when(F.col("_d") > 0, score), F.lit(0.0)).alias("chamfer")
+        by, F.coalesce(F.when((F.col("_d") > 0) & F.col("err").isNotNull(), score), F.lit(0.0)).alias("chamfer")
     )
 
 
@@ -172,13 +172,11 @@ def compress_cloud(points: DataFrame, k: int, restarts: int = 10, seed: int = 0)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    if not 0 < k < points.count():
-        return points.select("vec")
-    data = points.select(array_to_vector("vec").alias("features")).persist()
-    try:
-        fits = [KMeans(k=k, seed=seed + i).fit(data) for i in range(restarts)]
-    finally:
-        data.unpersist()
+    settled = settle(points.select("vec"), "cloud")
+    if not 0 < k < settled.count():
+        return settled
+    data = settled.select(array_to_vector("vec").alias("features"))
+    fits = [KMeans(k=k, seed=seed + i).fit(data) for i in range(restarts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     rows = [([float(x) for x in c],) for c in best.clusterCenters()]
     return points.sparkSession.createDataFrame(rows, "vec array<double>")

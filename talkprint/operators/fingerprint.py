@@ -9,11 +9,10 @@ Plan, and why it holds when one dialogue owns a large share of all rows:
   Spark combines on the map side;
 * the two opening turns come from ``row_number() <= 2``, which Spark prunes to
   two rows per dialogue and task before the shuffle;
-* trigrams are counted by ``(dialog_id, trigram)``, again map-side combined,
-  and the few repeating ones go back to the turns by a semi-join whose large
-  side AQE may split.
+* trigrams are counted inside blocks of 64 turns, and only dialogues that reach
+  past their first block send counts on (see :func:`repeating_turns`).
 
-No step gathers a dialogue in one task.
+No step gathers a long dialogue in one task.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -23,6 +22,7 @@ from talkprint.functions import text as T
 from talkprint.functions.banks import ACKNOWLEDGMENTS, BANKS, FEATURES
 
 TRIGRAM_LIMIT = 3
+BLOCK = 64  # turns per block: their set fits the bits of a long
 
 
 def mark_turns(turns: DataFrame, role: str = "user") -> DataFrame:
@@ -52,23 +52,51 @@ def opening_tokens(turns: DataFrame, role: str = "user", n: int = 2) -> DataFram
     return first.groupBy("dialog_id").agg(F.sum("n_tokens").alias("first_tokens"))
 
 
+def _block_grams(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, gram, n, mask)``: trigram counts per key and the turns of the block
+    holding each, as a 64-bit mask.
+
+    The texts move by ``keys``; trigrams are cut after that and counted in the
+    same stage, so they never travel.
+    """
+    toks = rows.repartition(*keys).select(*keys, "bit", T.tokens(F.lower("content")).alias("tokens"))
+    cut = toks.select(*keys, "bit", T.explode_trigrams("tokens").alias("g")).where(F.col("g").isNotNull())
+    grams = cut.select(*keys, "bit", T.trigram_text("g").alias("gram"))
+    return grams.groupBy(*keys, "gram").agg(
+        F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")
+    )
+
+
 def repeating_turns(turns: DataFrame, role: str = "user", limit: int = TRIGRAM_LIMIT) -> DataFrame:
-    """Per dialogue, the number of turns holding a trigram seen more than ``limit`` times."""
-    # The outer form keeps the optimizer from adding a size filter that would be
-    # pushed below the projection and tokenise every turn twice.
-    grams = (
-        turn_tokens(turns, role)
-        .select("dialog_id", "turn", F.explode_outer(T.trigrams(F.col("tokens"))).alias("gram"))
-        .where(F.col("gram").isNotNull())
+    """Per dialogue, the number of turns holding a trigram seen more than ``limit`` times.
+
+    Turns fall into blocks of 64.  A dialogue inside the first block, the usual
+    case, is finished where its text lands.  Longer ones are counted per block,
+    the counts meet by ``(dialog_id, gram)`` with map-side combining, and the
+    repeating ones go back to the blocks by a semi-join; however long a dialogue
+    is, no task holds more than a block of it.
+    """
+    said = spoken_turns(turns, role).select(
+        "dialog_id", "content", F.floor(F.col("turn") / BLOCK).alias("blk"),
+        F.pmod("turn", F.lit(BLOCK)).cast("int").alias("bit"),
     )
-    frequent = grams.groupBy("dialog_id", "gram").count().where(F.col("count") > limit)
-    return (
-        grams.join(frequent, ["dialog_id", "gram"], "left_semi")
-        .groupBy("dialog_id", "turn")
-        .count()
+    beyond = said.where(F.col("blk") != 0).select("dialog_id").distinct()
+
+    short = _block_grams(said.where(F.col("blk") == 0).join(beyond, "dialog_id", "left_anti"), ["dialog_id"])
+    in_one = short.where(F.col("n") > limit).groupBy("dialog_id").agg(
+        F.bit_count(F.bit_or("mask")).cast("long").alias("n_repeating")
+    )
+
+    counted = _block_grams(said.join(beyond, "dialog_id", "left_semi"), ["dialog_id", "blk"])
+    frequent = counted.groupBy("dialog_id", "gram").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    in_many = (
+        counted.join(frequent, ["dialog_id", "gram"], "left_semi")
+        .groupBy("dialog_id", "blk")
+        .agg(F.bit_count(F.bit_or("mask")).alias("n"))
         .groupBy("dialog_id")
-        .agg(F.count("*").alias("n_repeating"))
+        .agg(F.sum("n").cast("long").alias("n_repeating"))
     )
+    return in_one.unionByName(in_many)
 
 
 def fingerprint(

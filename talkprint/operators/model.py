@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from talkprint.functions.banks import FEATURES
 from talkprint.operators.splits import stratified_folds
+from talkprint.sources.shared import settle
 
 # --- fixed values: forest defaults -------------------------------------------
 NUM_TREES = 200
@@ -100,7 +101,7 @@ def cross_validation(
     data = class_weights(training_set(human, simulated, features))
     n = data.count()
     k = min(5, max(2, n // 2)) if n >= 4 else 0
-    folded = stratified_folds(data, "label", "row_id", max(k, 1)).persist()
+    folded = settle(stratified_folds(data, "label", "row_id", max(k, 1)), "folds")
     spark = data.sparkSession
     parts = [spark.createDataFrame([], "fold int, auc double")]
     for fold in range(k):

@@ -74,10 +74,9 @@ def sample_bounds(df: DataFrame, col: str, buckets: int) -> list:
     """At most ``buckets - 1`` split points for ``col``: the values with the
     smallest hashes, an even and repeatable sample.  Only these reach the driver."""
     picked = (
-        df.select(col).where(F.col(col).isNotNull()).distinct()
-        .orderBy(F.xxhash64(col), col).limit(max(buckets - 1, 1)).collect()
+        df.select(col).where(F.col(col).isNotNull()).orderBy(F.xxhash64(col), col).limit(max(buckets - 1, 1)).collect()
     )
-    return sorted(r[0] for r in picked)
+    return sorted({r[0] for r in picked})
 
 
 def range_bucket(col: Column, bounds: list) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkprint.operators.ordering import hash_rank, value_rank
+from talkprint.sources.shared import settle
 
 
 def split(tasks: DataFrame, id_col: str, test: float = 0.2, val: float = 0.2, seed: int = 42) -> DataFrame:
@@ -85,7 +86,7 @@ def group_sides(df: DataFrame, key: str, train_frac: float = 0.75, tie_seed: int
     histogram of sizes is folded in order, at most sqrt(2 * rows) rows; every
     group then finds its side from its rank among groups of its size.
     """
-    sizes = df.groupBy(F.col(key)).agg(F.count("*").alias("size"))
+    sizes = settle(df.groupBy(F.col(key)).agg(F.count("*").alias("size")), "sizes")
     hist = sizes.groupBy("size").agg(F.count("*").alias("n"))
     rules = hist.coalesce(1).mapInPandas(
         _pack_sizes(train_frac), "size long, first_train boolean, lead long"

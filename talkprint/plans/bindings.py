@@ -2,8 +2,8 @@
 
 ``conversations`` are dialogues as they are.  Their text fires few pattern
 banks, so ``events`` serve as a second set of dialogues in which the event
-type and id choose a phrase: one dialogue per user and ten-day bucket, ordered
-by ``event_id``, which is unique and follows ``ts``.
+type and id choose a phrase.  Every hundred consecutive events make dialogues of
+1, 3, 16 and 80 turns.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +27,8 @@ PHRASES = {
     "view": ["i want my money back now please", "i want my money back now please", "huh?", "   "],
 }
 
+STARTS = [0, 1, 4, 20]  # where a dialogue begins among a hundred events
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -43,10 +45,13 @@ def phrase_turns(spark, d) -> DataFrame:
     for kind, texts in PHRASES.items():
         for i, t in enumerate(texts):
             content = F.when((F.col("event_type") == kind) & (F.col("event_id") % 4 == i), t).otherwise(content)
-    bucket = F.floor((F.dayofmonth("ts") - 1) / 10).cast("string")
+    place = F.col("event_id") % 100
+    start = F.lit(0)
+    for first in STARTS[1:]:
+        start = F.when(place >= first, first).otherwise(start)
     return table(spark, d, "events").select(
-        F.concat_ws("_", F.col("user_id").cast("string"), bucket).alias("dialog_id"),
-        F.col("event_id").alias("turn"), F.lit("user").alias("role"), content.alias("content"),
+        (F.floor(F.col("event_id") / 100) * 100 + start).alias("dialog_id"), (place - start).alias("turn"),
+        F.lit("user").alias("role"), content.alias("content"),
     )
 
 
@@ -100,9 +105,9 @@ def sql_ids(col: str) -> str:
 
 
 CONV = "turns AS (SELECT conv_id AS dialog_id, turn, role, text AS content FROM conversations)"
+_START = "CASE WHEN event_id % 100 >= 20 THEN 20 WHEN event_id % 100 >= 4 THEN 4 WHEN event_id % 100 >= 1 THEN 1 ELSE 0 END"
 PHRASE = (
-    "turns AS (SELECT user_id || '_' || CAST(floor((day(ts) - 1) / 10) AS BIGINT) AS dialog_id, event_id AS turn, "
-    "'user' AS role, CASE "
+    f"turns AS (SELECT event_id // 100 * 100 + {_START} AS dialog_id, event_id % 100 - {_START} AS turn, 'user' AS role, CASE "
     + " ".join(
         f"WHEN event_type = '{k}' AND event_id % 4 = {i} THEN {lit(t)}" for k, ts in PHRASES.items() for i, t in enumerate(ts)
     )
