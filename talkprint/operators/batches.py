@@ -110,9 +110,8 @@ def pad_personas(personas: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("task_id")
     kept = (
         near.withColumn("_valid", F.sum(valid.cast("int")).over(w))
-        .withColumn("_chk", F.when(F.col("_valid") == 0, F.raise_error(F.lit("a task has no valid persona"))))
-        .where(valid & F.col("_chk").isNull())
+        .where(F.when(F.col("_valid") == 0, F.raise_error(F.lit("a task has no valid persona"))).otherwise(valid))
         .withColumn("_i", F.row_number().over(w.orderBy("pos")) - 1)
     )
     copies = F.explode(F.sequence(F.col("_i"), F.lit(n - 1), F.col("_valid").cast("int")))
-    return kept.withColumn("slot", copies).drop("_rn", "_valid", "_chk", "_i", "pos")
+    return kept.withColumn("slot", copies).drop("_rn", "_valid", "_i", "pos")

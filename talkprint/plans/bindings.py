@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkprint.functions.banks import ACKNOWLEDGMENTS, BANKS, FEATURES
+from talkprint.sources.shared import spread_small
 
 PHRASES = {
     "click": ["please send it, thanks", "ok", "definitely #A1B2C order 12345678", "what do you mean"],
@@ -35,9 +36,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def conv_turns(spark, d) -> DataFrame:
-    return table(spark, d, "conversations").select(
+    rows = table(spark, d, "conversations").select(
         F.col("conv_id").alias("dialog_id"), "turn", "role", F.col("text").alias("content")
     )
+    return spread_small(rows, f"{d}/conversations.parquet", "dialog_id")
 
 
 def phrase_turns(spark, d) -> DataFrame:
@@ -49,20 +51,24 @@ def phrase_turns(spark, d) -> DataFrame:
     start = F.lit(0)
     for first in STARTS[1:]:
         start = F.when(place >= first, first).otherwise(start)
-    return table(spark, d, "events").select(
+    rows = table(spark, d, "events").select(
         (F.floor(F.col("event_id") / 100) * 100 + start).alias("dialog_id"), (place - start).alias("turn"),
         F.lit("user").alias("role"), content.alias("content"),
     )
+    return spread_small(rows, f"{d}/events.parquet", "dialog_id")
 
 
-def r6(col, name: str | None = None):
-    """Round to six digits and drop the sign of zero."""
-    out = F.round(F.col(col) if isinstance(col, str) else col, 6) + F.lit(0.0)
+RATE_DIGITS = 8  # shares of small counts end within these digits, so they never sit on a rounding edge
+
+
+def r6(col, name: str | None = None, digits: int = 6):
+    """Round and drop the sign of zero."""
+    out = F.round(F.col(col) if isinstance(col, str) else col, digits) + F.lit(0.0)
     return out.alias(name or col)
 
 
-def with_r6(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*[r6(c) if c in cols else F.col(c) for c in df.columns])
+def with_r6(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
+    return df.select(*[r6(c, digits=digits) if c in cols else F.col(c) for c in df.columns])
 
 
 # ------------------------------------------------------------------ SQL side
@@ -151,8 +157,8 @@ def sql_fp(turns: str = CONV, role: str = "user", features: list[str] = FEATURES
 {p}fp AS (SELECT dialog_id, n_messages, {outs} FROM {p}dialogs LEFT JOIN {p}agg USING (dialog_id) LEFT JOIN {p}rep USING (dialog_id))"""
 
 
-def sql_r6(cols: list[str]) -> str:
-    return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in cols)
+def sql_r6(cols: list[str], digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
 
 
 def sql_list(cols: list[str], prefix: str = "") -> str:

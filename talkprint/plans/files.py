@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talkprint.functions.banks import FEATURES
 from talkprint.operators.fingerprint import fingerprint, individual_fingerprints
 from talkprint.operators.stats import population_stats
-from talkprint.plans.bindings import CONV, PHRASE, SPACE, conv_turns, phrase_turns, sql_fp, sql_r6, table, with_r6
+from talkprint.plans.bindings import CONV, PHRASE, RATE_DIGITS, SPACE, conv_turns, phrase_turns, sql_fp, sql_r6, table, with_r6
 from talkprint.plans.registry import query
 from talkprint.sources import dialogs as D
 from talkprint.sources import tables as T
@@ -85,21 +85,21 @@ def a05(spark, d):
 @query(
     "a06_reference_stats",
     f"WITH {sql_fp(CONV)} " + " UNION ALL ".join(
-        f"SELECT 'conversations' AS source, 'chat' AS domain, '{f}' AS feature, round(avg({f}), 6) + 0.0 AS mean, NULL::DOUBLE AS std, count(*) AS n FROM fp" for f in FEATURES
+        f"SELECT 'conversations' AS source, 'chat' AS domain, '{f}' AS feature, round(avg({f}), {RATE_DIGITS}) + 0.0 AS mean, NULL::DOUBLE AS std, count(*) AS n FROM fp" for f in FEATURES
     ),
 )
 def a06(spark, d):
     path = scratch(spark, "stats")
     old_layout = population_stats(fingerprint(conv_turns(spark, d)), "conversations", "chat").drop("std")
     T.save_stats(old_layout, path)
-    return with_r6(T.load_stats(spark, path), ["mean"]).select("source", "domain", "feature", "mean", "std", "n")
+    return with_r6(T.load_stats(spark, path), ["mean"], RATE_DIGITS).select("source", "domain", "feature", "mean", "std", "n")
 
 
-@query("a07_individual_fingerprints", f"WITH {sql_fp(PHRASE)} SELECT dialog_id, n_messages, {sql_r6(FEATURES)} FROM fp WHERE n_messages >= 2")
+@query("a07_individual_fingerprints", f"WITH {sql_fp(PHRASE)} SELECT dialog_id, n_messages, {sql_r6(FEATURES, RATE_DIGITS)} FROM fp WHERE n_messages >= 2")
 def a07(spark, d):
     path = scratch(spark, "fingerprints")
     T.write_table(individual_fingerprints(fingerprint(phrase_turns(spark, d))), path)
-    return with_r6(spark.read.parquet(path), FEATURES)
+    return with_r6(spark.read.parquet(path), FEATURES, RATE_DIGITS)
 
 
 @query(
@@ -174,9 +174,9 @@ def a12(spark, d):
 
 @query(
     "a13_human_fallback",
-    f"""WITH {sql_fp(CONV)} SELECT 'individual' AS source, dialog_id::VARCHAR AS dialog_id, {sql_r6(FEATURES)} FROM fp WHERE n_messages >= 2
-    UNION ALL SELECT 'episodes', dialog_id::VARCHAR, {sql_r6(FEATURES)} FROM fp
-    UNION ALL SELECT 'mean', 'mean', {', '.join(f'round(avg({f}), 6) + 0.0' for f in FEATURES)} FROM fp""",
+    f"""WITH {sql_fp(CONV)} SELECT 'individual' AS source, dialog_id::VARCHAR AS dialog_id, {sql_r6(FEATURES, RATE_DIGITS)} FROM fp WHERE n_messages >= 2
+    UNION ALL SELECT 'episodes', dialog_id::VARCHAR, {sql_r6(FEATURES, RATE_DIGITS)} FROM fp
+    UNION ALL SELECT 'mean', 'mean', {', '.join(f'round(avg({f}), {RATE_DIGITS}) + 0.0' for f in FEATURES)} FROM fp""",
 )
 def a13(spark, d):
     turns = conv_turns(spark, d)
@@ -188,7 +188,7 @@ def a13(spark, d):
     }
     out = None
     for name, df in picks.items():
-        tagged = with_r6(df, FEATURES).withColumn("source", F.lit(name))
+        tagged = with_r6(df, FEATURES, RATE_DIGITS).withColumn("source", F.lit(name))
         out = tagged if out is None else out.unionByName(tagged)
     return out
 

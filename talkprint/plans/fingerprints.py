@@ -6,7 +6,7 @@ from talkprint.functions.banks import BANKS, FEATURES
 from talkprint.operators import distance, stats
 from talkprint.operators.fingerprint import fingerprint, individual_fingerprints, spoken_turns, turn_tokens
 from talkprint.plans.bindings import (
-    CONV, PHRASE, W, conv_turns, phrase_turns, r6, sql_chamfer, sql_dice, sql_dims, sql_fp, sql_list, sql_means, sql_r6,
+    CONV, PHRASE, RATE_DIGITS, W, conv_turns, phrase_turns, r6, sql_chamfer, sql_dice, sql_dims, sql_fp, sql_list, sql_means, sql_r6,
     sql_scaler, sql_spread, sql_z, table, with_r6,
 )
 from talkprint.plans.registry import query
@@ -36,11 +36,11 @@ def tokens(spark, d):
 
 
 def _single(number, name):
-    sql = f"WITH {sql_fp(PHRASE, features=[name])} SELECT dialog_id, {sql_r6([name])} FROM fp"
+    sql = f"WITH {sql_fp(PHRASE, features=[name])} SELECT dialog_id, {sql_r6([name], RATE_DIGITS)} FROM fp"
 
     @query(f"f{number:02d}_{name}", sql)
     def run(spark, d):
-        return with_r6(fingerprint(phrase_turns(spark, d), features=[name]), [name]).drop("n_messages")
+        return with_r6(fingerprint(phrase_turns(spark, d), features=[name]), [name], RATE_DIGITS).drop("n_messages")
 
 
 for _i, _name in enumerate(ORDER, start=1):
@@ -48,9 +48,9 @@ for _i, _name in enumerate(ORDER, start=1):
 
 
 def _full(key, turns, sql_turns, role):
-    @query(key, f"WITH {sql_fp(sql_turns, role)} SELECT dialog_id, n_messages, {sql_r6(FEATURES)} FROM fp")
+    @query(key, f"WITH {sql_fp(sql_turns, role)} SELECT dialog_id, n_messages, {sql_r6(FEATURES, RATE_DIGITS)} FROM fp")
     def run(spark, d):
-        return with_r6(fingerprint(turns(spark, d), role), FEATURES)
+        return with_r6(fingerprint(turns(spark, d), role), FEATURES, RATE_DIGITS)
 
 
 _full("f20_fingerprint", phrase_turns, PHRASE, "user")
@@ -99,21 +99,21 @@ def simulated(spark, d):
     "p01_population_stats",
     f"WITH {sql_fp(PHRASE)} "
     + " UNION ALL ".join(
-        f"SELECT 'events' AS source, 'custom' AS domain, '{f}' AS feature, round(avg({f}), 6) + 0.0 AS mean, "
-        f"round(stddev_pop({f}), 6) + 0.0 AS std, count(*) AS n FROM fp" for f in FEATURES
+        f"SELECT 'events' AS source, 'custom' AS domain, '{f}' AS feature, round(avg({f}), {RATE_DIGITS}) + 0.0 AS mean, "
+        f"round(stddev_pop({f}), {RATE_DIGITS}) + 0.0 AS std, count(*) AS n FROM fp" for f in FEATURES
     ),
 )
 def p01(spark, d):
-    return with_r6(stats.population_stats(fingerprint(phrase_turns(spark, d)), "events"), ["mean", "std"])
+    return with_r6(stats.population_stats(fingerprint(phrase_turns(spark, d)), "events"), ["mean", "std"], RATE_DIGITS)
 
 
 @query(
     "p02_mean_fingerprint",
-    f"WITH {HUMAN} SELECT dialog_id % 4 AS condition, " + ", ".join(f"round(avg({f}), 6) + 0.0 AS {f}" for f in FEATURES) + " FROM fp GROUP BY 1",
+    f"WITH {HUMAN} SELECT dialog_id % 4 AS condition, " + ", ".join(f"round(avg({f}), {RATE_DIGITS}) + 0.0 AS {f}" for f in FEATURES) + " FROM fp GROUP BY 1",
 )
 def p02(spark, d):
     fps = humans(spark, d).withColumn("condition", F.col("dialog_id") % 4)
-    return with_r6(stats.mean_fingerprint(fps, ["condition"]), FEATURES)
+    return with_r6(stats.mean_fingerprint(fps, ["condition"]), FEATURES, RATE_DIGITS)
 
 
 P03_SQL = (

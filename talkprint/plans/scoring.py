@@ -11,7 +11,7 @@ from talkprint.functions.banks import FEATURES
 from talkprint.operators import model, scorecard, stats
 from talkprint.operators.fingerprint import fingerprint
 from talkprint.plans.bindings import (
-    CONV, conv_turns, r6, sql_chamfer, sql_dims, sql_fp, sql_means, sql_r6, sql_scaler, sql_spread, sql_z, table, with_r6,
+    CONV, RATE_DIGITS, conv_turns, r6, sql_chamfer, sql_dims, sql_fp, sql_means, sql_r6, sql_scaler, sql_spread, sql_z, table, with_r6,
 )
 from talkprint.plans.registry import query
 from talkprint.sources import tables
@@ -245,10 +245,10 @@ def _populations(spark, d):
 
 @query(
     "m01_training_set",
-    f"WITH {BASE} SELECT 'h:' || dialog_id AS row_id, 1.0::DOUBLE AS label, {sql_r6(FEATURES)} FROM fp UNION ALL SELECT 's:' || dialog_id, 0.0, {sql_r6(FEATURES)} FROM s_fp",
+    f"WITH {BASE} SELECT 'h:' || dialog_id AS row_id, 1.0::DOUBLE AS label, {sql_r6(FEATURES, RATE_DIGITS)} FROM fp UNION ALL SELECT 's:' || dialog_id, 0.0, {sql_r6(FEATURES, RATE_DIGITS)} FROM s_fp",
 )
 def m01(spark, d):
-    return with_r6(model.training_set(*_populations(spark, d)), FEATURES)
+    return with_r6(model.training_set(*_populations(spark, d)), FEATURES, RATE_DIGITS)
 
 
 @query(

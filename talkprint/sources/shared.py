@@ -31,3 +31,26 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SMALL_TABLE = 1 << 30
+
+
+def table_bytes(spark: SparkSession, path: str) -> int:
+    """Length of everything below ``path`` as the file system reports it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(where).getLength()
+
+
+def spread_small(df: DataFrame, path: str, *keys: str) -> DataFrame:
+    """Give a table below 1 GiB as many partitions as there are cores.
+
+    A few small files scan in a few tasks and would leave text-heavy work on
+    one core.  Larger tables have enough splits of their own and stay as they
+    are, without the extra shuffle.
+    """
+    spark = df.sparkSession
+    if table_bytes(spark, path) >= SMALL_TABLE:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism, *keys)
