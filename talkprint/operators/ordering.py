@@ -102,16 +102,24 @@ def value_rank(
     ).drop("_b")
 
 
-def _blocked(df: DataFrame, keys, order: str, value: Column, out: str, inclusive, block, fn, merge):
+def _blocked(df: DataFrame, keys, order: str, value: Column, out: str, inclusive, block, fn, merge, level: int = 0):
+    """Windows inside blocks of ``order`` plus a carry over block summaries.
+
+    Without keys the summaries of one very long order would meet in one window,
+    so they are carried block by block once more.
+    """
     keys = list(keys)
-    end = 0 if inclusive else -1
-    data = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / block))
-    near = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-    far = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = data.groupBy(*keys, "_b").agg(fn("_v").alias("_bv"))
-    blocks = blocks.select(*keys, "_b", fn("_bv").over(far).alias("_carry"))
-    joined = _null_safe(data.withColumn("_near", fn("_v").over(near)), blocks, [*keys, "_b"], "inner")
-    return joined.withColumn(out, merge(F.col("_near"), F.col("_carry"))).drop("_v", "_b", "_near", "_carry")
+    v, b, near, carry, bv = (f"_{name}{level}" for name in ("v", "b", "near", "carry", "bv"))
+    data = df.withColumn(v, value).withColumn(b, F.floor(F.col(order) / block))
+    inside = Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    blocks = data.groupBy(*keys, b).agg(fn(v).alias(bv))
+    if not keys and level == 0:
+        blocks = _blocked(blocks, keys, b, F.col(bv), carry, False, block, fn, merge, level=1).drop(bv)
+    else:
+        ahead = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select(*keys, b, fn(bv).over(ahead).alias(carry))
+    joined = _null_safe(data.withColumn(near, fn(v).over(inside)), blocks, [*keys, b], "inner")
+    return joined.withColumn(out, merge(F.col(near), F.col(carry))).drop(v, b, near, carry)
 
 
 def running_max(

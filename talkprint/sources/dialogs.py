@@ -35,23 +35,30 @@ def _records(spark: SparkSession, path, layout: str, what: str) -> DataFrame:
     return items.select("file", F.col("pos").cast("long").alias("i"), F.col("value").alias("v"))
 
 
-def read_dialogs(spark: SparkSession, path, layout: str = "array") -> DataFrame:
+def read_dialogs(spark: SparkSession, path, layout: str = "array", empty_falls_back: bool = False) -> DataFrame:
     """``(dialog_id, conversation, metadata)``.
 
-    A record without ``conversation`` (or ``turns``) fails the read.  The id is
-    ``metadata.dialog_id`` when given, else ``<file>#<place>``.
+    A record without the key ``conversation`` (or ``turns``) fails the read.  The
+    id is ``metadata.dialog_id`` when given, else ``<file>#<place>``.  With
+    ``empty_falls_back`` an empty ``conversation`` gives way to ``turns``, the
+    rule of the per-dialogue table; the population means do not do that.
     """
     rec = _records(spark, path, layout, "dialogs")
 
     def trace(key):
         return F.try_variant_get("v", F.lit(f"$.{key}"), f"array<{TURN}>")
 
-    found = F.coalesce(trace("conversation"), trace("turns"))
+    def has(key):
+        return F.try_variant_get("v", F.lit(f"$.{key}"), "variant").isNotNull()
+
+    found = F.when(has("conversation"), trace("conversation")).otherwise(trace("turns"))
+    if empty_falls_back:
+        found = F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(F.coalesce(trace("turns"), found))
     meta = F.try_variant_get("v", F.lit("$.metadata"), "map<string,string>")
     given = F.try_variant_get("v", F.lit("$.metadata.dialog_id"), "string")
     return rec.select(
         F.coalesce(given, F.concat_ws("#", "file", F.col("i").cast("string"))).alias("dialog_id"),
-        _fail(found.isNull(), "a dialog must have a 'conversation' key", found).alias("conversation"),
+        _fail(~(has("conversation") | has("turns")), "a dialog must have a 'conversation' key", found).alias("conversation"),
         meta.alias("metadata"),
     )
 

@@ -5,20 +5,21 @@ back.  That cuts its lineage, survives lost executors, and unlike a cached or
 locally checkpointed frame needs no executor storage.
 """
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="talkprint-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
-    key = "spark.checkpoint.dir"
-    base = spark.conf.get(key, "") or spark.sparkContext.getConf().get(key, "")
-    if not base:
-        base = tempfile.mkdtemp(prefix="talkprint-")
-        spark.conf.set(key, base)
-    return base.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", "") or _own_dir()).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -7,7 +7,7 @@ from talkprint.functions.banks import FEATURES
 from talkprint.operators import clean, prompts
 from talkprint.sources import dialogs as D
 from talkprint.sources import tables as T
-from talkprint.sources.shared import shared_dir
+from talkprint.sources.shared import scratch, shared_dir
 
 CONV = [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "hello"}]
 
@@ -32,6 +32,13 @@ def test_read_dialogs_errors(spark, tmp_path, text, message):
         D.read_dialogs(spark, put(tmp_path, "d.json", text)).collect()
 
 
+def test_empty_conversation_rule(spark, tmp_path):
+    path = put(tmp_path, "d.json", json.dumps([{"conversation": [], "turns": CONV}, {"conversation": None}, {"turns": CONV}]))
+    plain = [r.conversation and len(r.conversation) for r in D.read_dialogs(spark, path).collect()]
+    assert [n or 0 for n in plain] == [0, 0, 2]
+    assert [len(r.conversation or []) for r in D.read_dialogs(spark, path, empty_falls_back=True).collect()] == [2, 0, 2]
+
+
 def test_read_tasks(spark, tmp_path):
     data = [{"task_id": "t1", "description": "return laptop", "context": "retail", "extra": {"k": [1]}, "n": 2}, {"description": 5}]
     rows = D.read_tasks(spark, put(tmp_path, "t.json", json.dumps(data))).collect()
@@ -106,14 +113,14 @@ def test_curve_feed_counts_every_file_once(spark, tmp_path):
     assert sorted(r.iteration for r in spark.read.parquet(out).collect()) == [1, 2, 3]
 
 
-def test_shared_dir_follows_the_session(spark, tmp_path):
-    first = shared_dir(spark)
-    assert shared_dir(spark) == first
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert shared_dir(spark) == str(tmp_path)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", first)
+def test_shared_dir_follows_the_session(spark):
+    class Session:
+        def __init__(self, value):
+            self.conf = {"spark.checkpoint.dir": value} if value else {}
+
+    assert shared_dir(Session("hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(Session(None)) == shared_dir(Session(None)) and "talkprint-" in shared_dir(Session(None))
+    assert scratch(spark, "a") != scratch(spark, "a")
 
 
 # ----------------------------------------------------------------- cleaning
