@@ -115,10 +115,25 @@ def identifier_count(content: Column) -> Column:
 
 
 def fixed(col: Column, digits: int) -> Column:
-    """``digits`` decimals, exact binary ties to even (``format_string`` alone rounds them up)."""
-    x = col.cast("double")
-    tie = F.abs(x) * float(2 ** (digits + 1)) % 2.0 == 1.0
-    return F.format_string(f"%.{digits}f", F.when(tie, F.bround(x, digits)).otherwise(x))
+    """``digits`` decimals of the double's exact binary value, ties to even.
+
+    ``format_string`` rounds the shortest decimal form half up instead, which
+    turns 61/80 (just below 0.7625) into 0.763.  Here ``n`` counts whole units of
+    the last digit and ``t`` is the double nearest to the midpoint above; only
+    when the value *is* that double does the midpoint's own rounding matter, and
+    splitting the value in two halves makes that last comparison exact.
+    """
+    unit = 10**digits
+    x = F.abs(col.cast("double"))
+    n = F.floor(x * unit)
+    odd = (n * 2 + 1).cast("double")
+    t = odd / float(2 * unit)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    low_part, rest = (x - high) * float(2 * unit), odd - high * float(2 * unit)
+    up = (x > t) | ((x == t) & ((low_part > rest) | ((low_part == rest) & (n % 2 == 1))))
+    whole = n + up.cast("long")
+    sign = F.when(col < 0, "-").otherwise("")
+    return F.concat(sign, F.format_string(f"%d.%0{digits}d", F.floor(whole / unit), whole % unit))
 
 
 def indent(col: Column, prefix: str = "\t") -> Column:

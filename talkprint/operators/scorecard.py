@@ -9,6 +9,7 @@ coverage goes through the distance cells.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkprint.functions import text as T
 from talkprint.functions.banks import FEATURES
 from talkprint.operators import stats
 from talkprint.operators.distance import compress_cloud, mean_task_chamfer, overall_chamfer, reference_spread
@@ -134,7 +135,7 @@ def report(metrics: DataFrame, expected: list[str] = CONDITIONS) -> DataFrame:
         label = F.when(F.col("condition") == c, LABELS[c]).otherwise(label)
 
     def fixed(c, d=3, scale=1):
-        return F.format_string(f"%.{d}f", F.col(c) * scale)
+        return T.fixed(F.col(c) * scale, d)
 
     def pm(c, ci, d=3, scale=1, unit=""):
         return F.concat(fixed(c, d, scale), F.lit(unit + "±"), fixed(ci, d, scale))
@@ -145,7 +146,7 @@ def report(metrics: DataFrame, expected: list[str] = CONDITIONS) -> DataFrame:
         *[fixed(d).alias(d) for d in stats.DIMS], fixed("overall").alias("d_avg"),
         pm("success", "success_ci", 1, 100, "%").alias("success"),
         pm("reward", "reward_ci").alias("reward"), fixed("turns", 1).alias("turns"),
-        F.format_string("%.3f", composite(F.col("p_human"), F.col("chamfer"))).alias("score"),
+        T.fixed(composite(F.col("p_human"), F.col("chamfer")), 3).alias("score"),
         (have < len(expected)).alias("partial"),
     ).orderBy("place")
 

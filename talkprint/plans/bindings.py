@@ -58,7 +58,7 @@ def phrase_turns(spark, d) -> DataFrame:
     return spread_small(rows, f"{d}/events.parquet", "dialog_id")
 
 
-RATE_DIGITS = 8  # shares of small counts end within these digits, so they never sit on a rounding edge
+RATE_DIGITS = 10  # shares of small counts end within these digits, so they never sit on a rounding edge
 
 
 def r6(col, name: str | None = None, digits: int = 6):

@@ -214,6 +214,16 @@ def test_parse_personas(spark):
     assert rows[0].axis_placement == {"terse": True, "calm": False}
 
 
+def test_fixed_decimals_are_exact(spark):
+    from talkprint.functions.text import fixed
+
+    values = [k / n for n in (3, 7, 16, 40, 80, 320, 2000) for k in range(0, 2 * n, 3)] + [0.0, -0.0125, -0.0001, 123456.0625, 0.2995, 1e-9]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = df.select("x", *[fixed(F.col("x"), d).alias(f"d{d}") for d in (1, 3, 4)]).collect()
+    for r in rows:
+        assert (r.d1, r.d3, r.d4) == (f"{r.x:.1f}", f"{r.x:.3f}", f"{r.x:.4f}"), r.x
+
+
 def test_scenario_and_indent(spark):
     df = spark.createDataFrame([("p\n\nq", {"b": "2", "a": "1\n \n3"}), (" ", {"k": None})], "p string, m map<string,string>")
     got = [r[0] for r in df.select(prompts.scenario(F.col("p"), F.col("m"))).collect()]
