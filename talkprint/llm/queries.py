@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkprint.llm import bpe, extract, language, prefix_counts, simhash, syncmers, warc
+from talkprint.llm import (
+    bpe, extract, language, packing, prefix_counts, simhash, suffix_dedup, syncmers, voronoi_knn, warc,
+)
 from talkprint.llm.common import table, tokenizer_path
 
 QUERIES, ORACLE = {}, {}
@@ -19,6 +21,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+OP1_SQL = """
+with v as (select vec_id, [floor(1024 * e::double) for e in embedding] as x from embeddings
+           where embedding is not null and len([e for e in embedding if e is null or not isfinite(e)]) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.x, c.x) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query("op1_voronoi_top_k", OP1_SQL)
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return voronoi_knn.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, d, "documents"))
+
+
 @query("op3_language_id")
 def op3(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
@@ -42,6 +64,11 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract(table(spark, d, "pages"))
 
 
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 @query("op8_bpe_rank_array")
 def op8(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_decode_digests(table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"))
