@@ -3,55 +3,73 @@
 A derived table that several branches of a plan read is written once and read
 back.  That cuts its lineage, survives lost executors, and unlike a cached or
 locally checkpointed frame needs no executor storage.
+
+Everything a process writes lies in one folder of its own, which
+:func:`remove_scratch` deletes; :class:`Scratch` does so at the end of a block.
 """
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN = f"talkprint-{uuid.uuid4().hex[:12]}"
+
 
 @functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="talkprint-")
+def _single_machine_dir() -> str:
+    path = tempfile.mkdtemp(prefix="talkprint-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or _own_dir()).rstrip("/")
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a session that runs in one process gets a temporary
+    folder, removed when the process ends; any other session fails, as executors
+    would not see each other's files.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", "")
+    if not path:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _single_machine_dir()
+    return path.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/talkprint/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this run's part of the shared folder."""
+    return f"{shared_dir(spark)}/{_RUN}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "settled") -> DataFrame:
-    """Write ``df`` once and return the written table."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this process wrote; frames that read it can no longer be used."""
+    where, path = fs.FileSystem.from_uri(f"{shared_dir(spark)}/{_RUN}")
+    if where.get_file_info(path).type != fs.FileType.NotFound:
+        where.delete_dir(path)
 
 
-SMALL_TABLE = 1 << 30
+class Scratch:
+    """``with Scratch(spark): ...`` removes this process's intermediate tables at the end of the block."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
 
-def table_bytes(spark: SparkSession, path: str) -> int:
-    """Length of everything below ``path`` as the file system reports it."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.getContentSummary(where).getLength()
+    def __enter__(self) -> "Scratch":
+        return self
 
+    def __exit__(self, *failure) -> None:
+        remove_scratch(self.spark)
 
-def spread_small(df: DataFrame, path: str, *keys: str) -> DataFrame:
-    """Give a table below 1 GiB as many partitions as there are cores.
 
-    A few small files scan in a few tasks and would leave text-heavy work on
-    one core.  Larger tables have enough splits of their own and stay as they
-    are, without the extra shuffle.
-    """
-    spark = df.sparkSession
-    if table_bytes(spark, path) >= SMALL_TABLE:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism, *keys)
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write ``df`` once and return the written table."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

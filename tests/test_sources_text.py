@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from talkprint.functions.banks import FEATURES
 from talkprint.operators import clean, prompts
 from talkprint.sources import dialogs as D
 from talkprint.sources import tables as T
-from talkprint.sources.shared import scratch, shared_dir
+from talkprint.sources.shared import Scratch, scratch, shared_dir
 
 CONV = [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "hello"}]
 
@@ -113,16 +114,31 @@ def test_curve_feed_counts_every_file_once(spark, tmp_path):
     assert sorted(r.iteration for r in spark.read.parquet(out).collect()) == [1, 2, 3]
 
 
-def test_shared_dir_follows_the_session(spark):
-    class Session:
-        def __init__(self, value):
-            self.conf = {"spark.checkpoint.dir": value} if value else {}
+class Session:
+    def __init__(self, **conf):
+        self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
 
-    assert shared_dir(Session("hdfs://x/y/")) == "hdfs://x/y"
-    assert shared_dir(Session(None)) == shared_dir(Session(None)) and "talkprint-" in shared_dir(Session(None))
+def test_shared_dir_follows_the_session(spark):
+    assert shared_dir(Session(spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
     assert scratch(spark, "a") != scratch(spark, "a")
 
 
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]"])
+def test_executors_elsewhere_need_a_shared_dir(master):
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared_dir(Session(spark_master=master))
+
+
+def test_scratch_is_removed_at_the_end(spark, tmp_path):
+    own = Session(spark_checkpoint_dir=str(tmp_path))
+    with Scratch(own):
+        path = scratch(own, "gone")
+        spark.range(3).write.parquet(path)
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
 # ----------------------------------------------------------------- cleaning
 
 
