@@ -345,10 +345,10 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out
 
 
-def merged(ranges: list, length: int) -> list[tuple[int, int]]:
+def merged(ranges: list | np.ndarray | None, length: int) -> list[tuple[int, int]]:
     """Maximal byte spans (start, end) covered by the windows."""
     spans: list[list[int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges or ()):
+    for lo, hi in sorted((r["lo"], r["hi"]) for r in (() if ranges is None else ranges)):
         if spans and lo <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], hi + length)
         else:
@@ -403,7 +403,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     @F.pandas_udf("string")
     def left(body, ranges):
-        return body.combine(ranges, lambda d, r: kept_bytes(d, merged(r if r is not None else (), length)).decode("utf-8", "ignore"))
+        return body.combine(ranges, lambda d, r: kept_bytes(d, merged(r, length)).decode("utf-8", "ignore"))
 
     rows = with_ranges(docs, length, id_col, text_col)
     hit = F.col("__ranges").isNotNull()
