@@ -49,7 +49,7 @@ def documents(spark):
     passage = " ".join(f"and that was the thing with the {i} people" for i in range(20))
     rows = [
         (1, long, "en"), (2, long, "en"), (3, None, "en"), (4, "12345 !!", "en"), (5, "the first of them. " + passage, "en"),
-        (6, "for this is another one, and it is not short. " + passage, "en"), (7, "the and of to in is it", "en"),
+        (6, " ".join(f"for this is word {i * i} of another one" for i in range(60)) + passage, "en"), (7, "the and of to in is it", "en"),
         (8, long.replace("number 7 ", "numbers 7 "), "en"), (9, "", None),
     ]
     return spark.createDataFrame([(i, t, y, "src", None if t is None else len(t)) for i, t, y in rows], "doc_id long, text string, lang string, source string, n_chars long")
