@@ -5,7 +5,9 @@ Java's own ``\\w``/``\\b`` differ from that (ASCII by default, marks included
 with ``(?U)``), so edges are written out as look-arounds on an explicit class.
 """
 
+import operator
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,44 +49,120 @@ def trigram_text(gram: str) -> Column:
     return F.concat_ws(" ", f"{gram}.a", f"{gram}.b", f"{gram}.c")
 
 
-def _translate(p: str) -> str:
-    return p.replace(r"\b", EDGE).replace("$", r"(?=\n?\z)")
-
-
-def _by_first_letter(patterns: list[str]) -> str:
-    """The alternation with a shared first letter written once per letter."""
-    groups: dict[str, list[str]] = {}
-    for p in patterns:
-        factored = re.match(r"[a-z0-9](?![?*+{])", p)
-        groups.setdefault(p[0] if factored else "", []).append(p[1:] if factored else p)
-    parts = [f"{k}(?:{'|'.join(_translate(r) for r in rest)})" for k, rest in groups.items() if k]
-    return "|".join(parts + [_translate(p) for p in groups.get("", [])])
+# Python's classes in Java's terms, outside and inside of brackets.
+_CLASSES = {
+    "d": (r"\p{Nd}", r"\p{Nd}"), "D": (r"\P{Nd}", r"\P{Nd}"), "w": (f"[{WORD}]", WORD), "W": (f"[^{WORD}]", f"[^{WORD}]"),
+    "s": (f"[{SPACE}]", SPACE), "S": (f"[^{SPACE}]", f"[^{SPACE}]"),
+}
+
+
+def java_regex(pattern: str) -> str:
+    """A Python pattern in Java's syntax with Python's meaning of ``\\b \\d \\w \\s \\Z . $`` and named groups."""
+    out, i, in_class = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            e = pattern[i + 1:i + 2]
+            if e in _CLASSES:
+                out.append(_CLASSES[e][in_class])
+            elif e == "b" and not in_class:
+                out.append(EDGE)
+            elif e == "Z":
+                out.append(r"\z")
+            else:
+                out.append(c + e)
+            i += 2
+            continue
+        if in_class:
+            in_class = c != "]"
+            # Java gives a meaning to these inside brackets, Python does not.
+            out.append("\\" + c if c in "[&" else c)
+        elif c == "[":
+            in_class = True
+            opening = re.match(r"\[\^?\]?", pattern[i:])[0]
+            out.append(opening.replace("]", r"\]"))
+            i += len(opening) - 1
+        elif c == "$":
+            out.append(r"(?=\n?\z)")
+        elif c == ".":
+            out.append(r"[^\n]")
+        elif pattern.startswith("(?P<", i):
+            out.append("(?<")
+            i += 3
+        elif named := re.match(r"\(\?P=(\w+)\)", pattern[i:]):
+            out.append(rf"\k<{named[1]}>")
+            i += len(named[0]) - 1
+        else:
+            out.append(c)
+        i += 1
+    return "".join(out)
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The parts between the bars that stand outside of every group and class."""
+    parts, depth, in_class, start, i = [], 0, False, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]" or pattern[i - 1] == "["
+        elif c == "[":
+            in_class = True
+        elif c == "|" and not depth:
+            parts.append(pattern[start:i])
+            start = i + 1
+        else:
+            depth += (c == "(") - (c == ")")
+        i += 1
+    return [*parts, pattern[start:]]
+
+
+_LITERAL_HEAD = re.compile(r"[a-z0-9](?![?*+{])")
+_GROUP_HEAD = re.compile(r"\(\?:([^()\[\]\\]*)\)(?![?*{])")
+
+
+def _heads(rest: str) -> set[str] | None:
+    """The letters that a match of ``rest`` can open with, where its first part shows them."""
+    if _LITERAL_HEAD.match(rest):
+        return {rest[0]}
+    group = _GROUP_HEAD.match(rest)
+    options = group[1].split("|") if group else [""]
+    return {o[0] for o in options} if all(_LITERAL_HEAD.match(o) for o in options) else None
 
 
 def bank_regex(patterns: list[str]) -> str:
-    """One alternation per bank.
+    """One alternation per bank; every pattern means what it means alone.
 
-    Patterns opening with ``\\b`` share one look-behind and, in front of it, one
-    class of their first letters, so most positions of a text are dismissed by
-    a table lookup and the alternatives are tried at fitting word starts only.
+    Patterns of the form ``\\b`` and a visible first letter share one look-behind
+    and, in front of it, one class of those letters, so most positions of a text
+    are dismissed by a table lookup; literal first letters are written once for
+    all patterns that share them.  Any other pattern stands as a group of its own.
     """
-    at_word = [p[2:] for p in patterns if p.startswith(r"\b")]
-    free = [p for p in patterns if not p.startswith(r"\b")]
-    parts = [_by_first_letter(free)] if free else []
-    if at_word:
-        firsts = set()
-        for p in at_word:
-            # An opening group of plain alternatives can start like any of them.
-            heads = p[3 : p.index(")")].split("|") if p.startswith("(?:") else [p]
-            firsts.update(h[0] for h in heads)
-        plain = all(re.match(r"[a-z0-9]", f) for f in firsts)
-        guard = f"(?=[{''.join(sorted(firsts))}])" if plain else ""
-        parts.append(rf"{guard}(?<![{WORD}])(?:{_by_first_letter(at_word)})")
-    return "|".join(parts)
+    guarded, letters, by_letter, general = [], set(), {}, []
+    for p in patterns:
+        heads = _heads(p[2:]) if p.startswith(r"\b") and len(_alternatives(p)) == 1 else None
+        if heads is None:
+            general.append(f"(?:{java_regex(p)})")
+            continue
+        letters |= heads
+        rest = p[2:]
+        if _LITERAL_HEAD.match(rest):
+            by_letter.setdefault(rest[0], []).append(java_regex(rest[1:]))
+        else:
+            guarded.append(java_regex(rest))
+    guarded += [f"{k}(?:{'|'.join(rests)})" for k, rests in by_letter.items()]
+    if guarded:
+        general.insert(0, f"(?=[{''.join(sorted(letters))}])(?<![{WORD}])(?:{'|'.join(guarded)})")
+    return "|".join(general)
 
 
 def matches_bank(lowered: Column, patterns: list[str]) -> Column:
-    return lowered.rlike(bank_regex(patterns))
+    """Whether any pattern occurs.  Patterns that refer back to their own groups are tried by themselves."""
+    alone = [p for p in patterns if re.search(r"\\[1-9]|\(\?P", p)]
+    together = [p for p in patterns if p not in alone]
+    tests = ([bank_regex(together)] if together else []) + [java_regex(p) for p in alone]
+    return reduce(operator.or_, (lowered.rlike(t) for t in tests), F.when(lowered.isNotNull(), F.lit(False)))
 
 
 def matches_whole(lowered: Column, phrases: list[str]) -> Column:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkprint.functions import text as T
+
 # --- fixed values: curriculum defaults ---------------------------------------
 LARGE_POOL = 100
 ITERATIONS_PER_STAGE = 20
@@ -98,15 +100,17 @@ def expand_jobs(tasks: DataFrame, personas: DataFrame | None = None, n: int = 10
 
 
 def pad_personas(personas: DataFrame, n: int) -> DataFrame:
-    """Exactly ``n`` personas per task: valid ones among the first ``n`` rows, in
-    order, repeated cyclically.  Tasks without any valid persona fail.
+    """Exactly ``n`` personas per task: those with a non-blank text among the first
+    ``n`` rows, trimmed, in order, repeated cyclically.  Tasks without any fail.
+    A missing ``persona_id`` reads ``direct_persona_<slot>``, if the column is given.
 
     ``personas(task_id, pos, text, ...)``; at most ``n`` rows per task pass the
     pruned rank filter.
     """
     first = F.row_number().over(Window.partitionBy("task_id").orderBy("pos"))
     near = personas.withColumn("_rn", first).where(F.col("_rn") <= n)
-    valid = F.coalesce(F.trim("text"), F.lit("")) != ""
+    near = near.withColumn("text", T.trim_ws(F.coalesce("text", F.lit(""))))
+    valid = F.col("text") != ""
     w = Window.partitionBy("task_id")
     kept = (
         near.withColumn("_valid", F.sum(valid.cast("int")).over(w))
@@ -114,4 +118,8 @@ def pad_personas(personas: DataFrame, n: int) -> DataFrame:
         .withColumn("_i", F.row_number().over(w.orderBy("pos")) - 1)
     )
     copies = F.explode(F.sequence(F.col("_i"), F.lit(n - 1), F.col("_valid").cast("int")))
-    return kept.withColumn("slot", copies).drop("_rn", "_valid", "_i", "pos")
+    out = kept.withColumn("slot", copies).drop("_rn", "_valid", "_i", "pos")
+    if "persona_id" in out.columns:
+        named = F.concat(F.lit("direct_persona_"), F.col("slot").cast("string"))
+        out = out.withColumn("persona_id", F.coalesce("persona_id", named))
+    return out

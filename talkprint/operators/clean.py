@@ -311,5 +311,5 @@ def clean_dialogs(
         enough = formed.groupBy(group).count().where(F.col("count") >= min_per_group).select(group)
         formed = formed.join(enough, group, "left_semi")
     if max_dialogs:
-        formed = formed.orderBy("dialog_id").limit(max_dialogs)
-    return prose.join(formed.select("dialog_id"), "dialog_id", "left_semi")
+        formed = formed.orderBy(*keys).limit(max_dialogs)
+    return prose.join(formed, keys, "left_semi")

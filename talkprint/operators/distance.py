@@ -1,6 +1,7 @@
 """Mean pairwise distance, two-sided coverage, cloud compression and projection.
 
-Pairs of points are never rows.  Clouds are first reduced to distinct vectors
+Pairs of points are never rows: a task group is one row per block of humans,
+unless it is larger than a block.  Clouds are first reduced to distinct vectors
 with weights, so any number of copies costs one point; that table is written to
 the shared folder because every block of it is read many times.  Points fall into
 hash blocks of bounded size, blocks meet in a grid of cells, and one Arrow
@@ -77,62 +78,93 @@ def reference_spread(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
     return n.select("n", F.when((F.col("n") >= 2) & (mean > 1e-9), mean).otherwise(F.lit(1.0)).alias("d_ref"))
 
 
+_CELL = {"side": "int32", "grp": object, "blk": "int32", "idx": "int32", "w": "float64", "d": "float64"}
+POINT, HUMAN, WHOLE = 0, 1, 2  # what a row of a cell tells of: a point, a human for part of a group, a whole group
+
+
+def _cell_rows(side: int, grp, blk, idx, w, d) -> pd.DataFrame:
+    return pd.DataFrame({"side": side, "grp": grp, "blk": blk, "idx": idx, "w": w, "d": d}).astype(_CELL)
+
+
 def _nearest_cell(pdf: pd.DataFrame) -> pd.DataFrame:
     """Minima of one cell in both directions.
 
-    A point's number is its place in the block's canonical order, so it is the
+    Each point gets its distance to the nearest human.  A group that lies in the
+    cell as a whole gives one row, the weighted sum over the humans of their
+    distance to it; only a part of a larger group gives a row per human.  A
+    point's number is its place in the block's canonical order, so it is the
     same in every cell the block takes part in.
     """
-    out = []
     p, h = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    if len(p) and len(h):
-        p = p.iloc[np.lexsort(_matrix(p).T[::-1])]
-        p = p.iloc[np.argsort(p["grp"].to_numpy(), kind="stable")]
-        h = h.iloc[np.lexsort(_matrix(h).T[::-1])]
-        a, b = _matrix(p), _matrix(h)
-        d2 = _squared(a, b)
-        near_h = d2.argmin(axis=1)
-        out.append(pd.DataFrame({
-            "side": 0, "grp": p["grp"].to_numpy(), "blk": p["blk"].to_numpy(), "idx": np.arange(len(p)),
-            "w": p["w"].to_numpy(), "d": np.sqrt(((a - b[near_h]) ** 2).sum(1)),
-        }))
-        groups, starts = np.unique(p["grp"].to_numpy(), return_index=True)
-        for g, s, e in zip(groups, starts, [*starts[1:], len(p)]):
-            near_p = d2[s:e].argmin(axis=0)
-            out.append(pd.DataFrame({
-                "side": 1, "grp": g, "blk": h["blk"].to_numpy(), "idx": np.arange(len(h)),
-                "w": h["w"].to_numpy(), "d": np.sqrt(((a[s:e][near_p] - b) ** 2).sum(1)),
-            }))
-    if not out:
-        return pd.DataFrame({c: [] for c in ["side", "grp", "blk", "idx", "w", "d"]})
+    if not len(p) or not len(h):
+        return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in _CELL.items()})
+    p = p.iloc[np.lexsort(_matrix(p).T[::-1])]
+    p = p.iloc[np.lexsort((p["part"].to_numpy(), pd.factorize(p["grp"], sort=True)[0]))]
+    h = h.iloc[np.lexsort(_matrix(h).T[::-1])]
+    a, b = _matrix(p), _matrix(h)
+    d2 = _squared(a, b)
+    near_h = d2.argmin(axis=1)
+    d = np.sqrt(((a - b[near_h]) ** 2).sum(1))
+    out = [_cell_rows(POINT, p["grp"].to_numpy(), p["blk"].to_numpy(), np.arange(len(p)), p["w"].to_numpy(), d)]
+    units = pd.MultiIndex.from_frame(p[["grp", "part"]]).factorize()[0]
+    starts = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1]]))
+    w = h["w"].to_numpy(float)
+    for s, e in zip(starts, [*starts[1:], len(p)]):
+        near_p = d2[s:e].argmin(axis=0)
+        d = np.sqrt(((a[s:e][near_p] - b) ** 2).sum(1))
+        g = p["grp"].iloc[s]
+        if p["cuts"].iloc[s] == 1:
+            out.append(_cell_rows(WHOLE, [g], h["blk"].iloc[0], 0, w.sum(), float(w @ d)))
+        else:
+            out.append(_cell_rows(HUMAN, [g] * len(h), h["blk"].to_numpy(), np.arange(len(h)), w, d))
     return pd.concat(out)
 
 
-def coverage_error(p: DataFrame, h: DataFrame, by: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(by, err)`` with err = mean_h min_p d + mean_p min_h d for every group of ``p``,
-    null when ``h`` is empty.  ``by`` must be non-null."""
-    pb, n_p = _blocks(p.select(F.col(by).alias("grp"), "vec"), ["grp"], block_rows)
+def cell_minima(p: DataFrame, h: DataFrame, by: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The groups of ``p``, and the rows of all cells of ``p`` x ``h``.
+
+    A group is kept in one block unless it is larger than a block.
+    """
+    distinct, n_p = _blocks(p.select(F.col(by).alias("grp"), "vec"), ["grp"], block_rows)
+    sizes = distinct.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("cuts"))
+    part = F.pmod(F.xxhash64("vec"), F.col("cuts")).cast("int")
+    pb = (
+        distinct.drop("blk").join(sizes, "grp").withColumn("part", part)
+        .withColumn("blk", F.pmod(F.xxhash64("grp", "part"), F.lit(n_p)).cast("int"))
+    )
     hb, n_h = _blocks(h.select("vec"), [], block_rows)
     grp_type = dict(pb.dtypes)["grp"]
-    left = pb.select(F.col("blk").alias("cp"), _every(n_h).alias("ch"), F.lit(0).alias("side"), "grp", "blk", "w", "vec")
+    left = pb.select(
+        F.col("blk").alias("cp"), _every(n_h).alias("ch"), F.lit(0).alias("side"), "grp", "part", "cuts", "blk", "w", "vec"
+    )
     right = hb.select(
-        _every(n_p).alias("cp"), F.col("blk").alias("ch"), F.lit(1).alias("side"),
-        F.lit(None).cast(grp_type).alias("grp"), "blk", "w", "vec",
+        _every(n_p).alias("cp"), F.col("blk").alias("ch"), F.lit(1).alias("side"), F.lit(None).cast(grp_type).alias("grp"),
+        F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("cuts"), "blk", "w", "vec",
     )
-    minima = (
-        left.unionByName(right)
-        .groupBy("cp", "ch")
-        .applyInPandas(_nearest_cell, f"side int, grp {grp_type}, blk int, idx int, w long, d double")
-        .groupBy("side", "grp", "blk", "idx")
+    rows = left.unionByName(right).groupBy("cp", "ch").applyInPandas(
+        _nearest_cell, f"side int, grp {grp_type}, blk int, idx int, w double, d double"
+    )
+    return sizes.select("grp"), rows
+
+
+def coverage_error(p: DataFrame, h: DataFrame, by: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(by, err)`` with err = mean_h min_p d + mean_p min_h d for every group of ``p``,
+    null when ``h`` is empty.  ``by`` must be non-null."""
+    groups, rows = cell_minima(p, h, by, block_rows)
+    minima = settle(rows, "minima")
+    nearest = (
+        minima.where(F.col("side") != WHOLE).groupBy("side", "grp", "blk", "idx")
         .agg(F.min("d").alias("d"), F.first("w").alias("w"))
+        .select("side", "grp", "w", (F.col("d") * F.col("w")).alias("wd"))
     )
+    whole = minima.where(F.col("side") == WHOLE).select("side", "grp", "w", F.col("d").alias("wd"))
     err = (
-        minima.groupBy("grp", "side")
-        .agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("mean_d"))
+        nearest.unionByName(whole).groupBy("grp", "side")
+        .agg((F.sum("wd") / F.sum("w")).alias("mean_d"))
         .groupBy("grp")
         .agg(F.sum("mean_d").alias("err"))
     )
-    return pb.select("grp").distinct().join(err, "grp", "left").withColumnRenamed("grp", by)
+    return groups.join(err, "grp", "left").withColumnRenamed("grp", by)
 
 
 def chamfer(p: DataFrame, h: DataFrame, d_ref: DataFrame, by: str, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkprint.functions.banks import FEATURES
+from talkprint.operators.ordering import range_bucket, sample_bounds
 from talkprint.operators.splits import stratified_folds
 from talkprint.sources.shared import settle
 
@@ -39,8 +40,10 @@ def training_set(human: DataFrame, simulated: DataFrame, features: list[str] = F
 def class_weights(labelled: DataFrame) -> DataFrame:
     """Adds ``weight`` = n / (2 * n_class).
 
-    The class sizes are one scalar row, so no row moves for this.
+    The class sizes are one scalar row, so no row moves for this.  The input is
+    written once, as sizes and rows are two reads of it.
     """
+    labelled = settle(labelled, "labelled")
     counts = labelled.agg(
         F.count("*").alias("n"),
         F.count(F.when(F.col("label") == 1, 1)).alias("n1"),
@@ -68,8 +71,9 @@ def fit_discriminator(
     features: list[str] = FEATURES,
 ) -> PipelineModel:
     """Balanced random forest.  Trees ignore scale, so no scaler stage is needed."""
+    # Every level of the trees reads the rows again: they are written once.
     data = class_weights(training_set(human, simulated, features))
-    return _forest(num_trees, max_depth, max_features, features).fit(data)
+    return _forest(num_trees, max_depth, max_features, features).fit(settle(data, "training-set"))
 
 
 def score(model: PipelineModel | None, fps: DataFrame, out: str = "p_human") -> DataFrame:
@@ -96,16 +100,18 @@ def cross_validation(
 ) -> DataFrame:
     """One row per fold ``(fold, auc)``; empty below four rows.
 
-    k = min(5, max(2, n // 2)); folds are even inside each class.
+    k = min(5, max(2, n // 2)); folds are even inside each class, and the class
+    weights are those of each training part.
     """
-    data = class_weights(training_set(human, simulated, features))
+    data = settle(training_set(human, simulated, features), "training-set")
     n = data.count()
     k = min(5, max(2, n // 2)) if n >= 4 else 0
     folded = settle(stratified_folds(data, "label", "row_id", max(k, 1)), "folds")
     spark = data.sparkSession
     parts = [spark.createDataFrame([], "fold int, auc double")]
     for fold in range(k):
-        model = _forest(num_trees, max_depth, max_features, features).fit(folded.where(F.col("fold") != fold))
+        part = settle(class_weights(folded.where(F.col("fold") != fold)), "training-part")
+        model = _forest(num_trees, max_depth, max_features, features).fit(part)
         held = score(model, folded.where(F.col("fold") == fold))
         parts.append(exact_auc(held, "p_human", "label").select(F.lit(fold).alias("fold"), "auc"))
     return reduce(DataFrame.unionByName, parts)
@@ -116,22 +122,19 @@ def cv_summary(folds: DataFrame) -> DataFrame:
     return folds.agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))
 
 
-def exact_auc(rows: DataFrame, score_col: str, label: str, buckets: int = 256) -> DataFrame:
+def exact_auc(rows: DataFrame, score_col: str, label: str, buckets: int | None = None) -> DataFrame:
     """One row ``(auc, n_pos, n_neg)``, the Mann-Whitney statistic, ties count half.
 
-    Rows collapse to distinct scores first.  Quantile buckets of those scores
-    then let the running count of negatives be taken bucket by bucket, so the
-    whole table never meets in one window.
+    Rows collapse to distinct scores first.  Ranges of those scores, as many as
+    there are shuffle partitions, then let the running count of negatives be
+    taken range by range, so the whole table never meets in one window.
     """
     pos = F.col(label) == 1
-    by_score = rows.groupBy(F.col(score_col).alias("s")).agg(
-        F.count(F.when(pos, 1)).alias("p"), F.count(F.when(~pos, 1)).alias("q")
+    by_score = settle(
+        rows.groupBy(F.col(score_col).alias("s")).agg(F.count(F.when(pos, 1)).alias("p"), F.count(F.when(~pos, 1)).alias("q")), "scores"
     )
-    cuts = by_score.select(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10000).alias("c"))
-    cut = F.col("_c")
-    placed = by_score.withColumn("_c", cuts.scalar()).withColumn(
-        "b", F.size(F.filter(cut, lambda x: x < F.col("s")))
-    ).drop("_c")
+    buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = by_score.withColumn("b", range_bucket(F.col("s"), sample_bounds(by_score, "s", buckets)))
     below = F.sum("q").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
     ahead = Window.partitionBy().orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     carried = placed.groupBy("b").agg(F.sum("q").alias("q")).select("b", F.sum("q").over(ahead).alias("_before"))

@@ -9,7 +9,7 @@ of bucket summaries carries the totals across.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+from talkprint.sources.shared import settle
 
 
 def hash_order(seed, id_col: str = "id") -> Column:
@@ -17,6 +17,11 @@ def hash_order(seed, id_col: str = "id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+def hash_head(h: str) -> Column:
+    """The leading 32 bits of a hash order key as a number, in the same order."""
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on ``keys`` where null equals null; keeps one copy of the keys."""
     renamed = right.select(
@@ -58,15 +63,16 @@ def hash_rank(
     keys: list[str] = (),
     out: str = "rank",
     total: str | None = None,
-    digits: int = 2,
+    buckets: int | None = None,
 ) -> DataFrame:
     """1-based position in the seeded shuffle order, optionally per ``keys``.
 
-    md5 is uniform, so its leading hex digits make even buckets: 256 by
-    default, 4096 with ``digits=3`` for tables of billions of ids.
+    md5 is uniform, so equal ranges of its leading 32 bits make even buckets; by
+    default there are as many as shuffle partitions.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("_h", hash_order(seed, id_col))
-    keyed = keyed.withColumn("_b", F.substring("_h", 1, digits))
+    keyed = keyed.withColumn("_b", F.shiftright(hash_head("_h") * buckets, 32))
     return bucketed_rank(keyed, "_b", ["_h", id_col], keys, out, total).drop("_h", "_b")
 
 
@@ -102,44 +108,55 @@ def value_rank(
     ).drop("_b")
 
 
-def _blocked(df: DataFrame, keys, order: str, value: Column, out: str, inclusive, block, fn, merge, level: int = 0):
-    """Windows inside blocks of ``order`` plus a carry over block summaries.
+def _hot_keys(data: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Keys that own more than one part in ``buckets`` of all rows, so fewer than ``buckets`` keys."""
+    share = data.count() / buckets
+    return data.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > share).select(*keys, F.lit(True).alias("_hot"))
 
-    Without keys the summaries of one very long order would meet in one window,
-    so they are carried block by block once more.
+
+def _blocked(df: DataFrame, keys, order: str, value: Column, out: str, inclusive, fn, merge, buckets: int | None = None):
+    """Windows inside blocks of ``order`` plus a carry over a small table of block summaries.
+
+    Blocks are ranges between sampled values, so they are even whatever the
+    spacing of ``order``.  Only keys too large for one task are cut; there are
+    fewer of them than buckets, and each has at most ``buckets`` summaries.
     """
-    keys = list(keys)
-    v, b, near, carry, bv = (f"_{name}{level}" for name in ("v", "b", "near", "carry", "bv"))
-    data = df.withColumn(v, value).withColumn(b, F.floor(F.col(order) / block))
-    inside = Window.partitionBy(*keys, b).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    blocks = data.groupBy(*keys, b).agg(fn(v).alias(bv))
-    if not keys and level == 0:
-        blocks = _blocked(blocks, keys, b, F.col(bv), carry, False, block, fn, merge, level=1).drop(bv)
+    keys, spark = list(keys), df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    data = settle(df.withColumn("_v", value), "ordered")
+    if keys:
+        hot = settle(_hot_keys(data, keys, buckets), "hot-keys")
+        data = _null_safe(data, F.broadcast(hot), keys, "left")
+        place = range_bucket(F.col(order), sample_bounds(data.where("_hot"), order, buckets))
+        data = data.withColumn("_b", F.when(F.col("_hot"), place).otherwise(-1)).drop("_hot")
     else:
-        ahead = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-        blocks = blocks.select(*keys, b, fn(bv).over(ahead).alias(carry))
-    joined = _null_safe(data.withColumn(near, fn(v).over(inside)), blocks, [*keys, b], "inner")
-    return joined.withColumn(out, merge(F.col(near), F.col(carry))).drop(v, b, near, carry)
+        data = data.withColumn("_b", range_bucket(F.col(order), sample_bounds(data, order, buckets)))
+    inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    near = data.withColumn("_near", fn("_v").over(inside))
+    ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = data.where("_b >= 0").groupBy(*keys, "_b").agg(fn("_v").alias("_bv"))
+    carried = blocks.select(*keys, "_b", fn("_bv").over(ahead).alias("_carry"))
+    joined = _null_safe(near, carried, [*keys, "_b"], "left")
+    return joined.withColumn(out, merge(F.col("_near"), F.col("_carry"))).drop("_v", "_b", "_near", "_carry")
 
 
 def running_max(
-    df: DataFrame, keys, order: str, value: Column, out: str, inclusive: bool = True, block: int = BLOCK
+    df: DataFrame, keys, order: str, value: Column, out: str, inclusive: bool = True, buckets: int | None = None
 ) -> DataFrame:
-    """Running maximum of ``value`` by ascending integer ``order`` inside ``keys``.
+    """Running maximum of ``value`` by ascending ``order`` (any type, unique per key) inside ``keys``.
 
-    ``order`` is unique per key, so a block of it holds at most ``block`` rows
-    whatever the key.  With a struct ``(order, payload)`` and
-    ``inclusive=False`` this is the previous row.
+    With a struct ``(order, payload)`` and ``inclusive=False`` this is the
+    previous row.
     """
-    return _blocked(df, keys, order, value, out, inclusive, block, F.max, F.greatest)
+    return _blocked(df, keys, order, value, out, inclusive, F.max, F.greatest, buckets)
 
 
 def running_sum(
-    df: DataFrame, keys, order: str, value: Column, out: str, inclusive: bool = True, block: int = BLOCK
+    df: DataFrame, keys, order: str, value: Column, out: str, inclusive: bool = True, buckets: int | None = None
 ) -> DataFrame:
-    """Running sum of a non-null ``value`` by ascending integer ``order`` inside ``keys``."""
+    """Running sum of a non-null ``value`` by ascending ``order`` (any type, unique per key) inside ``keys``."""
     zero = F.lit(0)
     return _blocked(
-        df, keys, order, value, out, inclusive, block, F.sum,
-        lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero),
+        df, keys, order, value, out, inclusive, F.sum,
+        lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero), buckets,
     )

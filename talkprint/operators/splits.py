@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkprint.operators.ordering import hash_rank, value_rank
+from talkprint.operators.ordering import hash_order, hash_rank, value_rank
 from talkprint.sources.shared import settle
 
 
@@ -156,9 +156,10 @@ def sample_k(df: DataFrame, id_col: str, k: int, seed: int = 0, sort: bool = Tru
     position in ``draw`` instead of sorting by id.
     """
     rows = df if pool is None else df.where(pool)
-    ranked = hash_rank(rows, id_col, seed, out="draw")
-    taken = ranked if not k else ranked.where(F.col("draw") <= k)
-    return taken.drop("draw").sort(id_col) if sort else taken
+    if k:
+        # Every task keeps its k smallest hashes: no rank of the whole table is needed.
+        rows = rows.orderBy(hash_order(seed, id_col), id_col).limit(k)
+    return rows.sort(id_col) if sort else hash_rank(rows, id_col, seed, out="draw")
 
 
 def holdout(tasks: DataFrame, id_col: str, val_size: int, baseline_size: int, seed: int = 0) -> DataFrame:

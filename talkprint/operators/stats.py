@@ -32,9 +32,9 @@ def population_stats(
         F.count("*").alias("n"),
         *[F.struct(F.avg(f).alias("mean"), F.stddev_pop(f).alias("std")).alias(f) for f in features],
     )
-    checked = row.withColumn(
-        "n", F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("no fingerprints computed")))
-    )
+    # In a filter, so that a caller's choice of columns cannot prune the check away.
+    none = F.raise_error(F.lit("no fingerprints computed"))
+    checked = row.where(F.when(F.col("n") > 0, F.lit(True)).otherwise(none))
     return long_form(checked, ["n"], features).select(
         F.lit(source).alias("source"), F.lit(domain).alias("domain"), "feature", "value.mean", "value.std", "n"
     )
@@ -62,17 +62,20 @@ def dice(m: Column, h: Column) -> Column:
 def dice_per_feature(means: DataFrame, ref_stats: DataFrame, by: list[str], features=FEATURES) -> DataFrame:
     """One row per group and feature; a feature missing on either side reads as 0.
 
-    The reference and dimension tables have one row per feature, hence the
-    broadcasts.
+    ``ref_stats`` must hold one reference: a feature that occurs twice fails.
     """
     spark = means.sparkSession
     names = [f for f in features if f in means.columns]
     long = long_form(means, by, names, "m")
-    ref = ref_stats.select("feature", F.col("mean").alias("h"))
+    several = F.raise_error(F.lit("ref_stats holds several references: keep one source and domain"))
+    ref = (
+        ref_stats.groupBy("feature").agg(F.count("*").alias("_n"), F.max("mean").alias("h"))
+        .where(F.when(F.col("_n") > 1, several).otherwise(F.lit(True))).drop("_n")
+    )
     dims = dimension_table(spark).select("feature", "dim")
     return (
         long.join(F.broadcast(dims), "feature")
-        .join(F.broadcast(ref), "feature", "left")
+        .join(ref, "feature", "left")
         .select(*by, "feature", "dim", dice(F.coalesce("m", F.lit(0.0)), F.coalesce("h", F.lit(0.0))).alias("dice"))
     )
 

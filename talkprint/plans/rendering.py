@@ -8,6 +8,7 @@ from talkprint.operators.fingerprint import fingerprint
 from talkprint.plans.bindings import CONV, SPACE, conv_turns, sql_fp, sql_trim, table
 from talkprint.plans.cleaning import sql_excerpt
 from talkprint.plans.registry import query
+from talkprint.sources.shared import settle
 
 TEMPLATE = "\n## Style\n{persona_policy_text}\n--- \n"
 
@@ -198,10 +199,10 @@ def w11(spark, d):
     turns = conv_turns(spark, d)
     batch = F.floor(F.col("dialog_id") / 10)
     p_human = F.when(batch % 4 != 0, ((F.col("dialog_id") * 53) % 97) / F.lit(97.0))
-    episodes = fingerprint(turns).join(clean.excerpts(turns), "dialog_id").select(
+    episodes = settle(fingerprint(turns).join(clean.excerpts(turns), "dialog_id").select(
         batch.alias("batch"), F.col("dialog_id").alias("pos"), F.repeat(F.lit("persona "), ((F.col("dialog_id") % 7) * 40 + 1).cast("int")).alias("persona"),
         "excerpt", prompts.fingerprint_block().alias("fp_block"), p_human.alias("p_human"),
-    )
+    ), "episodes")
     pos = F.col("pos")
     personas = episodes.select(
         "batch", (pos % 3).alias("task_no"), "pos", F.create_map(F.lit("terse"), pos % 2 == 0, F.lit("skeptical"), pos % 5 == 0).alias("axis_placement"), "p_human"

@@ -17,8 +17,6 @@ from talkprint.plans.registry import query
 from talkprint.sources import tables
 from talkprint.sources.shared import scratch, settle
 
-TREES, DEPTH = 30, 6  # for the registered runs; the library defaults are 200 and 12
-
 
 def humans(spark, d):
     fps = settle(fingerprint(conv_turns(spark, d)), "humans")
@@ -77,7 +75,7 @@ def s01(spark, d):
 def s02(spark, d):
     h = humans(spark, d)
     ep = episodes(spark, d)
-    fitted = model.fit_discriminator(h, ep.where("condition = 'default'"), TREES, DEPTH)
+    fitted = model.fit_discriminator(h, ep.where("condition = 'default'"))
     scored = model.score(fitted, ep.where("condition = 'evolved'").drop("p_human"))
     return scorecard.policy_score(scored, stats.population_stats(h))
 
@@ -218,10 +216,10 @@ def s10(spark, d):
 
 @query(
     "s11_turn_fallback",
-    "SELECT user_id AS episode_id, CASE WHEN user_id % 3 = 0 THEN count(*) ELSE user_id END AS n_turns FROM events WHERE user_id > 0 GROUP BY user_id",
+    "SELECT user_id AS episode_id, CASE WHEN user_id % 3 = 0 THEN count(*) ELSE user_id END AS n_turns FROM events GROUP BY user_id",
 )
 def turn_fallback(spark, d):
-    ev = table(spark, d, "events").where("user_id > 0")
+    ev = table(spark, d, "events")
     eps = ev.select(F.col("user_id").alias("episode_id")).distinct().withColumn(
         "n_turns", F.when(F.col("episode_id") % 3 == 0, 0).otherwise(F.col("episode_id"))
     )
@@ -271,18 +269,18 @@ def m03(spark, d):
 
 @query("m04_cross_validation")
 def m04(spark, d):
-    return model.cross_validation(*_populations(spark, d), num_trees=TREES, max_depth=DEPTH)
+    return model.cross_validation(*_populations(spark, d))
 
 
 @query("m05_importances")
 def m05(spark, d):
-    return model.importances(spark, model.fit_discriminator(*_populations(spark, d), TREES, DEPTH))
+    return model.importances(spark, model.fit_discriminator(*_populations(spark, d)))
 
 
 @query("m06_batch_scoring")
 def m06(spark, d):
     h, s = _populations(spark, d)
-    return model.score(model.fit_discriminator(h, s, TREES, DEPTH), h).select("dialog_id", "p_human")
+    return model.score(model.fit_discriminator(h, s), h).select("dialog_id", "p_human")
 
 
 AUC_SQL = """WITH s AS (SELECT {score} AS s, {label} AS y FROM {src}), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS mid FROM s),
@@ -310,5 +308,5 @@ def _auc_row(df):
 def m08(spark, d):
     h, s = _populations(spark, d)
     path = scratch(spark, "discriminator")
-    model.save_model(model.fit_discriminator(h, s, TREES, DEPTH), path)
+    model.save_model(model.fit_discriminator(h, s), path)
     return model.score(model.load_model(path), s).select("dialog_id", "p_human")

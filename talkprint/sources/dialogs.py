@@ -6,7 +6,7 @@ corpora).  Records are read as VARIANT, which keeps unknown keys and lets every
 record be checked once, in the scan.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkprint.functions import text as T
@@ -14,23 +14,45 @@ from talkprint.functions import text as T
 TURN = "struct<role:string,content:string>"
 
 
-def _fail(condition: Column, message: str, value: Column) -> Column:
-    return F.when(condition, F.raise_error(F.lit(message))).otherwise(value)
+def _require(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """Fail where ``condition`` does not hold.  A filter, so that it stays whatever columns are read."""
+    return df.where(F.when(condition, F.lit(True)).otherwise(F.raise_error(F.lit(message))))
+
+
+def _file_columns() -> list[Column]:
+    names = {"file": "file_name", "path": "file_path", "block": "file_block_start"}
+    return [F.col(f"_metadata.{field}").alias(name) for name, field in names.items()]
+
+
+def _numbered(raw: DataFrame) -> DataFrame:
+    """Adds ``i``, the 0-based place of a record in its file, however the file is split.
+
+    ``raw`` has ``path`` and ``block``, the offset of the split a record was read
+    from.  Places are counted inside a split, and a table of one row per split
+    carries the counts on.
+    """
+    marked = raw.withColumn("_m", F.monotonically_increasing_id())
+    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = raw.groupBy("path", "block").agg(F.count("*").alias("_n"))
+    starts = counts.select("path", "block", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("_m")) - 1
+    placed = marked.withColumn("_in", inside).join(starts, ["path", "block"])
+    return placed.withColumn("i", F.col("_start") + F.col("_in")).drop("_m", "_in", "_start", "path", "block")
 
 
 def _records(spark: SparkSession, path, layout: str, what: str) -> DataFrame:
-    """``(file, i, v)``: one variant per record, ``i`` its place in an array file."""
+    """``(file, i, v)``: one variant per record, ``i`` its place in the file."""
     raw = (
         spark.read.option("singleVariantColumn", "v")
         .option("multiLine", layout == "array")
         .option("mode", "FAILFAST")
         .json(path)
-        .select(F.col("_metadata.file_name").alias("file"), "v")
+        .select(*_file_columns(), "v")
     )
     if layout == "lines":
-        return raw.select("file", F.monotonically_increasing_id().alias("i"), "v")
+        return _numbered(raw).select("file", "i", "v")
     is_array = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
-    checked = raw.select("file", _fail(~is_array, f"{what} file must be a JSON array", F.col("v")).alias("whole"))
+    checked = _require(raw, is_array, f"{what} file must be a JSON array").select("file", F.col("v").alias("whole"))
     items = checked.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
     return items.select("file", F.col("pos").cast("long").alias("i"), F.col("value").alias("v"))
 
@@ -56,9 +78,9 @@ def read_dialogs(spark: SparkSession, path, layout: str = "array", empty_falls_b
         found = F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(F.coalesce(trace("turns"), found))
     meta = F.try_variant_get("v", F.lit("$.metadata"), "map<string,string>")
     given = F.try_variant_get("v", F.lit("$.metadata.dialog_id"), "string")
-    return rec.select(
+    return _require(rec, has("conversation") | has("turns"), "a dialog must have a 'conversation' key").select(
         F.coalesce(given, F.concat_ws("#", "file", F.col("i").cast("string"))).alias("dialog_id"),
-        _fail(~(has("conversation") | has("turns")), "a dialog must have a 'conversation' key", found).alias("conversation"),
+        found.alias("conversation"),
         meta.alias("metadata"),
     )
 
@@ -107,9 +129,9 @@ def read_tasks(spark: SparkSession, path, layout: str = "array") -> DataFrame:
     def field(name):
         return F.try_variant_get("v", F.lit(f"$.{name}"), "string")
 
-    return rec.select(
+    return _require(rec, field("description").isNotNull(), "a task is missing 'description'").select(
         F.coalesce(field("task_id"), F.col("i").cast("string")).alias("task_id"),
-        _fail(field("description").isNull(), "a task is missing 'description'", field("description")).alias("description"),
+        field("description").alias("description"),
         F.coalesce(field("context"), F.lit("")).alias("context"),
         extra.alias("metadata"),
     )
@@ -132,8 +154,8 @@ def read_text_dialogs(spark: SparkSession, path, separator: str = "---") -> Data
     ``ASSISTANT:`` start a turn, other non-blank lines continue it, lines before
     the first turn and empty turns drop, as do dialogues without a turn.
     """
-    blocks = spark.read.option("lineSep", separator).text(path).select(
-        F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("i"), "value"
+    blocks = _numbered(
+        spark.read.option("lineSep", separator).text(path).select(*_file_columns(), "value")
     )
     lines = F.filter(
         F.transform(F.split("value", T.NEWLINE), T.trim_ws), lambda x: x != ""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from talkprint.functions.banks import FEATURES
 from talkprint.operators.fingerprint import fingerprint, individual_fingerprints
 from talkprint.operators.stats import population_stats
+from talkprint.sources.shared import settle
 
 TRAIN_CURVE = (
     "iteration int, epoch int, batch_in_epoch int, steps_per_epoch int, program string, final_combined_score double, "
@@ -30,7 +31,7 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists", by: list[
 def build_reference(turns: DataFrame, source: str = "custom", domain: str = "custom") -> tuple[DataFrame, DataFrame]:
     """``(ref_stats, individual fingerprints)``: means over every dialogue with a trace,
     the cloud over those with at least two messages."""
-    fps = fingerprint(turns)
+    fps = settle(fingerprint(turns), "fingerprints")
     return population_stats(fps, source, domain), individual_fingerprints(fps)
 
 
@@ -100,10 +101,11 @@ def append_iteration_log(
     """One row per persona of an iteration with the logged metrics, partitioned by iteration.
 
     ``personas(iteration, task_id, pos, ...)`` carries its own score, joined by
-    key; scores cannot shift when an episode failed.
+    key; scores cannot shift when an episode failed.  Rows of an iteration meet
+    before the write, so it gets one file.
     """
     logged = metrics.select("iteration", *[m for m in LOGGED_METRICS if m in metrics.columns])
-    rows = personas.join(logged, "iteration").withColumn("phase", F.lit(phase))
+    rows = personas.join(logged, "iteration").withColumn("phase", F.lit(phase)).repartition("iteration")
     write_table(rows, path, "append", ["iteration"])
 
 

@@ -179,3 +179,20 @@ def test_hot_dialogue_keeps_no_window_over_it(turns):
     """The opening turns are pruned before the shuffle and nothing else sorts a dialogue."""
     plan = fingerprint(turns({"d": [("user", "a b c")]}))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") == plan.count("WindowGroupLimit [dialog_id#") // 2
+
+
+AWKWARD = [
+    r"\b(?:very )?good\b", "foo|bar", r"\bfoo\b|\bbar\b", r"\$\d+", r"[$.]\s*x", r"\bx?yz\b", r"\b(?:a|bc)d\b", r"\b(?:(?:un)?done|ok)\b",
+    r"^\s*hi\b", r"end$", r"\w+@\w+", r"[^\W\d]+\d", r"[]a]q", r"[[&]z", r"(ab)\1", r"(?P<c>[xy])-(?P=c)", r"\bgo+d\b", r"\(a\|b\)", r"a.c", r"\bé\b",
+]
+SAMPLES = [
+    "good", "very good", "goods", "foo", "a bar", "foobar", "cost $15", "$ 15", ". x", "$\u3000x", "yz", "xyz", "ad", "bcd", "abd", "undone", "done", "ok",
+    " hi there", "oh hi", "the end", "the end\n", "ending", "a@b", "é1", "1a", "]q", "aq", "&z", "[z", "abab", "abba", "x-x", "x-y", "god", "gooood", "gd",
+    "(a|b)", "a\nc", "a\rc", "é", "né", "", "٣ $٣",
+]
+
+
+@pytest.mark.parametrize("bank", [[p] for p in AWKWARD] + [AWKWARD[:8], AWKWARD], ids=str)
+def test_custom_banks_match_as_python_does(spark, bank):
+    df = spark.createDataFrame([(s,) for s in SAMPLES], "s string").select("s", T.matches_bank(F.col("s"), bank).alias("hit"))
+    assert {r.s: r.hit for r in df.collect()} == {s: any(re.search(p, s) for p in bank) for s in SAMPLES}

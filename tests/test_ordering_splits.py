@@ -11,8 +11,8 @@ def test_running_forms_match_brute_force(spark):
     rnd = random.Random(5)
     rows = [(k, i, rnd.choice([None, *range(9)])) for k in ("a", "b", None) for i in rnd.sample(range(-20, 40), 30)]
     df = spark.createDataFrame(rows, "k string, i int, v int")
-    got = ordering.running_max(df, ["k"], "i", F.col("v"), "m", block=4)
-    got = ordering.running_sum(got, ["k"], "i", F.coalesce("v", F.lit(0)), "s", inclusive=False, block=4)
+    got = ordering.running_max(df, ["k"], "i", F.col("v"), "m", buckets=4)
+    got = ordering.running_sum(got, ["k"], "i", F.coalesce("v", F.lit(0)), "s", inclusive=False, buckets=4)
     for r in got.collect():
         before = [v for k, i, v in rows if k == r.k and i <= r.i and v is not None]
         assert r.m == (max(before) if before else None)
@@ -21,7 +21,7 @@ def test_running_forms_match_brute_force(spark):
 
 def test_previous_row(spark):
     df = spark.createDataFrame([(1, "x"), (7, "y"), (9000, "z")], "i int, v string")
-    prev = ordering.running_max(df, [], "i", F.struct("i", "v"), "p", inclusive=False, block=4)
+    prev = ordering.running_max(df, [], "i", F.struct("i", "v"), "p", inclusive=False, buckets=4)
     assert {r.i: r.p and r.p.v for r in prev.collect()} == {1: None, 7: "x", 9000: "y"}
 
 
@@ -162,6 +162,34 @@ def test_pad_personas(spark):
         batches.pad_personas(df.where("pos = 1"), 3).collect()
 
 
+def test_pad_personas_blank_and_trimmed(spark):
+    rows = [("t", 0, "\n", "a"), ("t", 1, " x\n", None), ("t", 2, None, "c")]
+    df = spark.createDataFrame(rows, "task_id string, pos int, text string, persona_id string")
+    got = sorted((r.slot, r.text, r.persona_id) for r in batches.pad_personas(df, 3).collect())
+    assert got == [(0, "x", "direct_persona_0"), (1, "x", "direct_persona_1"), (2, "x", "direct_persona_2")]
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_running_values_over_timestamps_with_a_hot_key(spark, keys):
+    rng = random.Random(1)
+    rows = [("hot" if i % 3 else f"k{i % 40}", rng.random() * 1e9, rng.randrange(100)) for i in range(900)] + [(None, 5.0, 7), (None, 9.0, 2)]
+    df = spark.createDataFrame(rows, "k string, at double, v int").withColumn("at", F.timestamp_micros((F.col("at") * 1e3).cast("long")))
+    got = ordering.running_sum(df, keys, "at", F.col("v"), "total", buckets=8)
+    got = ordering.running_max(got, keys, "at", F.struct("at", "v"), "before", inclusive=False, buckets=8).collect()
+    totals, last = {}, {}
+    for r in sorted(got, key=lambda r: r["at"]):
+        k = r.k if keys else 0
+        assert (r.before and r.before.v) == last.get(k)
+        totals[k] = totals.get(k, 0) + r.v
+        last[k] = r.v
+        assert r.total == totals[k]
+
+
+def test_hot_keys_are_few(spark):
+    df = spark.createDataFrame([("a" if i % 3 else f"k{i}",) for i in range(300)], "k string")
+    assert [r.k for r in ordering._hot_keys(df, ["k"], 8).collect()] == ["a"]
+
+
 def test_nearest_attempt_ties_go_down(spark):
     train = spark.createDataFrame([(2,), (6,), (7,)], "iteration int")
     val = spark.createDataFrame([(1,), (4,), (5,), (7,), (99,)], "iteration int")
@@ -193,4 +221,18 @@ def test_stagnation(spark):
 
 def test_domains():
     assert curves.domain_list("retail_airline") == ["retail", "airline"]
+    assert curves.domain_list("x, combined_retail_airline+x") == ["x", "retail", "airline"] and curves.domain_list(" , ") == ["retail"]
     assert curves.domain_list("a+b, c") == ["a", "b", "c"] and curves.domain_list(None) == ["retail"]
+
+
+def test_train_score_falls_back(spark):
+    rows = [(0.5, 0.1), (None, 0.1), (None, None)]
+    df = spark.createDataFrame(rows, "final_combined_score double, train_combined double")
+    assert [r[0] for r in df.select(curves.train_score()).collect()] == [0.5, 0.1, 0.0]
+
+
+def test_sample_k_is_the_head_of_the_shuffle(spark):
+    df = spark.createDataFrame([(i,) for i in range(50)], "id int")
+    want = sorted(range(50), key=lambda i: hashlib.md5(f"3:{i}".encode()).hexdigest())[:7]
+    assert [r.id for r in splits.sample_k(df, "id", 7, 3).collect()] == sorted(want)
+    assert {r.id: r.draw for r in splits.sample_k(df, "id", 7, 3, sort=False).collect()} == {i: n + 1 for n, i in enumerate(want)}

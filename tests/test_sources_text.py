@@ -216,6 +216,44 @@ def test_render_persona(spark):
     assert base in row.full and persona in row.full and row.skip == base and row.kept.startswith(base + "\n\n")
 
 
+def test_a_hopelessly_nested_reply_is_one_bad_row(spark):
+    df = spark.createDataFrame([(1, "[" * 20_000), (2, '{"persona_id": "a", "expanded_instruction": "x"}')], "response_id int, raw string")
+    rows = {r.response_id: r.persona_id for r in prompts.parse_personas(df, ["terse"], 1).collect()}
+    assert rows == {1: None, 2: "a"}
+
+
+def test_a_stray_turn_in_another_group_is_not_kept(spark):
+    prose = "this is a plain sentence with enough words to count as prose"
+    rows = [(d, i, "user", f"{prose} {i}", "repo") for d in ("a", "b", "c") for i in range(2)] + [("a", 9, "user", prose, "other")]
+    df = spark.createDataFrame(rows, "dialog_id string, turn int, role string, content string, repo string")
+    kept = clean.clean_dialogs(df, "repo").collect()
+    assert len(kept) == 6 and {r.repo for r in kept} == {"repo"}
+
+
+@pytest.mark.parametrize("split", ["64", "200", "128m"])
+def test_places_do_not_depend_on_file_splits(spark, tmp_path, split):
+    tasks = put(tmp_path, "t.jsonl", "\n".join(json.dumps({"description": f"d{i}"}) for i in range(40)))
+    dialogs = put(tmp_path, "d.jsonl", "\n".join(json.dumps({"turns": [{"role": "user", "content": f"c{i}"}]}) for i in range(40)))
+    texts = put(tmp_path, "x.txt", "---".join(f"USER: c{i}\n" for i in range(40)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        assert {r.task_id: r.description for r in D.read_tasks(spark, tasks, "lines").collect()} == {str(i): f"d{i}" for i in range(40)}
+        for df, name in ((D.read_dialogs(spark, dialogs, "lines"), "d.jsonl"), (D.read_text_dialogs(spark, texts), "x.txt")):
+            assert {r.dialog_id: r.conversation[0].content for r in df.collect()} == {f"{name}#{i}": f"c{i}" for i in range(40)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_checks_stay_when_other_columns_are_read(spark, tmp_path):
+    bad = put(tmp_path, "b.jsonl", json.dumps({"x": 1}))
+    with pytest.raises(Exception, match="conversation"):
+        D.read_dialogs(spark, bad, "lines").select("dialog_id").collect()
+    with pytest.raises(Exception, match="description"):
+        D.read_tasks(spark, bad, "lines").select("task_id").collect()
+    with pytest.raises(Exception, match="JSON array"):
+        D.read_tasks(spark, put(tmp_path, "o.json", '{"a": 1}')).select("task_id").collect()
+
+
 def test_parse_personas(spark):
     good = '{"persona_id": "a", "expanded_instruction": "x", "axis_placement": {"terse": "Yes", "odd": true}}'
     raws = {

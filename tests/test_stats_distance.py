@@ -47,6 +47,31 @@ def test_chamfer_empty_and_zero(spark, cloud):
     assert distance.overall_chamfer(h, h, d_ref(spark, 0)).first()[0] == 0.0
 
 
+def test_empty_sides_with_string_groups(spark, cloud):
+    p, h = cloud(np.ones((4, 3)), ["a", "a", "b", "b"]), cloud(np.ones((4, 3)))
+    assert {r.g: r.chamfer for r in distance.chamfer(p, h.limit(0), d_ref(spark, 1), "g").collect()} == {"a": 0.0, "b": 0.0}
+    assert distance.chamfer(p.limit(0), h, d_ref(spark, 1), "g").count() == 0
+    assert distance.mean_task_chamfer(p, h.limit(0), d_ref(spark, 1), "g").first()[0] == 0.0
+
+
+def test_groups_of_a_block_are_one_row_per_block_of_humans(cloud):
+    rng = np.random.default_rng(3)
+    p, h = cloud(rng.random((200, 3)), [i % 100 for i in range(200)]), cloud(rng.random((150, 3)))
+    _, rows = distance.cell_minima(p, h, "g", block_rows=50)
+    sides = {r.side: r["count"] for r in rows.groupBy("side").count().collect()}
+    blocks = 3
+    assert sides[distance.WHOLE] <= 100 * blocks and sides[distance.POINT] <= 200 * blocks and distance.HUMAN not in sides
+
+
+def test_one_large_group_is_split(spark, cloud):
+    rng = np.random.default_rng(4)
+    x, h = rng.random((60, 3)), rng.random((30, 3))
+    groups = [0 if i < 50 else i for i in range(60)]
+    got = {r.g: r.chamfer for r in distance.chamfer(cloud(x, groups), cloud(h), d_ref(spark, 1), "g", block_rows=8).collect()}
+    want = {str(g): brute_chamfer(x[[k == g for k in groups]], h, 1) for g in set(groups)}
+    assert got == pytest.approx(want)
+
+
 def test_near_beats_far(spark, cloud):
     rng = np.random.default_rng(0)
     h = rng.random((6, 5))
@@ -106,6 +131,10 @@ def test_population_stats_and_alignment(spark):
     assert list(stats.overall_dice(fps.limit(0), ref).first()) == [0.0] * 5
     with pytest.raises(Exception, match="no fingerprints"):
         stats.population_stats(fps.where("n_messages > 5")).collect()
+    with pytest.raises(Exception, match="no fingerprints"):
+        stats.population_stats(fps.where("n_messages > 5")).select("feature").collect()
+    with pytest.raises(Exception, match="several references"):
+        stats.overall_dice(fps, ref.union(stats.population_stats(fps, "src", "other"))).collect()
     assert {r["mean"] for r in stats.neutral_prior(spark).collect()} == {0.0}
 
 
