@@ -40,17 +40,21 @@ def conv_turns(spark, d) -> DataFrame:
     )
 
 
+def phrase_dialog():
+    """The dialogue of an event: the id of its first event."""
+    place, start = F.col("event_id") % 100, F.lit(0)
+    for first in STARTS[1:]:
+        start = F.when(place >= first, first).otherwise(start)
+    return F.floor(F.col("event_id") / 100) * 100 + start
+
+
 def phrase_turns(spark, d) -> DataFrame:
     content = F.lit(None).cast("string")
     for kind, texts in PHRASES.items():
         for i, t in enumerate(texts):
             content = F.when((F.col("event_type") == kind) & (F.col("event_id") % 4 == i), t).otherwise(content)
-    place = F.col("event_id") % 100
-    start = F.lit(0)
-    for first in STARTS[1:]:
-        start = F.when(place >= first, first).otherwise(start)
     return table(spark, d, "events").select(
-        (F.floor(F.col("event_id") / 100) * 100 + start).alias("dialog_id"), (place - start).alias("turn"),
+        phrase_dialog().alias("dialog_id"), (F.col("event_id") - phrase_dialog()).alias("turn"),
         F.lit("user").alias("role"), content.alias("content"),
     )
 
@@ -109,8 +113,9 @@ def sql_ids(col: str) -> str:
 
 CONV = "turns AS (SELECT conv_id AS dialog_id, turn, role, text AS content FROM conversations)"
 _START = "CASE WHEN event_id % 100 >= 20 THEN 20 WHEN event_id % 100 >= 4 THEN 4 WHEN event_id % 100 >= 1 THEN 1 ELSE 0 END"
+SQL_PHRASE_DIALOG = f"event_id // 100 * 100 + {_START}"
 PHRASE = (
-    f"turns AS (SELECT event_id // 100 * 100 + {_START} AS dialog_id, event_id % 100 - {_START} AS turn, 'user' AS role, CASE "
+    f"turns AS (SELECT {SQL_PHRASE_DIALOG} AS dialog_id, event_id % 100 - {_START} AS turn, 'user' AS role, CASE "
     + " ".join(
         f"WHEN event_type = '{k}' AND event_id % 4 = {i} THEN {lit(t)}" for k, ts in PHRASES.items() for i, t in enumerate(ts)
     )

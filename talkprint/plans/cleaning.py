@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from talkprint.operators import clean
-from talkprint.plans.bindings import CONV, PHRASE, SPACE, W, conv_turns, lit, phrase_turns, sql_trim, table
+from talkprint.plans.bindings import (
+    CONV, PHRASE, SPACE, SQL_PHRASE_DIALOG, W, conv_turns, lit, phrase_dialog, phrase_turns, sql_trim, table,
+)
 from talkprint.plans.registry import query
 
 
@@ -64,7 +66,7 @@ def b04(spark, d):
 @query(
     "b05_strip_leading_setup",
     f"""WITH {CONV}, marked AS (SELECT dialog_id, turn, role, CASE WHEN turn = 0 AND dialog_id % 2 = 0 THEN ' \\tau task ' || content
-      WHEN turn <= 1 AND dialog_id % 3 = 0 THEN content || '<|canvas|>' WHEN turn = 2 THEN '\\tau later' ELSE content END AS content FROM turns),
+      WHEN turn <= 1 AND dialog_id % 3 = 0 THEN content || '<|canvas|>' WHEN turn = 2 THEN '\\tau later ' || content ELSE content END AS content FROM turns),
     flagged AS (SELECT *, starts_with({sql_trim('content')}, '\\tau ') OR contains(content, '<|canvas|>') AS setup FROM marked),
     seen AS (SELECT *, max((NOT setup)::INT) OVER (PARTITION BY dialog_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS past FROM flagged),
     kept AS (SELECT *, count(*) OVER (PARTITION BY dialog_id) AS n FROM seen WHERE past = 1)
@@ -75,7 +77,7 @@ def b05(spark, d):
     marked = (
         F.when((t == 0) & (i % 2 == 0), F.concat(F.lit(" \\tau task "), c))
         .when((t <= 1) & (i % 3 == 0), F.concat(c, F.lit("<|canvas|>")))
-        .when(t == 2, "\\tau later")
+        .when(t == 2, F.concat(F.lit("\\tau later "), c))
         .otherwise(c)
     )
     return clean.strip_leading_setup(conv_turns(spark, d).withColumn("content", marked)).select("dialog_id", "turn", "role", "content")
@@ -233,13 +235,13 @@ def b13b(spark, d):
 
 @query(
     "b14_flip_roles",
-    f"""WITH {CONV}, t AS (SELECT * FROM turns WHERE role <> 'system'), firsts AS (SELECT dialog_id, min_by(role, turn) AS r FROM t GROUP BY dialog_id)
+    f"""WITH {CONV}, t AS (SELECT * FROM turns), firsts AS (SELECT dialog_id, min_by(role, turn) AS r FROM t GROUP BY dialog_id)
     SELECT dialog_id, turn AS pos, CASE WHEN role = 'user' THEN 'assistant' ELSE 'user' END AS role, content FROM t
     UNION ALL SELECT dialog_id, -2, 'system', 'task ' || dialog_id FROM firsts
     UNION ALL SELECT dialog_id, -1, 'user', 'How can I help you?' FROM firsts WHERE r = 'user'""",
 )
 def b14(spark, d):
-    t = conv_turns(spark, d).where("role <> 'system'")
+    t = conv_turns(spark, d)
     head = t.select("dialog_id").distinct().withColumn("content", F.concat(F.lit("task "), F.col("dialog_id").cast("string")))
     return clean.flip_roles(t, head)
 
@@ -268,15 +270,15 @@ def b23(spark, d):
     return table(spark, d, "orders").select(key.alias("k")).select("k", clean.instance_task_id(F.col("k"), "retail").alias("task_id"))
 
 
-EPISODE_SQL = f"""ep AS (SELECT e.user_id AS dialog_id, event_id AS turn, CASE WHEN event_id % 2 = 0 THEN 'assistant' ELSE 'user' END AS role,
-  CASE WHEN user_id % 9 = 1 AND event_type = 'error' THEN 'Sorry, I''m unable to' WHEN user_id % 9 = 2 AND event_id % 2 = 0 THEN 'I cannot'
-  WHEN user_id % 9 = 3 AND event_id % 4 = 0 THEN 'Could you please clarify? could you please clarify' WHEN user_id % 9 = 4 AND event_id % 6 = 0 THEN 'help me out, I''ll proceed with it'
-  WHEN user_id % 9 = 5 AND event_id % 2 = 1 THEN 'Never mind' WHEN user_id % 9 = 6 AND event_id % 4 = 0 THEN 'well i cannot'
-  WHEN user_id % 9 = 6 AND event_id % 4 = 2 THEN 'help you' WHEN user_id % 9 = 7 AND event_id % 2 = 0 THEN ['i', 'can''t', 'assist', 'x'][(event_id // 2) % 4 + 1] ELSE event_type END AS content FROM events e WHERE day(ts) <= user_id % 30)"""
+EPISODE_SQL = f"""ep AS (SELECT dialog_id, event_id AS turn, CASE WHEN event_id % 2 = 0 THEN 'assistant' ELSE 'user' END AS role,
+  CASE WHEN dialog_id % 9 = 1 AND event_type = 'error' THEN 'Sorry, I''m unable to' WHEN dialog_id % 9 = 2 AND event_id % 2 = 0 THEN 'I cannot'
+  WHEN dialog_id % 9 = 3 AND event_id % 4 = 0 THEN 'Could you please clarify? could you please clarify' WHEN dialog_id % 9 = 4 AND event_id % 6 = 0 THEN 'help me out, I''ll proceed with it'
+  WHEN dialog_id % 9 = 5 AND event_id % 2 = 1 THEN 'Never mind' WHEN dialog_id % 9 = 6 AND event_id % 4 = 0 THEN 'well i cannot'
+  WHEN dialog_id % 9 = 6 AND event_id % 4 = 2 THEN 'help you' WHEN dialog_id % 9 = 7 AND event_id % 2 = 0 THEN ['i', 'can''t', 'assist', 'x'][(event_id // 2) % 4 + 1] ELSE event_type END AS content FROM (SELECT *, {SQL_PHRASE_DIALOG} AS dialog_id FROM events))"""
 
 
 def _episodes(spark, d):
-    u, e = F.col("user_id") % 9, F.col("event_id")
+    u, e = phrase_dialog() % 9, F.col("event_id")
     words = F.array(*[F.lit(x) for x in ["i", "can't", "assist", "x"]])[(F.floor(e / 2) % 4).cast("int")]
     content = (
         F.when((u == 1) & (F.col("event_type") == "error"), "Sorry, I'm unable to")
@@ -289,8 +291,8 @@ def _episodes(spark, d):
         .when((u == 7) & (e % 2 == 0), words)
         .otherwise(F.col("event_type"))
     )
-    return table(spark, d, "events").where(F.dayofmonth("ts") <= F.col("user_id") % 30).select(
-        F.col("user_id").alias("dialog_id"), e.alias("turn"), F.when(e % 2 == 0, "assistant").otherwise("user").alias("role"), content.alias("content")
+    return table(spark, d, "events").select(
+        phrase_dialog().alias("dialog_id"), e.alias("turn"), F.when(e % 2 == 0, "assistant").otherwise("user").alias("role"), content.alias("content")
     )
 
 

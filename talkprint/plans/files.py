@@ -44,14 +44,14 @@ def _doc_tasks(spark, d):
 @query(
     "a03_read_text_dialogs",
     f"""WITH {CONV}, t AS (SELECT dialog_id, turn, role, array_to_string(list_filter(list_transform(string_split(content, chr(10)),
-      lambda x: regexp_replace(x, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), lambda x: x <> ''), ' ') AS content FROM turns WHERE role IN ('user', 'assistant'))
+      lambda x: regexp_replace(x, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), lambda x: x <> ''), ' ') AS content FROM (SELECT * REPLACE (CASE WHEN role = 'user' THEN role ELSE 'assistant' END AS role) FROM turns))
     SELECT role, content, row_number() OVER (PARTITION BY dialog_id ORDER BY turn) - 1 AS turn FROM t WHERE content <> ''""",
 )
 def a03(spark, d):
     path = scratch(spark, "text")
     line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("ASSISTANT:"), "content")
     blocks = (
-        conv_turns(spark, d).where("role <> 'system'").groupBy("dialog_id")
+        conv_turns(spark, d).groupBy("dialog_id")
         .agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).alias("ls"))
         .select(F.concat(F.lit("dropped head\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n"), F.lit("\n")).alias("value"))
     )
@@ -59,6 +59,48 @@ def a03(spark, d):
     return D.to_turns(D.read_text_dialogs(spark, path, "====")).select("role", "content", "turn")
 
 
+def write_files_of_one_value(values, key: str, join, path: str) -> None:
+    """Layouts that are one JSON value per file: records of a hash bucket share a file."""
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = values.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("b")).agg(join.alias("value")).select("value")
+    buckets.write.option("maxRecordsPerFile", 1).text(path)
+
+
+def json_array(record):
+    return F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]"))
+
+
+@query("a01_read_dialogs_array", f"WITH {CONV} SELECT dialog_id::VARCHAR AS dialog_id, turn, role, content FROM turns")
+def a01b(spark, d):
+    path = scratch(spark, "dialog-arrays")
+    nested = D.to_dialogs(conv_turns(spark, d)).select(F.to_json(F.struct("conversation", "metadata")).alias("record"))
+    write_files_of_one_value(nested, "record", json_array("record"), path)
+    return D.to_turns(D.read_dialogs(spark, path))
+
+
+@query(
+    "a02_read_tasks_array",
+    "SELECT doc_id::VARCHAR AS task_id, text AS description, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS context, source FROM documents",
+)
+def a02b(spark, d):
+    path = scratch(spark, "task-arrays")
+    tasks = _doc_tasks(spark, d).select(
+        F.to_json(F.struct("task_id", "description", "context", F.col("metadata.source").alias("source"))).alias("record")
+    )
+    write_files_of_one_value(tasks, "record", json_array("record"), path)
+    return D.read_tasks(spark, path).select("task_id", "description", "context", F.col("metadata.source").alias("source"))
+
+
+@query("a12_keyed_dialogs_object", f"WITH {CONV} SELECT 'retail_' || dialog_id || '_ann1' AS instance_id, turn, role, content FROM turns")
+def a12b(spark, d):
+    path = scratch(spark, "keyed-objects")
+    key = F.concat(F.lit("retail_"), F.col("metadata.dialog_id"), F.lit("_ann1"))
+    entries = D.to_dialogs(conv_turns(spark, d)).select(key.alias("k"), F.struct("conversation").alias("v"))
+    write_files_of_one_value(entries, "k", F.to_json(F.map_from_entries(F.collect_list(F.struct("k", "v")))), path)
+    back = D.read_keyed_dialogs(spark, path, "retail").withColumnRenamed("instance_id", "dialog_id")
+    return D.to_turns(back).withColumnRenamed("dialog_id", "instance_id")
+
+
 @query("a04_write_dialogs", f"WITH {CONV} SELECT dialog_id::VARCHAR AS dialog_id, count(*) AS n, sum(length(content))::BIGINT AS chars FROM turns GROUP BY 1")
 def a04(spark, d):
     path = scratch(spark, "dialogs")

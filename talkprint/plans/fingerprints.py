@@ -2,22 +2,16 @@
 
 from pyspark.sql import functions as F
 
+from talkprint.functions.text import matches_bank
 from talkprint.functions.banks import BANKS, FEATURES
 from talkprint.operators import distance, stats
 from talkprint.operators.fingerprint import fingerprint, individual_fingerprints, spoken_turns, turn_tokens
 from talkprint.plans.bindings import (
-    CONV, PHRASE, RATE_DIGITS, W, conv_turns, phrase_turns, r6, sql_chamfer, sql_dice, sql_dims, sql_fp, sql_list, sql_means, sql_r6,
+    CONV, PHRASE, RATE_DIGITS, W, conv_turns, phrase_turns, r6, sql_bank, sql_chamfer, sql_dice, sql_dims, sql_fp, sql_list, sql_means, sql_r6,
     sql_scaler, sql_spread, sql_z, table, with_r6,
 )
 from talkprint.plans.registry import query
-
-ORDER = [
-    "words_per_turn", "short_utterance_rate", "politeness_rate", "formality_rate", "acknowledgment_rate", "verbosity_cv",
-    "repetition_rate", "identity_confusion_rate", "front_loading_ratio", "identifiers_per_turn", "opening_length",
-    "uncertainty_rate", "certainty_rate", "pushback_rate", "clarification_question_rate", "info_seeking_rate",
-    "emotional_expression_rate", "accusatory_rate", "strategy_pivot_rate",
-]
-
+from talkprint.sources.shared import settle
 
 @query("b01_spoken_turns", f"WITH {CONV} SELECT dialog_id, turn, content FROM turns WHERE role = 'user' AND content <> ''")
 def spoken(spark, d):
@@ -43,7 +37,7 @@ def _single(number, name):
         return with_r6(fingerprint(phrase_turns(spark, d), features=[name]), [name], RATE_DIGITS).drop("n_messages")
 
 
-for _i, _name in enumerate(ORDER, start=1):
+for _i, _name in enumerate(FEATURES, start=1):
     _single(_i, _name)
 
 
@@ -70,15 +64,23 @@ def custom_bank(spark, d):
 
 @query(
     "f03_politeness_documents",
-    "SELECT doc_id, CAST(" + "regexp_matches(lower(text), '" + "|".join(
-        rf"(?:^|[^{W}])" + w + rf"(?:$|[^{W}])" for w in ["please", "thanks?", "sorry"]
-    ) + "') AS INT) AS polite FROM documents",
+    f"SELECT doc_id, CAST({sql_bank('lower(text)', 'politeness_rate')} AS INT) AS polite FROM documents",
 )
 def polite_documents(spark, d):
-    from talkprint.functions.text import matches_bank
+    return table(spark, d, "documents").select("doc_id", matches_bank(F.lower("text"), BANKS["politeness_rate"]).cast("int").alias("polite"))
+
 
-    some = [p for p in BANKS["politeness_rate"] if p in (r"\bplease\b", r"\bthanks?\b", r"\bsorry\b")]
-    return table(spark, d, "documents").select("doc_id", matches_bank(F.lower("text"), some).cast("int").alias("polite"))
+AWKWARD_BANK = [r"(?:very )?good", "pay|thanks", r"\bwait\b|\bscam\b", r"#\w+ order \d+$", r"[?.,]\s", r"(?:re|un)?al|x{2}", r"\b(?:i|a) wan?t"]
+
+
+@query(
+    "f20_awkward_bank",
+    rf"WITH {PHRASE} SELECT dialog_id, round(avg(regexp_matches(lower(content), '(?:very )?good|pay|thanks|\bwait\b|\bscam\b|#\w+ order \d+$|[?.,]\s|(?:re|un)?al|x{{2}}|\b(?:i|a) wan?t')::INT), 6) + 0.0 "
+    "AS hit_rate FROM turns GROUP BY dialog_id",
+)
+def awkward_bank(spark, d):
+    fps = fingerprint(phrase_turns(spark, d), banks={"hit_rate": AWKWARD_BANK}, features=["hit_rate"])
+    return fps.select("dialog_id", r6("hit_rate"))
 
 
 # ---------------------------------------------------------------- statistics
@@ -229,19 +231,18 @@ def p09(spark, d):
     return with_r6(distance.overall_chamfer(p, h, distance.reference_spread(h)), ["chamfer"])
 
 
-FEAT2 = ["words_per_turn", "opening_length", "front_loading_ratio", "verbosity_cv"]
 
 
 @query(
     "p09_chamfer_standardised",
-    f"WITH {HUMAN}, {SIM}, {sql_scaler('fp', features=FEAT2)}, h AS (SELECT dialog_id, {sql_z(FEAT2)} AS vec FROM fp CROSS JOIN scaler), "
-    f"p AS (SELECT 0 AS one, dialog_id, {sql_z(FEAT2)} AS vec FROM s_fp CROSS JOIN scaler), {sql_spread('h', 'dialog_id')}, "
+    f"WITH {HUMAN}, {SIM}, {sql_scaler('fp')}, h AS (SELECT dialog_id, {sql_z()} AS vec FROM fp CROSS JOIN scaler), "
+    f"p AS (SELECT 0 AS one, dialog_id, {sql_z()} AS vec FROM s_fp CROSS JOIN scaler), {sql_spread('h', 'dialog_id')}, "
     f"{sql_chamfer('p', 'dialog_id', 'h', 'dialog_id', 'one')} SELECT round(chamfer, 6) + 0.0 AS chamfer FROM cham",
 )
 def p09b(spark, d):
-    h, p = stats.assemble(humans(spark, d), FEAT2), stats.assemble(simulated(spark, d), FEAT2)
-    s = stats.fit_scaler(h, 4)
-    h, p = stats.apply_scaler(h, s, 4), stats.apply_scaler(p, s, 4)
+    h, p = stats.assemble(settle(humans(spark, d), "humans")), stats.assemble(settle(simulated(spark, d), "simulated"))
+    s = stats.fit_scaler(h, len(FEATURES))
+    h, p = stats.apply_scaler(h, s, len(FEATURES)), stats.apply_scaler(p, s, len(FEATURES))
     return with_r6(distance.overall_chamfer(p, h, distance.reference_spread(h)), ["chamfer"])
 
 
@@ -269,8 +270,7 @@ def p10b(spark, d):
 
 @query("p11_compress_cloud")
 def p11(spark, d):
-    cloud = distance.compress_cloud(vectors(spark, d).where("label >= 5"), 8, restarts=2)
-    return cloud.select(F.posexplode(F.slice("vec", 1, 4)).alias("pos", "value"))
+    return distance.compress_cloud(vectors(spark, d), 8).select(F.posexplode("vec").alias("pos", "value"))
 
 
 def _projected(spark, d):
@@ -279,6 +279,51 @@ def _projected(spark, d):
     return distance.project_2d(h.unionByName(p), 19, basis=["human"])
 
 
+@query(
+    "p11_parted_clusters",
+    "SELECT label, round(avg(embedding[1]::DOUBLE), 6) + 0.0 AS m1, round(avg(embedding[2]::DOUBLE), 6) + 0.0 AS m2 FROM embeddings GROUP BY label",
+)
+def p11b(spark, d):
+    """As many well-parted clusters as centroids: the centroids are the means of the clusters."""
+    far = F.array(F.col("label") * 1000.0, F.col("vec")[0], F.col("vec")[1])
+    v = vectors(spark, d).select("label", far.alias("vec"))
+    found = distance.compress_cloud(v, v.select("label").distinct().count()).select(
+        F.round(F.col("vec")[0] / 1000).cast("int").alias("label"), F.col("vec")[1].alias("m1"), F.col("vec")[2].alias("m2")
+    )
+    return with_r6(found, ["m1", "m2"])
+
+
+PAIR = """z AS (SELECT vec_id, label, (embedding[1]::DOUBLE - avg(embedding[1]::DOUBLE) OVER ()) / stddev_pop(embedding[1]::DOUBLE) OVER () AS a,
+  (embedding[2]::DOUBLE - avg(embedding[2]::DOUBLE) OVER ()) / stddev_pop(embedding[2]::DOUBLE) OVER () AS b FROM embeddings),
+c AS (SELECT avg(a * b) AS r FROM z),
+pc AS (SELECT vec_id, label, (a + sign(r) * b) / sqrt(2) AS pc1, (a - sign(r) * b) / sqrt(2) AS pc2, 50 * (1 + abs(r)) AS var1, 50 * (1 - abs(r)) AS var2 FROM z CROSS JOIN c)"""
+
+
+def _pair(spark, d, name):
+    v = vectors(spark, d).select(F.col(name).cast("string").alias("label"), F.slice("vec", 1, 2).alias("vec"))
+    return distance.project_2d(v, 2)
+
+
+@query(
+    "p12_pair_projection",
+    f"WITH {PAIR} SELECT vec_id::VARCHAR AS label, round(pc1 * pc1, 6) + 0.0 AS pc1, round(pc2 * pc2, 6) + 0.0 AS pc2, round(var1, 6) + 0.0 AS var1, round(var2, 6) + 0.0 AS var2 FROM pc",
+)
+def p12b(spark, d):
+    """Two standardised features: the axes are their sum and difference, up to a sign."""
+    pc = _pair(spark, d, "vec_id")
+    squares = pc.withColumn("pc1", F.col("pc1") * F.col("pc1")).withColumn("pc2", F.col("pc2") * F.col("pc2"))
+    return with_r6(squares, ["pc1", "pc2", "var1", "var2"])
+
+
+@query(
+    "p13_pair_centroids",
+    f"WITH {PAIR} SELECT label::VARCHAR AS label, round(avg(pc1) * avg(pc1), 6) + 0.0 AS pc1, round(avg(pc2) * avg(pc2), 6) + 0.0 AS pc2 FROM pc GROUP BY label",
+)
+def p13b(spark, d):
+    c = distance.centroids(_pair(spark, d, "label"), "label")
+    return with_r6(c.select("label", (F.col("pc1") * F.col("pc1")).alias("pc1"), (F.col("pc2") * F.col("pc2")).alias("pc2")), ["pc1", "pc2"])
+
+
 @query("p12_project_2d")
 def p12(spark, d):
     return _projected(spark, d)

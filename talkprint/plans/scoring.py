@@ -173,10 +173,10 @@ def _fmt(x: str, digits: int = 3) -> str:
     "CASE condition WHEN 'default' THEN 'Base-simulator' WHEN 'dp' THEN 'DP Personas' WHEN 'initial' THEN 'Initial generator' ELSE 'Evolved generator' END AS simulator, n, "
     f"{_fmt('p_human')} || '±' || {_fmt('p_human_ci')} AS p_human, {_fmt('chamfer')} AS chamfer, {_fmt('D1')} AS D1, {_fmt('D2')} AS D2, {_fmt('D3')} AS D3, {_fmt('D4')} AS D4, "
     f"{_fmt('overall')} AS d_avg, {_fmt('success * 100', 1)} || '%±' || {_fmt('success_ci * 100', 1)} AS success, {_fmt('reward')} || '±' || {_fmt('reward_ci')} AS reward, "
-    f"{_fmt('turns', 1)} AS turns, {_fmt('0.5 * p_human + 0.5 * chamfer')} AS score, true AS partial FROM met WHERE condition <> 'dp'",
+    f"{_fmt('turns', 1)} AS turns, {_fmt('0.5 * p_human + 0.5 * chamfer')} AS score, true AS partial FROM met",
 )
 def s07(spark, d):
-    return scorecard.report(metrics(spark, d).where("condition <> 'dp'"))
+    return scorecard.report(metrics(spark, d), [*scorecard.CONDITIONS, "never run"])
 
 
 @query("s08_weighted_fitness", f"WITH {METRICS} SELECT condition, round(0.7 * p_human + 0.3 * chamfer, 6) + 0.0 AS combined FROM met")
@@ -283,6 +283,52 @@ def m06(spark, d):
     return model.score(model.fit_discriminator(h, s), h).select("dialog_id", "p_human")
 
 
+ONE = ["words_per_turn"]
+PARTED_SQL = """SELECT 'h' AS side, conv_id AS dialog_id, 1.0::DOUBLE AS p_human FROM conversations GROUP BY conv_id
+UNION ALL SELECT 's', conv_id, 0.0 FROM conversations GROUP BY conv_id"""
+
+
+def _parted(spark, d):
+    """Two populations that one feature parts, with one split to find: P is 0 or 1 whatever rows a tree draws."""
+    turns = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("dialog_id")).agg(F.min("turn").alias("n"))
+    none = turns.select("dialog_id", (F.col("n") * 0.0).alias("words_per_turn"))
+    return none.withColumn("words_per_turn", F.col("words_per_turn") + 1), none
+
+
+def _parted_scores(spark, d, fitted):
+    h, s = _parted(spark, d)
+    both = h.withColumn("side", F.lit("h")).unionByName(s.withColumn("side", F.lit("s")))
+    return model.score(fitted, both).select("side", "dialog_id", "p_human")
+
+
+@query("m03_parted_populations", PARTED_SQL)
+def m03b(spark, d):
+    return _parted_scores(spark, d, model.fit_discriminator(*_parted(spark, d), features=ONE))
+
+
+@query("m03_tree_sizes", "SELECT i::INT AS tree, 3 AS nodes, 1 AS depth FROM range(200) t(i), (SELECT count(*) AS n FROM conversations) WHERE n > 0")
+def m03c(spark, d):
+    fitted = model.fit_discriminator(*_parted(spark, d), features=ONE).stages[-1]
+    return spark.createDataFrame([(i, t.numNodes, t.depth) for i, t in enumerate(fitted.trees)], "tree int, nodes int, depth int")
+
+
+@query("m04_parted_folds", "SELECT i::INT AS fold, 1.0::DOUBLE AS auc FROM range(5) t(i), (SELECT count(*) AS n FROM conversations) WHERE n > 0")
+def m04b(spark, d):
+    return model.cross_validation(*_parted(spark, d), features=ONE)
+
+
+@query("m05_parted_importance", "SELECT 1 AS rank, 'words_per_turn' AS feature, 1.0::DOUBLE AS importance FROM (SELECT count(*) AS n FROM conversations) WHERE n > 0")
+def m05b(spark, d):
+    return with_r6(model.importances(spark, model.fit_discriminator(*_parted(spark, d), features=ONE)), ["importance"])
+
+
+@query("m08_parted_saved", PARTED_SQL)
+def m08b(spark, d):
+    path = scratch(spark, "discriminator")
+    model.save_model(model.fit_discriminator(*_parted(spark, d), features=ONE), path)
+    return _parted_scores(spark, d, model.load_model(path))
+
+
 AUC_SQL = """WITH s AS (SELECT {score} AS s, {label} AS y FROM {src}), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS mid FROM s),
 c AS (SELECT count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS q, sum(mid) FILTER (y) AS rs FROM r)
 SELECT round((rs - p * (p + 1) / 2.0) / (p * q::DOUBLE), 6) + 0.0 AS auc, p AS n_pos, q AS n_neg FROM c"""

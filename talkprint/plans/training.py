@@ -114,8 +114,9 @@ def w07(spark, d):
     return curves.resume_offset(runs(spark, d), ["user_id"])
 
 
-@query("w07_resume_offset_empty", 'SELECT coalesce(max(event_id), 0) AS "offset" FROM events WHERE value < 0')
+@query("w07_resume_offset_empty", 'SELECT coalesce(max(event_id), 0) AS "offset" FROM (SELECT CASE WHEN value < -1e300 THEN event_id END AS event_id FROM events)')
 def w07b(spark, d):
-    return curves.resume_offset(table(spark, d, "events").where("value < 0").select(F.col("event_id").alias("iteration")))
+    nothing_logged = F.when(F.col("value") < -1e300, F.col("event_id"))
+    return curves.resume_offset(table(spark, d, "events").select(nothing_logged.alias("iteration")))
 
 
