@@ -8,7 +8,7 @@ are arithmetic on ``conv_id``.
 from pyspark.sql import functions as F
 
 from talkprint.functions.banks import FEATURES
-from talkprint.operators import model, scorecard, stats
+from talkprint.operators import evaluation, model, scorecard, stats
 from talkprint.operators.fingerprint import fingerprint
 from talkprint.plans.bindings import (
     CONV, RATE_DIGITS, conv_turns, r6, sql_chamfer, sql_dims, sql_fp, sql_means, sql_r6, sql_scaler, sql_spread, sql_z, table, with_r6,
@@ -98,6 +98,39 @@ def s03(spark, d):
     return with_r6(metrics(spark, d), METRIC_COLS)
 
 
+def _recorded(spark, d):
+    """Episodes and their turns as recorded, nothing derived yet; ``n_turns`` 0 falls back to the messages."""
+    turns = conv_turns(spark, d).withColumnRenamed("dialog_id", "episode_id")
+    i, names = F.col("episode_id"), F.array(*[F.lit(c) for c in scorecard.CONDITIONS])
+    eps = turns.select("episode_id").distinct().select(
+        "episode_id", names[(i % 4).cast("int")].alias("condition"), (i % 10).alias("task_id"), ((i * 37) % 101 >= 50).alias("success"),
+        ((i * 37) % 101 / F.lit(100.0)).alias("reward"), F.lit(0).alias("n_turns"), ((i * 53) % 97 / F.lit(96.0)).alias("p_human"),
+    )
+    return eps, turns
+
+
+def _full_scorecard(spark, d):
+    h = humans(spark, d).withColumn("p_human", (F.col("dialog_id") * 31) % 89 / F.lit(88.0))
+    train, test = h.where("split = 'train'"), h.where("split = 'test'")
+    return evaluation.scorecard(*_recorded(spark, d), train, test, role="assistant")
+
+
+@query("s03_scorecard_call", f"WITH {METRICS} SELECT condition, n, {sql_r6(METRIC_COLS)} FROM met")
+def s03c(spark, d):
+    return with_r6(_full_scorecard(spark, d).metrics, METRIC_COLS)
+
+
+@query(
+    "m07_held_out_auc",
+    """WITH d AS (SELECT DISTINCT conv_id AS i FROM conversations), s AS (SELECT ((i * 31) % 89) / 88.0 AS s, true AS y FROM d WHERE i % 3 = 0
+    UNION ALL SELECT ((i * 53) % 97) / 96.0, false FROM d WHERE i % 4 = 0), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS mid FROM s),
+    c AS (SELECT count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS q, sum(mid) FILTER (y) AS rs FROM r)
+    SELECT round((rs - p * (p + 1) / 2.0) / (p * q::DOUBLE), 6) + 0.0 AS auc, p AS n_pos, q AS n_neg FROM c""",
+)
+def m07c(spark, d):
+    return _auc_row(_full_scorecard(spark, d).held_out)
+
+
 @query(
     "s03_condition_metrics_raw_subset",
     f"""WITH {BASE}, h AS (SELECT dialog_id, [words_per_turn, opening_length] AS vec FROM fp), {sql_spread('h', 'dialog_id')},
