@@ -9,8 +9,8 @@ Plan, and why it holds when one dialogue owns a large share of all rows:
   Spark combines on the map side;
 * the two opening turns come from ``row_number() <= 2``, which Spark prunes to
   two rows per dialogue and task before the shuffle;
-* trigrams are counted inside blocks of 64 turns, and only dialogues that reach
-  past their first block send counts on (see :func:`repeating_turns`).
+* trigrams are counted inside blocks of 64 turns where their text lands, and only
+  dialogues of several blocks send counts on (see :func:`repeating_turns`).
 
 No step gathers a long dialogue in one task.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from talkprint.functions import text as T
 from talkprint.functions.banks import ACKNOWLEDGMENTS, BANKS, FEATURES
+from talkprint.sources.shared import settle
 
 TRIGRAM_LIMIT = 3
 BLOCK = 64  # turns per block: their set fits the bits of a long
@@ -45,11 +46,11 @@ def turn_tokens(turns: DataFrame, role: str = "user") -> DataFrame:
 
 def opening_tokens(turns: DataFrame, role: str = "user", n: int = 2) -> DataFrame:
     """Token total of the first ``n`` spoken turns of each dialogue."""
-    sized = turn_tokens(turns, role).select("dialog_id", "turn", F.size("tokens").alias("n_tokens"))
-    first = sized.withColumn(
-        "rn", F.row_number().over(Window.partitionBy("dialog_id").orderBy("turn"))
-    ).where(F.col("rn") <= n)
-    return first.groupBy("dialog_id").agg(F.sum("n_tokens").alias("first_tokens"))
+    rank = F.row_number().over(Window.partitionBy("dialog_id").orderBy("turn"))
+    first = spoken_turns(turns, role).select("dialog_id", "turn", "content").withColumn("rn", rank).where(F.col("rn") <= n)
+    # Cut into words after the pruning, so that only opening turns are.
+    sized = first.select("dialog_id", F.size(T.tokens(F.lower("content"))).alias("n_tokens"))
+    return sized.groupBy("dialog_id").agg(F.sum("n_tokens").alias("first_tokens"))
 
 
 def _block_grams(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,27 +71,27 @@ def _block_grams(rows: DataFrame, keys: list[str]) -> DataFrame:
 def repeating_turns(turns: DataFrame, role: str = "user", limit: int = TRIGRAM_LIMIT) -> DataFrame:
     """Per dialogue, the number of turns holding a trigram seen more than ``limit`` times.
 
-    Turns fall into blocks of 64.  A dialogue inside the first block, the usual
-    case, is finished where its text lands.  Longer ones are counted per block,
-    the counts meet by ``(dialog_id, gram)`` with map-side combining, and the
-    repeating ones go back to the blocks by a semi-join; however long a dialogue
-    is, no task holds more than a block of it.
+    Turns fall into blocks of 64.  Text moves once, to its block, where trigrams
+    are cut and counted in the same stage; however long a dialogue is, no task
+    holds more than a block of it.  What leaves the stage is written: the
+    repeating trigrams of a block, and all counts of dialogues with several
+    blocks, which meet by ``(dialog_id, gram)`` with map-side combining.
     """
     said = spoken_turns(turns, role).select(
         "dialog_id", "content", F.floor(F.col("turn") / BLOCK).alias("blk"),
         F.pmod("turn", F.lit(BLOCK)).cast("int").alias("bit"),
     )
-    beyond = said.where(F.col("blk") != 0).select("dialog_id").distinct()
+    several = said.where(F.col("blk") != 0).select("dialog_id").distinct().withColumn("several", F.lit(True))
+    counted = _block_grams(said, ["dialog_id", "blk"]).join(several, "dialog_id", "left")
+    kept = settle(counted.where(F.col("several") | (F.col("n") > limit)), "trigrams")
 
-    short = _block_grams(said.where(F.col("blk") == 0).join(beyond, "dialog_id", "left_anti"), ["dialog_id"])
-    in_one = short.where(F.col("n") > limit).groupBy("dialog_id").agg(
+    in_one = kept.where(F.col("several").isNull()).groupBy("dialog_id").agg(
         F.bit_count(F.bit_or("mask")).cast("long").alias("n_repeating")
     )
-
-    counted = _block_grams(said.join(beyond, "dialog_id", "left_semi"), ["dialog_id", "blk"])
-    frequent = counted.groupBy("dialog_id", "gram").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    long = kept.where(F.col("several"))
+    frequent = long.groupBy("dialog_id", "gram").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
     in_many = (
-        counted.join(frequent, ["dialog_id", "gram"], "left_semi")
+        long.join(frequent, ["dialog_id", "gram"], "left_semi")
         .groupBy("dialog_id", "blk")
         .agg(F.bit_count(F.bit_or("mask")).alias("n"))
         .groupBy("dialog_id")

@@ -196,3 +196,13 @@ SAMPLES = [
 def test_custom_banks_match_as_python_does(spark, bank):
     df = spark.createDataFrame([(s,) for s in SAMPLES], "s string").select("s", T.matches_bank(F.col("s"), bank).alias("hit"))
     assert {r.s: r.hit for r in df.collect()} == {s: any(re.search(p, s) for p in bank) for s in SAMPLES}
+
+
+def test_repetition_reads_turns_twice_and_moves_text_once(turns, monkeypatch):
+    from talkprint.operators import fingerprint as module
+
+    plans = []
+    monkeypatch.setattr(module, "settle", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    df = turns({"a": [("user", "x y z")] * 3})
+    repeating_turns(df)
+    assert plans[0].count("LogicalRDD") + plans[0].count("LocalRelation") == 2 and plans[0].count("RepartitionByExpression") == 1
