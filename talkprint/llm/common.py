@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SLICE_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,8 +29,9 @@ def utf8(col) -> "F.Column":
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[list]], schema: str) -> DataFrame:
     """``mapInArrow`` over plain Python columns.
 
-    ``fn`` gets an iterator of ``{column: list}`` batches, which Spark bounds by
-    rows and bytes, and yields lists of columns in the order of ``schema``.
+    ``fn`` gets an iterator of ``{column: list}`` batches and yields lists of columns
+    in the order of ``schema``.  Spark bounds its Arrow batches by rows and bytes;
+    slices of them become Python objects, so that few texts are held twice.
     """
     out_schema = df.sparkSession.createDataFrame([], schema).schema
 
@@ -35,7 +39,8 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[list]], s
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(out_schema)
-        plain = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches)
+        slices = (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
+        plain = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in slices)
         for columns in fn(plain):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow

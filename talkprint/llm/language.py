@@ -26,8 +26,8 @@ from talkprint.llm.common import map_batches
 UNKNOWN = "und"
 MAX_BYTES = 32
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-CACHE_WORDS = 300_000
-CHUNK_CHARS = 1_000_000
+CACHE_WORDS = 200_000
+CHUNK_CHARS = 500_000
 
 
 def sequences(text: str) -> list[str]:
@@ -231,8 +231,11 @@ class _Pooler:
         return out
 
 
-def predict(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """``lang_pred`` and ``score`` of every whole text, next to the columns of ``keep``.
+def predict(
+    docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (),
+    out: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """``lang_pred`` and ``score`` (or the names in ``out``) of every whole text, next to the columns of ``keep``.
 
     The label with the largest pooled probability wins, the first in label
     order on ties.  Null text, text without a letter, or no model: ``und``, 0.
@@ -244,18 +247,18 @@ def predict(docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text
     def run(batches):
         pooler = _Pooler(model) if model else None
         for b in batches:
-            texts, at, out = b["__text"], 0, []
+            texts, at, found = [t or "" for t in b[text_col]], 0, []
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (size < CHUNK_CHARS or end == at):
                     size += len(texts[end])
                     end += 1
-                out += pooler.documents(texts[at:end]) if pooler else [(UNKNOWN, 0.0)] * (end - at)
+                found += pooler.documents(texts[at:end]) if pooler else [(UNKNOWN, 0.0)] * (end - at)
                 at = end
-            yield [*(b[k] for k in kept), [y for y, _ in out], [s for _, s in out]]
+            yield [*(b[k] for k in kept), [y for y, _ in found], [s for _, s in found]]
 
-    narrow = docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return map_batches(narrow, run, f"{fields}, lang_pred string, score double")
+    read = docs.select(*dict.fromkeys((*kept, text_col)))
+    return map_batches(read, run, f"{fields}, `{out[0]}` string, `{out[1]}` double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -44,7 +44,7 @@ KMER = 16
 SLOTS = (32, 8, 2, 1)
 BUCKET = 2048
 CHUNK = 1 << 22
-SUFFIXES_AT_ONCE = 400_000
+SUFFIXES_AT_ONCE, BYTES_AT_ONCE = 400_000, 4 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x5851F42D4C957F2D | 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -84,13 +84,16 @@ ROW = "core long, hull long, weight int, doc long, th long, src long, lo long, h
 PLACE = ["doc", "th", "src", "lo", "hi", "ref"]
 
 
+def key_columns(id_col: str, text_col: str) -> tuple:
+    """A key of two longs, which rows of one id and one text share, and the text in bytes."""
+    body, none = utf8(text_col), F.col(id_col).isNull()
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), F.xxhash64(none, body), body
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with a binary text and a key of two longs; rows of one id and one text share it."""
-    body = utf8(text_col)
-    none = F.col(id_col).isNull()
-    return docs.withColumn("__body", body).withColumn(
-        "doc", F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))
-    ).withColumn("th", F.xxhash64(none, F.col("__body")))
+    """``doc, th, __body``: the key and the bytes of every row."""
+    doc, th, body = key_columns(id_col, text_col)
+    return docs.select(doc.alias("doc"), th.alias("th"), body.alias("__body"))
 
 
 def anchor_rows(docs: DataFrame, length: int, reach: int) -> DataFrame:
@@ -142,7 +145,8 @@ def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Of equal hulls one run stands for all, with weight 2 if there are several.
     """
-    common = rows.groupBy("core").agg(F.sum("weight").alias("n")).where("n > 1").select("core")
+    # Written, so that both sides of the join are plain exchanges and a core that many rows share is split.
+    common = settle(rows.groupBy("core").agg(F.sum("weight").alias("n")).where("n > 1").select("core"), "common-cores")
     shared = settle(rows.join(common, "core", "left_semi"), "shared-cores")
     kinds = settle(
         shared.groupBy("core", "hull").agg(
@@ -150,7 +154,7 @@ def settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         ), "kinds",
     )
     whole = shared.join(kinds.where("weight > 1").select("core", "hull"), ["core", "hull"], "left_semi").select("doc", "th", "lo", "hi")
-    single = kinds.where("weight = 1").select("core").distinct()
+    single = settle(kinds.where("weight = 1").select("core").distinct(), "single-cores")
     partly = kinds.join(single, "core", "left_semi").select("core", "weight", "one.*")
     return whole, partly
 
@@ -294,15 +298,16 @@ def sorted_slots(slots: DataFrame, length: int) -> DataFrame:
         return out
 
     def run(batches):
-        cores, rows, windows = [], [], 0
+        cores, rows, windows, size = [], [], 0, 0
         for b in batches:
             for r in zip(b["core"], b["doc"], b["th"], b["src"], b["lo"], b["hi"], b["ref"], b["body"], strict=True):
-                if windows > SUFFIXES_AT_ONCE and r[0] != cores[-1]:
+                if (windows > SUFFIXES_AT_ONCE or size > BYTES_AT_ONCE) and r[0] != cores[-1]:
                     yield solve(cores, rows)
-                    cores, rows, windows = [], [], 0
+                    cores, rows, windows, size = [], [], 0, 0
                 cores.append(r[0])
                 rows.append(r[1:])
                 windows += r[5] - r[4] + 1
+                size += len(r[-1])
         if rows:
             yield solve(cores, rows)
 
@@ -358,11 +363,13 @@ def merged(ranges: list | np.ndarray | None, length: int) -> list[tuple[int, int
 
 def with_ranges(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with ``__body`` and ``__ranges``, the starts whose windows repeat."""
-    own = keyed(docs, id_col, text_col)
+    narrow = keyed(docs, id_col, text_col)
     ranges = settle(
-        repeated_windows(own, length).groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("__ranges")), "ranges"
+        repeated_windows(narrow, length).groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th"))
+        .agg(F.collect_set(F.struct("lo", "hi")).alias("__ranges")), "ranges",
     )
-    return own.join(ranges, ["doc", "th"], "left")
+    doc, th, body = key_columns(id_col, text_col)
+    return docs.withColumns({"__doc": doc, "__th": th, "__body": body}).join(ranges, ["__doc", "__th"], "left")
 
 
 def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:

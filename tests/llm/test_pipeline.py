@@ -79,6 +79,17 @@ def test_stages_one_by_one(spark, monkeypatch):
     assert {r.doc_id for r in packed} == set(got) and max(r.offset + r.length for r in packed) <= 2048
 
 
+def test_columns_of_clashing_names_pass_through(spark, monkeypatch):
+    trained = language.train(spark.read.parquet(f"{SF}/documents.parquet"), steps=100)
+    monkeypatch.setattr(language, "train", lambda docs: trained)
+    names = ["score", "lang_pred", "doc", "th", "lo", "fp", "component_id", "item", "core", "body"]
+    docs = documents(spark).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns[5:] == names and {tuple(r) for r in docs.select(*names).collect()} == {tuple(f"own {n}" for n in names)}
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).count() > 0
+
+
 def test_stages_take_empty_tables(spark):
     none = documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
