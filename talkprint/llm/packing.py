@@ -14,11 +14,13 @@ that a block fills well are final; the documents of the others are dealt anew
 into fewer blocks, until one block is left or dealing no longer helps.
 """
 
+import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from talkprint.sources.shared import settle
 CAPACITY = 2048
 BLOCK_ITEMS = 2000
 WELL_FILLED = 0.985
+CACHE_WORDS = 100_000
 
 
 class Shelf:
@@ -237,6 +240,35 @@ def pack(items: DataFrame, capacity: int = CAPACITY, islands: int = 2, epochs: i
     return out
 
 
+class LibraryBPE(bpe.ByteBPE):
+    """The same ids with words that are not in the cache encoded by a public library.
+
+    Packing needs ids, not a way to make them.  The library merges by the rank of
+    the joined bytes; that is the order of the merges where ids ascend with them,
+    which is checked here.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path, CACHE_WORDS)
+        if any(a >= b for a, b in zip(self.made, self.made[1:])) or max(self.letters) >= self.made[0]:
+            raise ValueError("ids do not follow the order of the merges")
+        self.library = tiktoken.Encoding("vocabulary", pat_str=bpe.WORD, mergeable_ranks=self.mergeable(), special_tokens={})
+
+    def mergeable(self) -> dict[bytes, int]:
+        special = set(self.specials.values())
+        return {t: i for t, i in self.ids.items() if i not in special}
+
+    def pack(self, text: str) -> bytes:
+        if len(text) > bpe.SHORT_WORD:
+            return super().pack(text)
+        return array("I", self.library.encode_ordinary(text)).tobytes()
+
+
+@functools.cache
+def codec(path: str) -> LibraryBPE:
+    return LibraryBPE(path)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, piece, start, length, ids_crc32`` of every document's ids with ``end_id`` after them.
 
@@ -246,11 +278,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        codec = bpe.codec(path)
+        encode = codec(path).packed
         for b in batches:
             out = [[] for _ in range(5)]
             for i, t in zip(b["id"], b["text"], strict=True):
-                ids = memoryview(codec.packed(t) + end)
+                ids = memoryview(encode(t) + end)
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]
                 for k, (s, e) in enumerate(zip(cuts, cuts[1:])):

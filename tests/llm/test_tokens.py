@@ -5,12 +5,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from talkprint.llm import bpe, packing, prefix_counts
 from talkprint.llm.common import tokenizer_path
+from tests.conftest import SF
 
 BPE, PIECES = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
 ODD = [
@@ -46,6 +48,18 @@ def test_bpe_equals_library(library, texts):
         assert ours.decode(cut) == library.decode(cut, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("texts", [ODD, random_texts(500, 9)], ids=["odd", "random"])
+def test_ids_for_packing_equal_library(library, texts):
+    ours = packing.codec(BPE)
+    assert [ours.encode(t) for t in texts] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ids_for_packing_of_real_documents(library):
+    texts = pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()
+    ours = packing.codec(BPE)
+    assert [ours.encode(t) for t in texts] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bounds_of_merged_words():
     bounds, parts = bpe.codec(BPE).merge(b" hello")
     assert bounds[0] == 0 and bounds[-1] == 6 and len(bounds) == len(parts) + 1
