@@ -39,6 +39,8 @@ BLOCK = 4096
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _TO_SPACE = bytes.maketrans(SPACES, b" " * len(SPACES))
 SHINGLES_AT_ONCE = 200_000
+#: A row that is written, shuffled and sorted takes microseconds, a comparison in place nanoseconds.
+PROBE_COST = 2000.0
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -165,7 +167,7 @@ def allocate(costs: list[list[float]], radius: int) -> tuple[float, list[int]]:
 def plan(n: int, together: np.ndarray, radius: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the used partitions: the cheapest number of partitions and their thresholds.
 
-    A candidate pair costs a comparison, a probe a shuffled row, about 300 comparisons.
+    A candidate pair costs a comparison, a probe a shuffled row: ``PROBE_COST`` comparisons.
     """
     found = []
     for parts in range(1, min(radius + 1, 12) + 1):
@@ -174,7 +176,7 @@ def plan(n: int, together: np.ndarray, radius: int) -> list[tuple[list[int], int
         for g in groups:
             most = min(radius, len(g), 3)
             pairs = estimated(n, together, g, most)
-            costs.append([c + 300.0 * n * (probes(len(g), t) + (t > 0)) for t, c in zip(range(-1, most + 1), pairs, strict=True)])
+            costs.append([c + PROBE_COST * n * (probes(len(g), t) + (t > 0)) for t, c in zip(range(-1, most + 1), pairs, strict=True)])
         try:
             cost, chosen = allocate(costs, radius)
         except KeyError:
@@ -294,12 +296,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     the label's holder, so that paths halve; each round is written to the shared
     folder and read back.  Only nodes with a link take part.
     """
-    edges = settle(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    ends = edges.select(F.col("a").alias("node")).distinct()
+    edges = settle(edges, "edges")
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     holders = nodes.join(ends, "node").select("node", "rank", F.col("rank").alias("label"))
     state = settle(holders, "labels")
     while True:
-        from_near = edges.join(state.select(F.col("node").alias("a"), "label"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
+        labels = {end: state.select(F.col("node").alias(end), "label") for end in ("a", "b")}
+        to_b = edges.join(labels["a"], "a").select(F.col("b").alias("node"), "label")
+        to_a = edges.join(labels["b"], "b").select(F.col("a").alias("node"), "label")
+        from_near = to_a.unionByName(to_b).groupBy("node").agg(F.min("label").alias("near"))
         lower = state.join(from_near, "node", "left").withColumn("to", F.least("label", F.coalesce("near", "label")))
         by_rank = lower.groupBy("rank").agg(F.min("to").alias("onward"))
         hopped = (
