@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from talkprint.llm import simhash, suffix_dedup, voronoi_knn
+from talkprint.llm import shingle_join, simhash, suffix_dedup, voronoi_knn
 
 # ------------------------------------------------------------------ top-k search
 
@@ -171,6 +171,56 @@ def test_empty_tables_and_representatives(spark):
     assert sorted(r.lang for r in kept.collect()) == ["b", "c", "d"]
 
 
+# ------------------------------------------------------------------ verified near duplicates
+
+
+def brute_likeness_groups(texts, k=5):
+    """Smallest place of each text's group by exact Jaccard likeness of word shingles, 0.8 or more."""
+    sets = []
+    for t in texts:
+        words = t.encode().lower().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split()
+        sets.append({tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))} if words else set())
+    label = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if v == high else v for v in label]
+    return label
+
+
+def edited_copies(seed, groups=40, copies=6):
+    """Texts whose likeness to each other lies around 0.8: words are changed until a share of the shingles is new."""
+    rng = random.Random(seed)
+    out = []
+    for g in range(groups):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 300))]
+        for _ in range(copies):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.randint(0, max(1, len(words) // 30))):
+                words[at] = f"n{rng.randrange(10**6)}"
+            out.append(" ".join(words))
+    rng.shuffle(out)
+    return out + ["one two", "One  two", "three", "", " "]
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_near_duplicates_are_those_of_exact_likeness(spark, monkeypatch, block):
+    monkeypatch.setattr(shingle_join, "BLOCK", block)
+    monkeypatch.setattr(shingle_join, "FAN", 2)
+    texts = edited_copies(7)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in shingle_join.one_of_each(df).collect()}
+    assert kept == set(brute_likeness_groups(texts))
+
+
+def test_pairs_of_other_components_are_compared_in_place():
+    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 5, 40, 12)]
+    size, low = np.full(4, 100), np.stack([shingle_join.minima(s * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint8) for s in sets])
+    at = np.arange(4)
+    assert sorted(map(sorted, zip(*shingle_join.linked(at, size, low, sets, at, at, 800)))) == [[0, 1], [1, 3]]
+
+
 # ------------------------------------------------------------------ substrings
 
 
