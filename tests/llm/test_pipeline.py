@@ -90,6 +90,17 @@ def test_columns_of_clashing_names_pass_through(spark, monkeypatch):
     assert corpus_pipeline.pack_sequences(spark, docs, SF).count() > 0
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    text = lambda n: " ".join(f"word{n}x{i}" for i in range(120))
+    a, b, c, d = map(text, range(4))
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, c), (2, a + " end"), (None, d), (7, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, SF)
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(1, a), (None, b), (2, c), (7, d)]))
+    left = corpus_pipeline.remove_repeats(spark, kept, SF)
+    assert sorted(r.text for r in left.collect()) == sorted([a, b, c, d])
+
+
 def test_stages_take_empty_tables(spark):
     none = documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
