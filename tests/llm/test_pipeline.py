@@ -90,6 +90,12 @@ def test_columns_of_clashing_names_pass_through(spark, monkeypatch):
     assert corpus_pipeline.pack_sequences(spark, docs, SF).count() > 0
 
 
+def test_an_unlabelled_table_keeps_every_text_with_a_letter(spark):
+    docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_language(spark, docs, SF)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 5, 6, 7, 8}
+
+
 def test_one_row_of_each_group_stays_whatever_its_id(spark):
     text = lambda n: " ".join(f"word{n}x{i}" for i in range(120))
     a, b, c, d = map(text, range(4))
