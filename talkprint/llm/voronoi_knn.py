@@ -7,7 +7,7 @@ of highest product.
 
 Pivots cut the space into Voronoi cells.  One pass assigns every row to the cell
 of its nearest pivot and summarises the cells: numbers, smallest and largest
-distance to the pivot, the distances of the k nearest data rows.  From the
+distance to the pivot, the distances of the k nearest ids.  From the
 summaries alone follows, for each cell of queries, a radius that surely holds k
 data rows, and so the range of pivot distances outside which the data of another
 cell cannot matter to it.  Only data inside are sent to a group of queries.
@@ -67,17 +67,20 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def local_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the k best rows of a block for each query; ties to the smaller id, never the own id."""
+    """(query, id, score) of the k best ids of a block for each query, by their best rows; ties to the smaller id, never the own id."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    ids = ids[starts]
     out = [[], [], []]
     for at in range(0, len(q), 256):
         scores = products(q[at:at + 256], x)
+        if 0 < len(starts) < len(x):
+            scores = np.maximum.reduceat(scores, starts, axis=1)
         for i, row in enumerate(scores):
             qid = q_ids[at + i]
-            # The own id may stand in k + 1 places only if it repeats: then more are looked at.
-            own = int(np.searchsorted(ids, qid, "right") - np.searchsorted(ids, qid, "left"))
-            need = min(len(ids), k + own)
+            # One more, as the own id may be among them.
+            need = min(len(ids), k + 1)
             if need == 0:
                 continue
             bar = np.partition(row, len(row) - need)[len(row) - need]
@@ -91,16 +94,19 @@ def local_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
 
-def bounds(pivots: np.ndarray, q_far: np.ndarray, nearest: dict[int, list[float]], k: int) -> tuple[np.ndarray, np.ndarray]:
+def bounds(pivots: np.ndarray, q_far: np.ndarray, nearest: dict[int, list[tuple[float, int]]], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per (query cell, data cell) the range of pivot distances that can hold one of the k best.
 
     ``q_far``: largest distance of a query to its pivot, ``nearest``: smallest
-    distances of the data of each cell to its pivot.
+    distances of the data of each cell to its pivot, with their distinct ids.
     """
     apart = np.sqrt(np.clip(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(-1), 0, None))
-    cells = [(j, d) for j, ds in nearest.items() for d in ds]
-    cell, near = np.array([j for j, _ in cells]), np.array([d for _, d in cells])
-    upper = apart[:, cell] + near[None, :] if len(cells) else np.zeros((len(pivots), 0))
+    cells = sorted((i, j, d) for j, near in nearest.items() for d, i in near)
+    ids, cell = np.array([i for i, _, _ in cells], np.int64), np.array([j for _, j, _ in cells], np.int64)
+    upper = apart[:, cell] + np.array([d for _, _, d in cells])[None, :] if len(cells) else np.zeros((len(pivots), 0))
+    if len(cells):
+        # An id that lies in several cells counts once.
+        upper = np.minimum.reduceat(upper, np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])), axis=1)
     # One more than k, as a query may itself be among the data.
     if upper.shape[1] > k:
         radius = q_far + np.partition(upper, k, axis=1)[:, k]
@@ -167,21 +173,30 @@ def top_k(
         return run
 
     schema = "id long, v binary, cell int, d double"
-    data = settle(map_batches(rows, assign(True), schema), "knn-data")
-    asked = settle(map_batches(flagged, assign(False), schema), "knn-queries")
+    # Rows of one id and one vector are one row.
+    data = settle(map_batches(rows, assign(True), schema).dropDuplicates(["id", "v"]), "knn-data")
+    asked = settle(map_batches(flagged, assign(False), schema).dropDuplicates(["id", "v"]), "knn-queries")
 
     # Summaries: a bounded number of rows (cells), each of bounded size.
     def nearest_of_task(batches):
-        kept: dict[int, np.ndarray] = {}
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            cell, d = np.array(b["cell"]), np.array(b["d"])
-            for c in np.unique(cell):
-                kept[c] = np.sort(np.concatenate([kept.get(c, np.zeros(0)), d[cell == c]]))[:k + 1]
-        yield [[int(c) for c in kept], [v.tolist() for v in kept.values()]]
+            cell, d, ids = np.array(b["cell"]), np.array(b["d"]), np.array(b["id"], np.int64)
+            for c in np.unique(cell).tolist():
+                so_far = kept.get(c, (np.zeros(0), np.zeros(0, np.int64)))
+                ds, names = np.concatenate([so_far[0], d[cell == c]]), np.concatenate([so_far[1], ids[cell == c]])
+                order = np.lexsort((names, ds))
+                ds, names = ds[order], names[order]
+                first = np.sort(np.unique(names, return_index=True)[1])[:k + 1]
+                kept[c] = ds[first], names[first]
+        flat = [(c, d, i) for c, (ds, names) in kept.items() for d, i in zip(ds.tolist(), names.tolist(), strict=True)]
+        yield [[x[p] for x in flat] for p in range(3)]
 
     nearest = {
-        r.cell: r.near for r in map_batches(data.select("cell", "d"), nearest_of_task, "cell int, near array<double>")
-        .groupBy("cell").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")).collect()
+        r.cell: [(x.d, x.id) for x in r.near]
+        for r in map_batches(data.select("cell", "d", "id"), nearest_of_task, "cell int, d double, id long")
+        .groupBy("cell", "id").agg(F.min("d").alias("d"))
+        .groupBy("cell").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, k + 1).alias("near")).collect()
     }
     sizes = {r.cell: r.n for r in data.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     of_queries = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")).collect()
@@ -204,7 +219,7 @@ def top_k(
     needs = {}
     for i in groups:
         for j, ds in nearest.items():
-            if low[i, j] <= far_data[j] and high[i, j] >= ds[0]:
+            if low[i, j] <= far_data[j] and high[i, j] >= ds[0][0]:
                 for g in range(groups[i][0], groups[i][0] + groups[i][1]):
                     needs.setdefault(g, set()).add(j)
     members: dict[int, list[int]] = {}

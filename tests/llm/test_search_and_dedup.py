@@ -55,6 +55,17 @@ def test_top_k_of_few_rows(spark):
         assert voronoi_knn.top_k(none, is_query).count() == 0
 
 
+@pytest.mark.parametrize("pivots", [1, 12])
+def test_an_id_on_many_rows_counts_once(spark, pivots):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
+    rows += [(7, (np.array([6.0, 6.0, 6.0, 6.0]) + rng.normal(size=4) * 0.1).tolist()) for _ in range(40)]
+    rows += [(8, [5.0, 5.0, 5.0, 5.0])] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = voronoi_knn.top_k(df, F.col("vec_id") % 10 == 0, k=5, pivots=pivots).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows, lambda i: i % 10 == 0, 5)
+
+
 def test_clustered_data_prune_and_stay_exact(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 5)) * 20
