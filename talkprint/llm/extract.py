@@ -8,7 +8,9 @@ short blocks.  Both ratios are laid out in page order, smoothed over the
 neighbouring blocks, fused into one score, and the paths whose score passes a
 threshold drawn from the page's own spread are content.  Whatever else stands
 in the elements that hold those blocks (headings, lists, quotes) belongs to the
-article too, unless the markup itself names it as something else.
+article too, unless the markup itself names it as something else.  Inside an
+``article`` or ``main`` only unmistakable names count, and all that is left of an
+``article`` is content.
 """
 
 import html
@@ -28,7 +30,7 @@ INLINE = frozenset(
 )
 RAW = frozenset("script style textarea title noscript template iframe svg math noembed noframes xmp object".split())
 DROPPED = frozenset(
-    "head nav header footer aside form menu dialog button select option fieldset figcaption audio video canvas datalist".split()
+    "head nav header footer aside form menu dialog button select option fieldset audio video canvas datalist".split()
 )
 #: Words in class, id, role or aria-label that name what is no article text.
 NAMED = frozenset(
@@ -38,6 +40,13 @@ NAMED = frozenset(
     "subscription signup login search share sharing social comment comments commentlist disqus reply replies respond "
     "discussion pagination pager skip toolbar toc tags contentinfo complementary".split()
 )
+#: Inside an article a section may be called discussion, legal or related; only these names are trusted there, ...
+NAMED_INSIDE = frozenset("ad ads advert adverts advertisement adbox comments commentlist disqus share newsletter navbar breadcrumb breadcrumbs".split())
+#: ... these beside a word for posts, ...
+NAMED_LISTS, POSTS = frozenset("related recommended trending popular".split()), frozenset("posts articles stories links".split())
+#: ... and only in names without any word but these and ``NAMED`` (``share-buttons``, but not ``market-share``).
+FURNITURE = POSTS | frozenset("area bar block box button buttons container form icons inline list section slot unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Beside such a word (``has-sidebar``) a name tells how the page is laid out.
 ABOUT_LAYOUT = frozenset("has no with without".split())
 CLOSES_P = frozenset(
@@ -56,6 +65,7 @@ TAG = re.compile(
 )
 NAME_ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPLIT_NAME = re.compile(r"[^a-z]+")
+WHOLE_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -82,6 +92,17 @@ def _names(attributes: str) -> frozenset:
     return frozenset(SPLIT_NAME.split(CAMEL.sub(" ", found).lower())) - {""}
 
 
+def _no_article(attributes: str) -> bool:
+    """Whether a whole name (a class, an id, a role, a label) unmistakably is that of no article text."""
+    for kind, a, b, c in WHOLE_ATTRIBUTE.findall(attributes):
+        value = a or b or c
+        for name in value.split() if kind.lower() == "class" else [value]:
+            words = frozenset(SPLIT_NAME.split(CAMEL.sub(" ", name).lower())) - {""}
+            if words <= NAMED | FURNITURE and (words & NAMED_INSIDE or words & NAMED_LISTS and words & POSTS):
+                return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """Non-empty text blocks of a page in order, without what its markup rules out."""
     out: list[Block] = []
@@ -161,6 +182,8 @@ def blocks(page: str) -> list[Block]:
         # The head of an article (its title) is not the head of the page.
         inside = any(e.tag in ("article", "main") for e in stack)
         named = bool(names & NAMED) and not names & ABOUT_LAYOUT and tag not in ("html", "body", "article", "main")
+        if named and inside:
+            named = tag not in HEADINGS and _no_article(attributes)
         rules_out = named or tag in DROPPED and not (tag == "header" and inside)
         stack.append(Element(tag, names, rules_out))
         dropped += rules_out
@@ -198,10 +221,12 @@ def main_text(page: str | None) -> str:
     """The article of a page; empty if it has none."""
     if not page:
         return ""
-    found = [b for b in blocks(page) if not (b.linked > 0.6 * len(b.text) and not b.text.endswith((".", "!", "?")))]
+    within = lambda b, *tags: any(e.tag in tags for e in b.chain)
+    linked = lambda b: b.linked > 0.6 * len(b.text) and not b.text.endswith((".", "!", "?"))
+    found = [b for b in blocks(page) if within(b, "article", "main") or not linked(b)]
     if not found:
         return ""
-    marked = [b for b in found if any(e.tag in ("article", "main") for e in b.chain)]
+    marked = [b for b in found if within(b, "article", "main")]
     pool = marked or found
     chosen = content_paths(pool)
     # The elements that directly hold content blocks, but for the page itself.
@@ -210,7 +235,9 @@ def main_text(page: str | None) -> str:
         for b in pool if b.path in chosen and b.chain
     }
     page_level = {id(e) for b in pool for e in b.chain if e.tag in ("html", "body")}
-    return " ".join(b.text for b in pool if b.path in chosen or any(id(e) in holders - page_level for e in b.chain))
+    # What the page itself marks as article, and the headings of what it marks as main, need no further sign.
+    own = lambda b: within(b, "article") or bool(marked) and within(b, *HEADINGS)
+    return " ".join(b.text for b in pool if own(b) or b.path in chosen or any(id(e) in holders - page_level for e in b.chain))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -178,6 +178,22 @@ def test_very_long_and_broken_pages_end():
     assert extract.main_text("<article>" + "<p>Some words, again. </p>" * 20_000) == " ".join(["Some words, again."] * 20_000)
 
 
+@pytest.mark.parametrize(("inner", "want"), [
+    (f"<section id='discussion'><h2 id='social-effects'>Effects</h2>{ARTICLE}</section>", f"Effects {TEXT}"),
+    (f"<h2 id='related-work'>Earlier</h2><div class='legal-text'>{ARTICLE}</div><section id='market-share'><p>It fell.</p></section>", f"Earlier {TEXT} It fell."),
+    (f"{ARTICLE}<figure><img src=x><figcaption>A figure</figcaption></figure><ol><li><a href=x>A reference of 1999</a></li></ol>", f"{TEXT} A figure A reference of 1999"),
+    (f"<h1>Title</h1><div>{ARTICLE}</div>", f"Title {TEXT}"),
+    (f"{ARTICLE}<div class='ad-slot'><p>Buy, now.</p></div><ul class='share-buttons'><li>Mail</li></ul><div id='newsletter'><p>Join.</p></div>"
+     "<div class='related-posts'><p>Read on.</p></div><section id='comments'><p>Nice, I think. So.</p></section>", TEXT),
+])
+def test_names_inside_an_article_do_not_rule_text_out(inner, want):
+    assert extract.main_text(f"<body><nav>Home</nav><article>{inner}</article><footer>us</footer></body>") == want
+
+
+def test_headings_of_main_are_content():
+    assert extract.main_text(f"<main><h1 id='social-notice'>Title</h1><div>{ARTICLE}</div></main>") == f"Title {TEXT}"
+
+
 def test_path_ratios_choose_the_punctuated_path():
     blocks = extract.blocks("<div><span>menu</span></div><div class=a><p>Long text, with marks. And more, of it.</p><p>Also long, also marked, yes.</p></div><div>x</div>")
     assert {p[-1] for p in extract.content_paths(blocks)} == {("p",)}
