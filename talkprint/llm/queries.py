@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkprint.llm import (
-    bpe, extract, language, packing, prefix_counts, simhash, suffix_dedup, syncmers, voronoi_knn, warc,
+    alignment, bpe, extract, harmonic, language, packing, prefix_counts, product_codes, simhash, suffix_dedup, syncmers,
+    voronoi_knn, warc,
 )
 from talkprint.llm.common import table, tokenizer_path
 
@@ -92,3 +93,50 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_prefix_token_counts")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.alignment_digests(
+        table(spark, d, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    )
+
+
+@query("op12_harmonic_packing")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return harmonic.pack_documents(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def _op13_sql(parts: int = 4, rounds: int = 4) -> str:
+    """The rounds one after the other; squared distances by inner products of doubles, exact at this size."""
+    assign = """a{0} as materialized (
+  select p.row, p.part, arg_min(c.entry, list_inner_product(c.s, c.s) - 2 * list_inner_product(p.s, c.s) + p.q + c.entry / 1e6) as entry,
+         min(list_inner_product(c.s, c.s) - 2 * list_inner_product(p.s, c.s) + p.q) as d
+  from p join c{0} c on p.part = c.part group by p.row, p.part)"""
+    move = """m{0} as (select a.part, a.entry, i, floor(sum(p.s[i]) / count(*)) as v
+  from a{0} a join p using (row, part), range(1, 17) t(i) group by a.part, a.entry, i),
+c{1} as materialized (select c.part, c.entry, coalesce(any_value(n.s), any_value(c.s)) as s from c{0} c
+  left join (select part, entry, list(v order by i) as s from m{0} group by part, entry) n
+    on c.part = n.part and c.entry = n.entry group by c.part, c.entry)"""
+    steps = [assign.format(0)]
+    for k in range(rounds):
+        steps += [move.format(k, k + 1), assign.format(k + 1)]
+    return f"""
+with v as materialized (select row_number() over () as row, vec_id, label, [floor(1024 * e::double) for e in embedding] as x from embeddings
+  where embedding is not null and len([e for e in embedding if e is null or not isfinite(e)]) = 0),
+p as materialized (select row, cast(part as int) as part, x[part * 16 + 1:part * 16 + 16] as s, list_inner_product(s, s) as q
+  from v, range({parts}) t(part)),
+f as (select row, row_number() over (order by vec_id, x) - 1 as entry from v qualify entry < 256),
+c0 as materialized (select p.part, f.entry, p.s from f join p using (row)),
+{", ".join(steps)},
+books as (select sha256(string_agg(cast(u.v as bigint)::varchar, ',' order by part, entry, u.i)) as h
+  from (select part, entry, unnest(s) as v, generate_subscripts(s, 1) as i from c{rounds}) u),
+e as (select row, string_agg(format('{{:02x}}', entry), '' order by part) as code, cast(sum(d) as bigint) as error from a{rounds} group by row),
+r as (select v.vec_id, e.code, e.error, cast(sum(e.error) over (partition by v.label) as bigint) as label_error from v join e using (row))
+select r.*, books.h as codebooks_sha256 from r, books
+"""
+
+
+@query("op13_product_codes", _op13_sql())
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return product_codes.code_digests(table(spark, d, "embeddings"))
