@@ -1,21 +1,25 @@
 """Mean pairwise distance, two-sided coverage, cloud compression and projection.
 
-Pairs of points are never rows: a task group is one row per block of humans,
-unless it is larger than a block.  Clouds are first reduced to distinct vectors
-with weights, so any number of copies costs one point; that table is written to
-the shared folder because every block of it is read many times.  Points fall into
-hash blocks of bounded size, blocks meet in a grid of cells, and one Arrow
-kernel per cell returns sums or minima.  Work is spread evenly over the cells
-and nothing is collected or broadcast.
-
-The exact spread and coverage are quadratic in the number of *distinct* points
-by definition.  For clouds beyond some hundred thousand of them compress first
-with :func:`compress_cloud`.
+Pairs of points are never rows.  Clouds are first reduced to distinct vectors with
+weights, so any number of copies costs one point; that table is written to the
+shared folder because it is read several times.
+
+The exact spread lets hash blocks of bounded size meet in a grid of cells; it is
+quadratic in the number of *distinct* points by definition, and
+:func:`estimate_spread` is the way for a caller to whom a bound of the error will do.
+
+Coverage looks for nearest neighbours and need not try all pairs.  A bounded number
+of pivots parts space into cells, of which every cloud knows the distances of its
+nearest and farthest member to the pivot.  By the triangle inequality these bound
+the distance of a point to the whole cell, so a point travels only to the cells
+that may hold its nearest neighbour, and inside a block of a cell the same bounds
+are used once more (:func:`nearest`).  Nothing but pivots is collected or sent to
+all tasks.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkprint.sources.shared import settle
@@ -78,102 +82,273 @@ def reference_spread(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
     return n.select("n", F.when((F.col("n") >= 2) & (mean > 1e-9), mean).otherwise(F.lit(1.0)).alias("d_ref"))
 
 
-_CELL = {"side": "int32", "grp": object, "blk": "int32", "idx": "int32", "w": "float64", "d": "float64"}
-POINT, HUMAN, WHOLE = 0, 1, 2  # what a row of a cell tells of: a point, a human for part of a group, a whole group
+def estimate_spread(points: DataFrame, pairs: int = 20_000, confidence: float = 0.95, cells: int = 16, seed: int = 0) -> DataFrame:
+    """P08 from a sample of pairs: one row ``(n, d_ref, half_width)``, for callers who accept a bounded error.
 
+    Pivots part the cloud; a stratum holds the pairs of two cells (or of one).  The
+    cells' radii bound every distance of a stratum, so strata of narrow range and
+    little weight need few pairs.  Each stratum draws its own pairs, in which no row
+    occurs twice, by hash order.  By Hoeffding's inequality ``|d_ref - exact|`` is
+    at most ``half_width`` with probability ``confidence``.  Small clouds and clouds
+    without spread are as in :func:`reference_spread`.
+    """
+    numbered = settle(points.select("vec", F.monotonically_increasing_id().alias("pid")), "cloud")
+    spark, n = points.sparkSession, numbered.count()
+    if n < 2:
+        return spark.createDataFrame([(n, 1.0, 0.0)], "n long, d_ref double, half_width double")
+    some = numbered.select("vec").distinct().orderBy(F.xxhash64("vec", F.lit(seed)), "vec").limit(cells).collect()
+    pivots = np.array([r.vec for r in some])
+
+    def place(frames):
+        for pdf in frames:
+            if len(pdf):
+                d = np.sqrt(_squared(_matrix(pdf), pivots))
+                yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), far=d.min(axis=1))
+
+    placed = settle(numbered.mapInPandas(place, "vec array<double>, pid long, cell int, far double"), "cells")
+    size, radius = np.zeros(len(pivots)), np.zeros(len(pivots))
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("high")).collect():
+        size[r.cell], radius[r.cell] = r.n, r.high
+    between = np.sqrt(_squared(pivots, pivots))
+    strata = []  # i, j, share of all pairs, width of the range of distances, its middle
+    for i in range(len(pivots)):
+        for j in range(i, len(pivots)):
+            share = (size[i] * size[j] if i < j else size[i] * (size[i] - 1) / 2) / (n * (n - 1) / 2)
+            low = max(0.0, between[i, j] - radius[i] - radius[j])
+            if share > 0:
+                high = between[i, j] + radius[i] + radius[j]
+                strata.append((i, j, float(share), float(high - low), float(low + high) / 2))
+    cost = sum(s * w for _, _, s, w, _ in strata) or 1.0
+    plan = spark.createDataFrame(
+        [(*s, max(1, round(pairs * s[2] * s[3] / cost))) for s in strata], "i int, j int, share double, width double, middle double, want int"
+    )
+    # A row of cell c takes part in the strata (c, j) on the left and (i, c) on the right; inside one cell on both by turns.
+    most = max(1, round(pairs * max(s * w for _, _, s, w, _ in strata) / cost))
+    order = Window.partitionBy("i", "j", "side").orderBy(F.xxhash64("i", "j", "pid", F.lit(seed)), "pid")
+    sides = []
+    for side, mine in ((0, "i"), (1, "j")):
+        met = placed.join(F.broadcast(plan), F.col("cell") == F.col(mine))
+        turn = F.pmod(F.xxhash64(F.lit(seed + 1), "pid"), F.lit(2)) == side
+        sides.append(met.where((F.col("i") != F.col("j")) | turn).select("i", "j", F.lit(side).alias("side"), "pid", "vec", "want"))
+    drawn = sides[0].unionByName(sides[1]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).where("k <= want")
+    left, right = drawn.where("side = 0"), drawn.where("side = 1").select("i", "j", "k", F.col("vec").alias("other"))
+    apart = F.sqrt(F.aggregate(F.zip_with("vec", "other", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    means = left.join(right, ["i", "j", "k"]).groupBy("i", "j").agg(F.count("*").alias("m"), F.avg(apart).alias("mean"))
+    filled = plan.join(means, ["i", "j"], "left").select(
+        "share", "width", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("mean", "middle").alias("mean")
+    )
+    # A stratum without a pair (two rows of one cell on the same side) is known by its range alone.
+    total = filled.agg(
+        F.sum(F.col("share") * F.col("mean")).alias("d"), F.sum(F.when(F.col("m") > 0, F.pow(F.col("share") * F.col("width"), 2) / F.col("m"))).alias("v"),
+        F.coalesce(F.sum(F.when(F.col("m") == 0, F.col("share") * F.col("width") / 2)), F.lit(0.0)).alias("unknown"),
+    )
+    half = F.sqrt(F.coalesce("v", F.lit(0.0)) * F.lit(np.log(2 / (1 - confidence)) / 2).cast("double")) + F.col("unknown")
+    return total.select(
+        F.lit(n).cast("long").alias("n"), F.when(F.col("d") > 1e-9, F.col("d")).otherwise(F.lit(1.0)).alias("d_ref"), half.alias("half_width")
+    )
 
-def _cell_rows(side: int, grp, blk, idx, w, d) -> pd.DataFrame:
-    return pd.DataFrame({"side": side, "grp": grp, "blk": blk, "idx": idx, "w": w, "d": d}).astype(_CELL)
 
+POINT, HUMAN, WHOLE = 0, 1, 2  # what a row of minima tells of: a point, a human for part of a group, a whole group
+PIVOTS = 128
+FEW = 64  # so many points are tried one by one
+QUERY_BLOCKS = 16  # blocks of queries that share a copy of the data they need
+_SLACK = 1e-9  # of the larger distance: rounding of bounds must not hide a neighbour
 
-def _nearest_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Minima of one cell in both directions.
 
-    Each point gets its distance to the nearest human.  A group that lies in the
-    cell as a whole gives one row, the weighted sum over the humans of their
-    distance to it; only a part of a larger group gives a row per human.  A
-    point's number is its place in the block's canonical order, so it is the
-    same in every cell the block takes part in.
-    """
-    p, h = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    if not len(p) or not len(h):
-        return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in _CELL.items()})
-    p = p.iloc[np.lexsort(_matrix(p).T[::-1])]
-    p = p.iloc[np.lexsort((p["part"].to_numpy(), pd.factorize(p["grp"], sort=True)[0]))]
-    h = h.iloc[np.lexsort(_matrix(h).T[::-1])]
-    a, b = _matrix(p), _matrix(h)
-    d2 = _squared(a, b)
-    near_h = d2.argmin(axis=1)
-    d = np.sqrt(((a - b[near_h]) ** 2).sum(1))
-    out = [_cell_rows(POINT, p["grp"].to_numpy(), p["blk"].to_numpy(), np.arange(len(p)), p["w"].to_numpy(), d)]
-    units = pd.MultiIndex.from_frame(p[["grp", "part"]]).factorize()[0]
-    starts = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1]]))
-    w = h["w"].to_numpy(float)
-    for s, e in zip(starts, [*starts[1:], len(p)]):
-        near_p = d2[s:e].argmin(axis=0)
-        d = np.sqrt(((a[s:e][near_p] - b) ** 2).sum(1))
-        g = p["grp"].iloc[s]
-        if p["cuts"].iloc[s] == 1:
-            out.append(_cell_rows(WHOLE, [g], h["blk"].iloc[0], 0, w.sum(), float(w @ d)))
-        else:
-            out.append(_cell_rows(HUMAN, [g] * len(h), h["blk"].to_numpy(), np.arange(len(h)), w, d))
-    return pd.concat(out)
-
-
-def cell_minima(p: DataFrame, h: DataFrame, by: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The groups of ``p``, and the rows of all cells of ``p`` x ``h``.
-
-    A group is kept in one block unless it is larger than a block.
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(_squared(a, b))
+
+
+def nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
+    """Distance of every row of ``a`` to its nearest of ``b``, and how many distances that took.
+
+    About the square root of ``b``'s rows serve as pivots.  A point first tries the
+    members of its nearest pivot, then those of other pivots whose farthest member
+    leaves room for a smaller distance.
     """
-    distinct, n_p = _blocks(p.select(F.col(by).alias("grp"), "vec"), ["grp"], block_rows)
-    sizes = distinct.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("cuts"))
-    part = F.pmod(F.xxhash64("vec"), F.col("cuts")).cast("int")
-    pb = (
-        distinct.drop("blk").join(sizes, "grp").withColumn("part", part)
-        .withColumn("blk", F.pmod(F.xxhash64("grp", "part"), F.lit(n_p)).cast("int"))
+    k = int(len(b) ** 0.5)
+    if len(b) <= FEW:
+        near = _squared(a, b).argmin(axis=1)
+        return np.sqrt(((a - b[near]) ** 2).sum(1)), len(a) * len(b)
+    pivots = b[np.linspace(0, len(b) - 1, k).astype(int)]
+    to_b, to_a = _distances(b, pivots), _distances(a, pivots)
+    cell, own = to_b.argmin(axis=1), to_a.argmin(axis=1)
+    radius = np.zeros(k)
+    np.maximum.at(radius, cell, to_b.min(axis=1))
+    members = [np.flatnonzero(cell == c) for c in range(k)]
+    best, index, tried = np.full(len(a), np.inf), np.zeros(len(a), int), k * (len(a) + len(b))
+
+    def look(rows: np.ndarray, c: int) -> None:
+        nonlocal tried
+        d2 = _squared(a[rows], b[members[c]])
+        at = d2.argmin(axis=1)
+        d = np.sqrt(d2[np.arange(len(rows)), at])
+        closer = d < best[rows]
+        best[rows[closer]], index[rows[closer]] = d[closer], members[c][at[closer]]
+        tried += d2.size
+
+    for c in range(k):
+        if len(members[c]) and len(rows := np.flatnonzero(own == c)):
+            look(rows, c)
+    for c in range(k):
+        bound = to_a[:, c] - radius[c]
+        rows = np.flatnonzero((own != c) & (bound <= best + _SLACK * (to_a[:, c] + 1)))
+        if len(members[c]) and len(rows):
+            look(rows, c)
+    return np.sqrt(((a - b[index]) ** 2).sum(1)), tried
+
+
+def _count(counter, tried: int) -> None:
+    if counter is not None:
+        counter.add(tried)
+
+
+def _distinct(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct vectors with weight ``w`` and a number ``pid``, written once."""
+    found = points.groupBy(*keys, "vec").agg(F.count("*").alias("w"))
+    return settle(found.withColumn("pid", F.monotonically_increasing_id()), "cloud")
+
+
+def _pivots(distinct: DataFrame, n: int) -> np.ndarray:
+    """At most ``PIVOTS`` vectors of the cloud, spread by hash."""
+    some = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(min(PIVOTS, int(n**0.5) + 1)).collect()
+    return np.array([r.vec for r in some])
+
+
+def _routed(queries: DataFrame, n_queries: int, data: DataFrame, pivots: np.ndarray, block_rows: int, counter) -> DataFrame:
+    """``grp, pid, d``: distance of every query (``pid, vec``) to the nearest of every group of ``data`` (``grp, vec``)."""
+    grp_type, n_blk = dict(data.dtypes)["grp"], max(1, -(-n_queries // block_rows))
+
+    def place(frames):
+        for pdf in frames:
+            if len(pdf):
+                d = _distances(_matrix(pdf), pivots)
+                yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), far=d.min(axis=1))
+
+    placed = settle(data.select("grp", "vec").mapInPandas(place, f"grp {grp_type}, vec array<double>, cell int, far double"), "cells")
+    sizes = placed.groupBy("grp", "cell").agg(
+        F.min("far").alias("low"), F.max("far").alias("high"), F.ceil(F.count("*") / block_rows).cast("int").alias("cuts")
     )
-    hb, n_h = _blocks(h.select("vec"), [], block_rows)
-    grp_type = dict(pb.dtypes)["grp"]
-    left = pb.select(
-        F.col("blk").alias("cp"), _every(n_h).alias("ch"), F.lit(0).alias("side"), "grp", "part", "cuts", "blk", "w", "vec"
+    maps = sizes.groupBy("grp").agg(F.collect_list(F.struct("cell", "low", "high", "cuts")).alias("cells"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blk - 1)))
+    asking = queries.select(F.pmod(F.xxhash64("pid"), F.lit(n_blk)).cast("int").alias("blk"), "pid", "vec")
+
+    def route(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left):
+            a = _matrix(left)
+            d, pids = _distances(a, pivots), left["pid"].to_numpy()
+            salt = int(left["blk"].iloc[0]) // QUERY_BLOCKS
+            for grp, cells in zip(right["grp"], right["cells"], strict=True):
+                cell, low, high, cuts = (np.array([c[k] for c in cells]) for k in ("cell", "low", "high", "cuts"))
+                to = d[:, cell]
+                # Some member lies as close to its pivot as the nearest one does.
+                reach = (to + low).min(axis=1)[:, None] + _SLACK * (to + 1)
+                for c, rows in enumerate((to - high <= reach).T):
+                    if rows.any():
+                        packed = pids[rows].tobytes(), a[rows].tobytes()
+                        out += [(grp, int(cell[c]), sub, salt, *packed) for sub in range(int(cuts[c]))]
+        return pd.DataFrame(out, columns=["grp", "cell", "sub", "salt", "pids", "vecs"], dtype=object)
+
+    travelling = asking.groupBy("blk").cogroup(maps.withColumn("blk", every).groupBy("blk")).applyInPandas(
+        route, f"grp {grp_type}, cell int, sub int, salt int, pids binary, vecs binary"
     )
-    right = hb.select(
-        _every(n_p).alias("cp"), F.col("blk").alias("ch"), F.lit(1).alias("side"), F.lit(None).cast(grp_type).alias("grp"),
-        F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("cuts"), "blk", "w", "vec",
-    )
-    rows = left.unionByName(right).groupBy("cp", "ch").applyInPandas(
-        _nearest_cell, f"side int, grp {grp_type}, blk int, idx int, w double, d double"
+    salts = F.explode(F.sequence(F.lit(0), F.lit((n_blk - 1) // QUERY_BLOCKS)))
+    at_home = placed.join(sizes.select("grp", "cell", "cuts"), ["grp", "cell"]).select(
+        "grp", "cell", F.pmod(F.xxhash64("vec"), F.col("cuts")).cast("int").alias("sub"), salts.alias("salt"), "vec"
     )
+    key = ["grp", "cell", "sub", "salt"]
+
+    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, found = [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(left) and len(right):
+            b = _matrix(right)
+            for pids, vecs in zip(left["pids"], left["vecs"], strict=True):
+                d, tried = nearest(np.frombuffer(vecs).reshape(-1, b.shape[1]), b)
+                _count(counter, tried)
+                ids.append(np.frombuffer(pids, np.int64))
+                found.append(d)
+        ids = np.concatenate(ids)
+        return pd.DataFrame({"grp": pd.Series([left["grp"].iloc[0]] * len(ids) if len(ids) else [], dtype=object), "pid": ids, "d": np.concatenate(found)})
+
+    found = travelling.groupBy(*key).cogroup(at_home.groupBy(*key)).applyInPandas(solve, f"grp {grp_type}, pid long, d double")
+    return found.groupBy("grp", "pid").agg(F.min("d").alias("d"))
+
+
+def _whole_groups(groups: DataFrame, n_groups: int, humans: DataFrame, n_humans: int, block_rows: int, counter) -> DataFrame:
+    """``grp, w, wd``: for every group, by block of humans, their weight and the weighted sum of distances to it.
+
+    Every group meets every block of humans, as each has a distance to each.
+    """
+    grp_type = dict(groups.dtypes)["grp"]
+    n_p, n_h = max(1, -(-n_groups // block_rows)), max(1, -(-n_humans // block_rows))
+    left = groups.select(F.pmod(F.xxhash64("grp"), F.lit(n_p)).cast("int").alias("cp"), _every(n_h).alias("ch"), "grp", "vec")
+    right = humans.select(_every(n_p).alias("cp"), F.pmod(F.xxhash64("vec"), F.lit(n_h)).cast("int").alias("ch"), "w", "vec")
+
+    def cell(p: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        grps, sums = [], []
+        if len(p) and len(h):
+            p = p.iloc[np.argsort(codes := pd.factorize(p["grp"])[0], kind="stable")]
+            a, humans, w = _matrix(p), _matrix(h), h["w"].to_numpy(float)
+            codes.sort()
+            edges = [*np.flatnonzero(np.diff(codes, prepend=-1)), len(p)]
+            for s, e in zip(edges, edges[1:]):
+                d, tried = nearest(humans, a[s:e])
+                _count(counter, tried)
+                grps.append(p["grp"].iloc[s])
+                sums.append(float(w @ d))
+        return pd.DataFrame({"grp": pd.Series(grps, dtype=object), "w": float(h["w"].sum()), "wd": sums})
+
+    return left.groupBy("cp", "ch").cogroup(right.groupBy("cp", "ch")).applyInPandas(cell, f"grp {grp_type}, w double, wd double")
+
+
+def cell_minima(p: DataFrame, h: DataFrame, by: str, block_rows: int = BLOCK_ROWS, counter=None) -> tuple[DataFrame, DataFrame]:
+    """The groups of ``p``, and ``side, grp, w, wd``: weights and weighted nearest distances in both directions.
+
+    A point gives one row, with its distance to the nearest human.  A group gives a
+    row per block of humans, unless it is larger than a block: then every human
+    looks for its nearest in the group as points look for theirs.  ``counter``, an
+    accumulator, adds up the distances computed.
+    """
+    points = _distinct(p.select(F.col(by).alias("grp"), "vec"), ["grp"])
+    humans = _distinct(h.select("vec"), [])
+    n_p, n_h = points.count(), humans.count()
+    sizes = points.groupBy("grp").agg(F.count("*").alias("n"))
+    grp_type = dict(points.dtypes)["grp"]
+    if not n_p or not n_h:
+        return sizes.select("grp"), p.sparkSession.createDataFrame([], f"side int, grp {grp_type}, w double, wd double")
+    sized = points.join(sizes, "grp")
+    small, large = sized.where(F.col("n") <= block_rows), sized.where(F.col("n") > block_rows)
+    pivots = _pivots(humans, n_h)
+    near = _routed(points, n_p, humans.withColumn("grp", F.lit(0)), pivots, block_rows, counter)
+    weighted = lambda side: (F.lit(side).alias("side"), "grp", F.col("w").cast("double").alias("w"), (F.col("w") * F.col("d")).alias("wd"))
+    rows = near.select("pid", "d").join(points, "pid").select(*weighted(POINT))
+    groups = _whole_groups(small, n_p, humans, n_h, block_rows, counter)
+    rows = rows.unionByName(groups.select(F.lit(WHOLE).alias("side"), "grp", "w", "wd"))
+    if not large.isEmpty():
+        spread_out = _routed(humans, n_h, large, pivots, block_rows, counter)
+        rows = rows.unionByName(spread_out.join(humans, "pid").select(*weighted(HUMAN)))
     return sizes.select("grp"), rows
 
 
-def coverage_error(p: DataFrame, h: DataFrame, by: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def coverage_error(p: DataFrame, h: DataFrame, by: str, block_rows: int = BLOCK_ROWS, counter=None) -> DataFrame:
     """``(by, err)`` with err = mean_h min_p d + mean_p min_h d for every group of ``p``,
     null when ``h`` is empty.  ``by`` must be non-null."""
-    groups, rows = cell_minima(p, h, by, block_rows)
-    minima = settle(rows, "minima")
-    nearest = (
-        minima.where(F.col("side") != WHOLE).groupBy("side", "grp", "blk", "idx")
-        .agg(F.min("d").alias("d"), F.first("w").alias("w"))
-        .select("side", "grp", "w", (F.col("d") * F.col("w")).alias("wd"))
-    )
-    whole = minima.where(F.col("side") == WHOLE).select("side", "grp", "w", F.col("d").alias("wd"))
+    groups, rows = cell_minima(p, h, by, block_rows, counter)
     err = (
-        nearest.unionByName(whole).groupBy("grp", "side")
-        .agg((F.sum("wd") / F.sum("w")).alias("mean_d"))
-        .groupBy("grp")
-        .agg(F.sum("mean_d").alias("err"))
+        rows.groupBy("grp", "side").agg((F.sum("wd") / F.sum("w")).alias("mean_d"))
+        .groupBy("grp").agg(F.sum("mean_d").alias("err"))
     )
     return groups.join(err, "grp", "left").withColumnRenamed("grp", by)
 
 
-def chamfer(p: DataFrame, h: DataFrame, d_ref: DataFrame, by: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def chamfer(p: DataFrame, h: DataFrame, d_ref: DataFrame, by: str, block_rows: int = BLOCK_ROWS, counter=None) -> DataFrame:
     """``(by, chamfer)`` in [0, 1] for every group of ``p`` against cloud ``h``.
 
     ``d_ref`` is a one-row DataFrame with that column (:func:`reference_spread`).
     Groups score 0 when ``h`` is empty or ``d_ref`` is not positive.
     """
-    scored = coverage_error(p, h, by, block_rows).withColumn("_d", d_ref.select("d_ref").scalar())
+    scored = coverage_error(p, h, by, block_rows, counter).withColumn("_d", d_ref.select("d_ref").scalar())
     score = F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), F.col("err") / (2.0 * F.col("_d"))))
     return scored.select(
         by, F.coalesce(F.when((F.col("_d") > 0) & F.col("err").isNotNull(), score), F.lit(0.0)).alias("chamfer")

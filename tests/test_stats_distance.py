@@ -157,3 +157,52 @@ def test_compress_and_project(spark, cloud):
     assert 90 < row.var1 <= 100 and row.var1 + row.var2 <= 100 + 1e-9
     c = {r.label: r.pc1 for r in distance.centroids(pc, "label").collect()}
     assert abs(c["a"] - c["b"]) > 2 and c["a"] == pytest.approx(-c["b"])
+
+
+def test_nearest_equals_full_scan():
+    rng = np.random.default_rng(9)
+    for n, m in ((1, 1), (50, 70), (300, 900)):
+        a, b = rng.random((n, 5)), np.vstack([rng.random((m, 5)), np.full((3, 5), 0.5)])
+        d, tried = distance.nearest(a, b)
+        assert d == pytest.approx(np.linalg.norm(a[:, None] - b[None], axis=2).min(1), abs=1e-12) and tried > 0
+
+
+@pytest.mark.parametrize("block_rows", [40, 100, 2048])
+def test_clustered_clouds_need_few_distances(spark, cloud, block_rows):
+    rng = np.random.default_rng(11)
+    centres = rng.uniform(-50, 50, (30, 6))
+    p, h = (centres[np.arange(n) % 30] + rng.normal(0, 0.1, (n, 6)) for n in (1500, 1200))
+    counter = spark.sparkContext.accumulator(0)
+    got = distance.chamfer(cloud(p), cloud(h), d_ref(spark, 5), "g", block_rows, counter).first().chamfer
+    assert got == pytest.approx(brute_chamfer(p, h, 5))
+    assert 0 < counter.value < 0.35 * 2 * len(p) * len(h)
+
+
+def test_groups_of_all_sizes_and_copies(spark, cloud):
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(0, 1, (400, 3)), np.zeros((60, 3)), rng.normal(5, 1, (40, 3))])
+    h = np.vstack([rng.normal(0, 1, (250, 3)), np.zeros((50, 3))])
+    groups = [0 if i < 300 else i % 7 for i in range(len(x))]
+    want = {str(g): brute_chamfer(x[[k == g for k in groups]], h, 3) for g in set(groups)}
+    for block_rows in (16, 64):
+        got = distance.chamfer(cloud(x, groups), cloud(h), d_ref(spark, 3), "g", block_rows)
+        assert {r.g: r.chamfer for r in got.collect()} == pytest.approx(want)
+
+
+def test_spread_estimate_keeps_its_bound(spark, cloud):
+    rng = np.random.default_rng(13)
+    x = np.vstack([rng.normal(0, 1, (700, 4)), rng.normal(9, 0.2, (300, 4)), np.zeros((200, 4))])
+    exact = distance.reference_spread(cloud(x)).first().d_ref
+    for seed in range(3):
+        found = distance.estimate_spread(cloud(x), pairs=20_000, seed=seed).first()
+        assert found.n == 1200 and abs(found.d_ref - exact) <= found.half_width < 0.06 * exact
+    few = distance.estimate_spread(cloud(x), pairs=200).first()
+    assert abs(few.d_ref - exact) <= few.half_width and few.half_width > found.half_width
+
+
+def test_spread_estimate_of_tiny_clouds(cloud):
+    assert distance.estimate_spread(cloud([[1, 2]])).first().d_ref == 1.0
+    assert distance.estimate_spread(cloud([[1, 2]]).limit(0)).first().n == 0
+    assert distance.estimate_spread(cloud([[1, 2], [1, 2]])).first().d_ref == 1.0
+    two = distance.estimate_spread(cloud([[0, 0], [3, 4]])).first()
+    assert abs(two.d_ref - 5) <= two.half_width + 1e-9
