@@ -59,9 +59,13 @@ def a03(spark, d):
     return D.to_turns(D.read_text_dialogs(spark, path, "====")).select("role", "content", "turn")
 
 
+FILE_BYTES = 16 << 20
+
+
 def write_files_of_one_value(values, key: str, join, path: str) -> None:
-    """Layouts that are one JSON value per file: records of a hash bucket share a file."""
-    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Layouts that are one JSON value per file: records of a hash bucket share a file of some ``FILE_BYTES``."""
+    size = F.octet_length(F.to_json(F.struct("*")))
+    n = 2 + (values.agg(F.sum(size)).first()[0] or 0) // FILE_BYTES
     buckets = values.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("b")).agg(join.alias("value")).select("value")
     buckets.write.option("maxRecordsPerFile", 1).text(path)
 

@@ -1,15 +1,16 @@
 """Readers and writers for dialogue and task files.
 
-JSON comes in two layouts: ``array`` (one array per file, so a file is the unit
-of work) and ``lines`` (one object per line, splittable, the layout for large
-corpora).  Records are read as VARIANT, which keeps unknown keys and lets every
-record be checked once, in the scan.
+JSON comes in two layouts: ``array`` (one array per file) and ``lines`` (one object
+per line).  Both are split by byte ranges, lines by the scan itself, arrays by
+:mod:`talkprint.sources.json_members`, which scans twice.  Records are read as
+VARIANT, which keeps unknown keys and lets every record be checked once.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkprint.functions import text as T
+from talkprint.sources.json_members import read_array, read_object
 
 TURN = "struct<role:string,content:string>"
 
@@ -42,19 +43,10 @@ def _numbered(raw: DataFrame) -> DataFrame:
 
 def _records(spark: SparkSession, path, layout: str, what: str) -> DataFrame:
     """``(file, i, v)``: one variant per record, ``i`` its place in the file."""
-    raw = (
-        spark.read.option("singleVariantColumn", "v")
-        .option("multiLine", layout == "array")
-        .option("mode", "FAILFAST")
-        .json(path)
-        .select(*_file_columns(), "v")
-    )
-    if layout == "lines":
-        return _numbered(raw).select("file", "i", "v")
-    is_array = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
-    checked = _require(raw, is_array, f"{what} file must be a JSON array").select("file", F.col("v").alias("whole"))
-    items = checked.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
-    return items.select("file", F.col("pos").cast("long").alias("i"), F.col("value").alias("v"))
+    if layout == "array":
+        return read_array(spark, path, what)
+    raw = spark.read.option("singleVariantColumn", "v").option("mode", "FAILFAST").json(path).select(*_file_columns(), "v")
+    return _numbered(raw).select("file", "i", "v")
 
 
 def read_dialogs(spark: SparkSession, path, layout: str = "array", empty_falls_back: bool = False) -> DataFrame:
@@ -183,11 +175,14 @@ def read_keyed_dialogs(spark: SparkSession, path, domain: str, layout: str = "ob
     """``(instance_id, conversation)`` of objects keyed by instance id, for the
     keys opening with ``<domain>_``; entries without turns drop.
 
-    ``object`` is one object per file, ``lines`` one (smaller) object per line.
+    ``object`` is one object per file (of equal keys the last counts), ``lines`` one (smaller) object per line.
     """
-    raw = spark.read.option("singleVariantColumn", "whole").option("multiLine", layout == "object").json(path)
-    items = raw.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
-    rows = items.select(F.col("key").alias("instance_id"), F.col("value").alias("v"))
+    if layout == "object":
+        items = read_object(spark, path, "dialogs")
+    else:
+        raw = spark.read.option("singleVariantColumn", "whole").json(path)
+        items = raw.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer())).withColumnRenamed("value", "v")
+    rows = items.select(F.col("key").alias("instance_id"), "v")
     trace = F.try_variant_get("v", F.lit("$.conversation"), f"array<{TURN}>")
     return rows.where(F.startswith("instance_id", F.lit(domain + "_"))).select(
         "instance_id", trace.alias("conversation")
