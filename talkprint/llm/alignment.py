@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from talkprint.llm import packing
-from talkprint.llm.common import map_batches
+from talkprint.llm.common import Recent, map_batches
 from talkprint.sources.shared import settle
 
 SPACE = "▁"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 SHORT_WORD = 200
 #: Documents beyond ``LONG_BYTES`` are dealt out in ranges, composed ``FAN`` at a time.
 LONG_BYTES, RANGE_BYTES, FAN = 1 << 16, 1 << 14, 8
@@ -108,25 +108,6 @@ def _ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 START = Fragment(cut=True)  # the place before a document's first byte, where both encodings begin
 
 
-class _Pieces(dict):
-    """Ids in B, as 32-bit bytes, of a word that a space precedes.
-
-    None for what is no word, False for what the ids do not spell.
-    """
-
-    def __init__(self, aligner: "Aligner"):
-        self.aligner = aligner
-
-    def __missing__(self, word: str):
-        if len(self) >= self.aligner.cache_words:
-            self.clear()
-        apart = not word or word[0].isspace() or word[-1].isspace()
-        ids = None if apart else self.aligner.second_ids(word)
-        if len(word) <= SHORT_WORD:
-            self[word] = ids
-        return ids
-
-
 class Aligner:
     """Both encodings of a text: a byte-level file of ``tokenizers`` (A) and a ``sentencepiece`` file (B)."""
 
@@ -145,8 +126,7 @@ class Aligner:
         self.kind = "u4" if self.first.span * self.span < 1 << 32 else "u8"
         ids = range(max(self.first.span, self.span))
         self.spelled = [f"{i}{mark}" for mark in ",|;" for i in ids]
-        self.cache_words = cache_words
-        self.words = _Pieces(self)
+        self.words = Recent(self.word, cache_words // 2, lambda word: len(word) <= SHORT_WORD)
 
     def second_ids(self, unit: str) -> bytes | bool:
         """Ids in B of a unit, before which B puts a space; False if they do not spell it byte by byte."""
@@ -154,6 +134,10 @@ class Aligner:
         spelled = b"".join(map(self.b_bytes.__getitem__, ids)) == b" " + unit.encode()
         return spelled and array("I", ids).tobytes()
 
+    def word(self, word: str) -> bytes | bool | None:
+        """Ids in B of a word that a space precedes; None for what is no word."""
+        return None if not word or word[0].isspace() or word[-1].isspace() else self.second_ids(word)
+
     def tokens(self, text: str, start: int = 0) -> Tokens | None:
         """Tokens of a space and ``text``, or None if B does not spell them; A spells any text.
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkprint.llm.common import map_batches
+from talkprint.llm.common import Recent, map_batches
 
 # The word pattern of the byte-level pre-tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,37 +41,8 @@ def byte_letters() -> dict[int, str]:
     return letters | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Chunks(dict):
-    """Ids, as little-endian 32-bit bytes, of a chunk of text that a space precedes."""
-
-    def __init__(self, bpe: "ByteBPE"):
-        self.bpe = bpe
-
-    def __missing__(self, chunk: str):
-        if len(self) >= self.bpe.cache_words:
-            self.clear()
-        # A space belongs to the word after it only if no white space follows: see ByteBPE.packed.
-        apart = not chunk or chunk[0].isspace()
-        ids = None if apart else self.bpe.pack(" " + chunk)
-        if len(chunk) <= SHORT_WORD:
-            self[chunk] = ids
-        return ids
-
-
-class _Words(dict):
-    """Ids, as little-endian 32-bit bytes, of a word of the pre-tokenizer."""
-
-    def __init__(self, bpe: "ByteBPE"):
-        self.bpe = bpe
-
-    def __missing__(self, word: str) -> bytes:
-        data = word.encode()
-        if len(data) > SHORT_WORD:
-            return array("I", self.bpe.merge_long(data)).tobytes()
-        if len(self) >= self.bpe.cache_words // 2:
-            self.clear()
-        self[word] = ids = array("I", self.bpe.merge(data)[1]).tobytes()
-        return ids
+def _short(key: str) -> bool:
+    return len(key) <= SHORT_WORD
 
 
 class ByteBPE:
@@ -100,8 +71,8 @@ class ByteBPE:
         self.special = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.words = regex.compile(WORD)
         self.cache_words = cache_words
-        self.chunks = _Chunks(self)
-        self.known = _Words(self)
+        self.chunks = Recent(self.chunk, cache_words // 2, _short)
+        self.known = Recent(self.word, cache_words // 4, _short)
         self.strings = {i: str(i) for i in self.texts}
 
     def merge(self, word: bytes) -> tuple[list[int], list[int]]:
@@ -153,6 +124,15 @@ class ByteBPE:
                 offer(before[i])
         return [p for p in parts if p is not None]
 
+    def word(self, word: str) -> bytes:
+        """Ids, as little-endian 32-bit bytes, of a word of the pre-tokenizer."""
+        data = word.encode()
+        return array("I", self.merge_long(data) if len(data) > SHORT_WORD else self.merge(data)[1]).tobytes()
+
+    def chunk(self, chunk: str) -> bytes | None:
+        """Ids, as bytes, of a chunk of text that a space precedes; None if the space may belong to other white space."""
+        return None if not chunk or chunk[0].isspace() else self.pack(" " + chunk)
+
     def pack(self, text: str) -> bytes:
         """Ids of a text without special strings, packed as 32-bit little-endian numbers."""
         return b"".join(map(self.known.__getitem__, self.words.findall(text)))

@@ -10,6 +10,34 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 1000
 
 
+_MISSING = object()
+
+
+class Recent(dict):
+    """A bounded table of results by key, for a Python worker.
+
+    ``make`` gives the result of a key that is not there.  When ``limit`` results are
+    held they become the older half, from which those still in use come back; so
+    the most recent ``limit`` keys are always at hand, and twice as many at most.
+    Keys that ``keep`` refuses are made every time.
+    """
+
+    def __init__(self, make: Callable, limit: int, keep: Callable = lambda key: True):
+        self.make, self.limit, self.keep, self.older = make, max(1, limit), keep, {}
+
+    def __missing__(self, key):
+        value = self.older.pop(key, _MISSING)
+        if value is _MISSING:
+            value = self.make(key)
+            if not self.keep(key):
+                return value
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from talkprint.llm.bpe import byte_letters
-from talkprint.llm.common import map_batches
+from talkprint.llm.common import Recent, map_batches
 
 CAPACITY = 4096
 CLASSES = 16
@@ -47,21 +47,6 @@ SEPARATORS = re.compile("[\x1c-\x1f\x85]")
 MARK = "\0"  # stands for the end of a word; no plain word holds it
 
 
-class _Words(dict):
-    """Ids, as little-endian 32-bit bytes, of a stretch of text without white space."""
-
-    def __init__(self, codec: "WordBPE"):
-        self.codec = codec
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.codec.cache_words:
-            self.clear()
-        ids = self.codec.word(word)
-        if len(word) <= SHORT_WORD:
-            self[word] = ids
-        return ids
-
-
 class WordBPE:
     """Ids of a vocabulary with word ends, lower case and dropped white space, as its library gives them.
 
@@ -89,13 +74,13 @@ class WordBPE:
         self.library = Tokenizer.from_file(path)
         self.merger = tiktoken.Encoding("word ends", pat_str=f"[^{MARK}]*{MARK}", mergeable_ranks=ranks, special_tokens={})
         self.pieces = regex.compile(split["pattern"]["Regex"])
-        self.cache_words = cache_words
-        self.known = _Words(self)
+        self.known = Recent(self.word, cache_words // 2, lambda word: len(word) <= SHORT_WORD)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, word: str) -> bytes:
+        """Ids, as little-endian 32-bit bytes, of a stretch of text without white space."""
         if len(word) > SHORT_WORD or not PLAIN.fullmatch(word) or any(s in word for s in self.special):
             return self.whole(word)
         pieces = self.pieces.findall(word.lower())

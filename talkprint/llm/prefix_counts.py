@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkprint.llm.common import map_batches
+from talkprint.llm.common import Recent, map_batches
 
 SPACE = "▁"
 CACHE_WORDS = 400_000
@@ -59,21 +59,6 @@ def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
-class _Ends(dict):
-    """Last entry of the prefix table of a space mark and a word."""
-
-    def __init__(self, counter: "PieceCounter"):
-        self.counter = counter
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.counter.cache_words:
-            self.clear()
-        n = self.counter.table(SPACE + word)[-1]
-        if len(word) <= LONG_WORD:
-            self[word] = n
-        return n
-
-
 class PieceCounter:
     """Prefix tables for one vocabulary file."""
 
@@ -101,7 +86,8 @@ class PieceCounter:
         self.endings = {p[i:]: p[i:] in pieces for p in pieces for i in range(len(p))}
         self.fits: dict[tuple[str, str], bool] = {}
         self.words: dict[str, list[int]] = {}
-        self.ends = _Ends(self)
+        # Last entry of the prefix table of a space mark and a word.
+        self.ends = Recent(lambda word: self.table(SPACE + word)[-1], cache_words // 2, lambda word: len(word) <= LONG_WORD)
         self.cache_words = cache_words
 
     def encode(self, text: str) -> list[str]:

@@ -44,7 +44,7 @@ KMER = 16
 SLOTS = (32, 8, 2, 1)
 BUCKET = 2048
 CHUNK = 1 << 22
-SUFFIXES_AT_ONCE, BYTES_AT_ONCE = 400_000, 4 << 20
+SUFFIXES_AT_ONCE, BYTES_AT_ONCE = 120_000, 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x5851F42D4C957F2D | 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -378,7 +378,7 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def removal_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row ``n_bytes, n_removed, n_spans`` and the digest of the bytes that are left.
+    """Per row ``n_bytes, n_removed, n_spans``, the digest of the bytes that are left and their number ``n_kept``.
 
     Null text is empty.  Rows that repeat a text of at least ``length`` bytes are
     removed in full, as each occurs elsewhere; null ids are ids like any other.
@@ -386,19 +386,21 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     def run(batches):
         for b in batches:
-            out = [b["id"], [], [], [], []]
+            out = [b["id"], [], [], [], [], []]
             for data, ranges in zip(b["__body"], b["__ranges"], strict=True):
                 spans = merged(ranges, length)
                 out[1].append(len(data))
                 out[2].append(sum(e - s for s, e in spans))
                 out[3].append(len(spans))
-                out[4].append(hashlib.sha256(kept_bytes(data, spans)).hexdigest())
+                left = kept_bytes(data, spans)
+                out[4].append(hashlib.sha256(left).hexdigest())
+                out[5].append(len(left))
             yield out
 
     rows = with_ranges(docs.select(id_col, text_col), length, id_col, text_col)
     return map_batches(
         rows.select(F.col(id_col).cast("long").alias("id"), "__body", "__ranges"), run,
-        f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string",
+        f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long",
     )
 
 

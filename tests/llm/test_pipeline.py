@@ -11,7 +11,7 @@ import corpus_pipeline
 from talkprint.llm import language, simhash
 from talkprint.llm.queries import ORACLE, QUERIES
 from tests.conftest import SF
-from tests.llm.test_search_and_dedup import brute_components, brute_removed
+from tests.llm.test_search_and_dedup import brute_removed
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_all_operators_and_the_pipeline_are_registered():
     names = entry_module.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(ORACLE) <= set(entry_module.oracle_sql())
 
 
@@ -44,6 +44,21 @@ def test_whole_tables_come_back(spark):
         assert sorted(r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect()) == ids
 
 
+def brute_groups(texts):
+    """Smallest id that each document reaches over pairs whose sets of five words are alike by 0.8 or more."""
+    sets = {}
+    for i, t in texts.items():
+        words = t.lower().split()
+        sets[i] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+    least = {i: i for i in texts}
+    for _ in texts:
+        for i in texts:
+            for j in texts:
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+    return least
+
+
 def documents(spark):
     long = " ".join(f"the house number {i} of the other street and" for i in range(40))
     passage = " ".join(f"and that was the thing with the {i} people" for i in range(20))
@@ -63,13 +78,13 @@ def test_stages_one_by_one(spark, monkeypatch):
     assert kept.columns == docs.columns and {1, 2, 5, 6, 7, 8} == {r.doc_id for r in kept.collect()}
 
     unique = corpus_pipeline.drop_near_duplicates(spark, kept, SF)
-    groups = {i: c for i, _, c in brute_components([(r.doc_id, r.text) for r in kept.collect()], 5, 9)}
+    groups = brute_groups({r.doc_id: r.text for r in kept.collect()})
     assert unique.columns == docs.columns and {r.doc_id for r in unique.collect()} == set(groups.values())
     assert groups[2] == groups[8] == 1
 
     cut = corpus_pipeline.remove_repeats(spark, unique, SF)
     rows = unique.collect()
-    masks = brute_removed([r.text.encode() for r in rows], 400)
+    masks = brute_removed([r.text.encode() for r in rows], corpus_pipeline.PASSAGE_BYTES)
     want = {r.doc_id: bytes(c for c, m in zip(r.text.encode(), mask) if not m).decode() for r, mask in zip(rows, masks)}
     got = {r.doc_id: r for r in cut.collect()}
     assert cut.columns == docs.columns and {i: r.text for i, r in got.items()} == {i: t for i, t in want.items() if t}
