@@ -9,14 +9,18 @@ Everything a process writes lies in one folder of its own, which
 """
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []  # paths handed out while somebody records them
+_recording = False
 _RUN = f"talkprint-{uuid.uuid4().hex[:12]}"
 
 
@@ -45,7 +49,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in this run's part of the shared folder."""
-    return f"{shared_dir(spark)}/{_RUN}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_RUN}/{name}-{uuid.uuid4().hex}"
+    if _recording:
+        _written.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The scratch paths that are handed out inside the block, in a list that is complete at its end."""
+    global _recording
+    _recording, found = True, []
+    _written.clear()
+    try:
+        yield found
+    finally:
+        _recording = False
+        found += _written
+
+
+def remove_unread(paths: list[str], frame: DataFrame) -> list[str]:
+    """Delete the scratch tables among ``paths`` that ``frame`` does not read; returns the others."""
+    folders = {f.rpartition("/")[0] for f in frame.inputFiles()}
+    read = {p for p in paths if any(f.endswith(p.partition(_RUN)[2]) for f in folders)}
+    for path in set(paths) - read:
+        where, place = fs.FileSystem.from_uri(path)
+        if where.get_file_info(place).type != fs.FileType.NotFound:
+            where.delete_dir(place)
+    return [p for p in paths if p in read]
 
 
 def remove_scratch(spark: SparkSession) -> None:
