@@ -5,6 +5,7 @@ any length: per-run orderings use the two-level forms of
 :mod:`talkprint.operators.ordering`.
 """
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,11 +115,32 @@ def resume_offset(curve: DataFrame, keys: list[str] = ()) -> DataFrame:
     return curve.groupBy(*keys).agg(F.coalesce(F.max("iteration"), F.lit(0)).alias("offset"))
 
 
+BITS_PER_ROW = 64
+
+
 def entity_counts(rows: DataFrame, side: str, entities: list[str]) -> DataFrame:
-    """Rows and distinct entities per side."""
-    return rows.groupBy(side).agg(
-        F.count("*").alias("n_rows"), *[F.count_distinct(e).alias(f"n_{e}") for e in entities]
-    )
+    """Rows and distinct entities per side.
+
+    Whole numbers that lie close together are counted in bitmaps, which merge before
+    the shuffle: a bit for every number between the least and the greatest, if that
+    is no more than ``BITS_PER_ROW`` for every row.  Other entities are counted one by
+    one.  Either way no row is multiplied by the number of entities.
+    """
+    whole = [e for e, t in rows.dtypes if e in entities and t in ("tinyint", "smallint", "int", "bigint")]
+    wide = [F.max(e).cast("double") - F.min(e).cast("double") <= F.count("*") * BITS_PER_ROW for e in whole]
+    dense = {e for e, narrow in zip(whole, rows.agg(F.count("*"), *wide).first()[1:]) if narrow}
+    parts = [rows.groupBy(side).agg(F.count("*").alias("n")).select(side, F.lit("n_rows").alias("what"), "n")]
+    for e in entities:
+        if e in dense:
+            bits = rows.where(F.col(e).isNotNull()).groupBy(side, F.bitmap_bucket_number(e).alias("bucket")).agg(
+                F.bitmap_construct_agg(F.bitmap_bit_position(e)).alias("bits")
+            )
+            counted = bits.groupBy(side).agg(F.sum(F.bitmap_count("bits")).alias("n"))
+        else:
+            counted = rows.groupBy(side).agg(F.count_distinct(e).alias("n"))
+        parts.append(counted.select(side, F.lit(f"n_{e}").alias("what"), "n"))
+    named = [F.coalesce(F.max(F.when(F.col("what") == n, F.col("n"))), F.lit(0)).alias(n) for n in ["n_rows", *(f"n_{e}" for e in entities)]]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy(side).agg(*named)
 
 
 # --- fixed values: multi-domain selectors ------------------------------------

@@ -370,20 +370,69 @@ def mean_task_chamfer(p, h, d_ref, task: str, by: list[str] = (), block_rows: in
     return scored.groupBy(*by).agg(F.avg("chamfer").alias("chamfer"))
 
 
-def compress_cloud(points: DataFrame, k: int, restarts: int = 10, seed: int = 0) -> DataFrame:
+CORESET = 20_000
+TREE = 8
+
+
+def coreset(points: DataFrame, size: int = CORESET, seed: int = 0) -> DataFrame:
+    """``(vec, weight)``: at most ``size`` weighted points that stand for a larger cloud in k-means.
+
+    Every partition draws points by half their share of the rows and half their
+    share of the squared distances to the partition's mean, and weights them by the
+    inverse of that chance, so that costs keep their expectation.  ``TREE``
+    partitions at a time are put together and drawn from again, until one is left.
+    """
+
+    def draw(frames):
+        vecs, weights = [np.zeros((0, 0))], [np.zeros(0)]
+        rounds = 0
+
+        def reduced(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if len(x) <= size:
+                return x, w
+            far = w * ((x - (w @ x) / w.sum()) ** 2).sum(1)
+            chance = 0.5 * w / w.sum() + (0.5 * far / far.sum() if far.sum() > 0 else 0.5 * w / w.sum())
+            taken = np.random.default_rng([seed, len(x), rounds]).choice(len(x), size, p=chance / chance.sum())
+            return x[taken], w[taken] / (size * chance[taken])
+
+        for pdf in frames:
+            if len(pdf):
+                vecs = [v for v in vecs if len(v)] + [_matrix(pdf)]
+                weights.append(pdf["weight"].to_numpy(float))
+                x, w = reduced(np.vstack(vecs), np.concatenate(weights))
+                vecs, weights, rounds = [x], [w], rounds + 1
+        if len(vecs[0]):
+            yield pd.DataFrame({"vec": list(vecs[0]), "weight": weights[0]})
+
+    schema = "vec array<double>, weight double"
+    level = settle(points.select("vec", F.lit(1.0).alias("weight")).mapInPandas(draw, schema), "coreset")
+    parts = max(1, -(-level.count() // size))
+    while parts > 1:
+        parts = -(-parts // TREE)
+        level = settle(level.repartition(parts).mapInPandas(draw, schema), "coreset")
+    return level
+
+
+def compress_cloud(points: DataFrame, k: int, restarts: int = 10, seed: int = 0, sample: int = CORESET) -> DataFrame:
     """``k`` k-means centroids of the (already scaled) cloud, best of ``restarts``.
 
-    The cloud comes back unchanged unless 0 < k < n.  Seeds are tried in
-    order and the least training cost wins.
+    The cloud comes back unchanged unless 0 < k < n.  Seeds are tried in order and
+    the least training cost wins.  Beyond ``sample`` points the restarts run on
+    their :func:`coreset`, which costs two passes over the cloud however many there
+    are; None fits the whole cloud every time.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     settled = settle(points.select("vec"), "cloud")
-    if not 0 < k < settled.count():
+    n = settled.count()
+    if not 0 < k < n:
         return settled
-    data = settled.select(array_to_vector("vec").alias("features"))
-    fits = [KMeans(k=k, seed=seed + i).fit(data) for i in range(restarts)]
+    data, weight = settled, {}
+    if sample is not None and n > sample:
+        data, weight = coreset(settled, max(sample, k), seed), {"weightCol": "weight"}
+    data = data.withColumn("features", array_to_vector("vec"))
+    fits = [KMeans(k=k, seed=seed + i, **weight).fit(data) for i in range(restarts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     rows = [([float(x) for x in c],) for c in best.clusterCenters()]
     return points.sparkSession.createDataFrame(rows, "vec array<double>")

@@ -1,7 +1,9 @@
 """The human-versus-simulator discriminator on Spark ML."""
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -40,24 +42,23 @@ def training_set(human: DataFrame, simulated: DataFrame, features: list[str] = F
 def class_weights(labelled: DataFrame) -> DataFrame:
     """Adds ``weight`` = n / (2 * n_class).
 
-    The class sizes are one scalar row, so no row moves for this.  The input is
-    written once, as sizes and rows are two reads of it.
+    The input is written once, as the sizes and the rows are two reads of it, and so
+    are the many passes of a fit; the sizes of the two classes become constants.
     """
     labelled = settle(labelled, "labelled")
-    counts = labelled.agg(
-        F.count("*").alias("n"),
-        F.count(F.when(F.col("label") == 1, 1)).alias("n1"),
-        F.count(F.when(F.col("label") == 0, 1)).alias("n0"),
-    ).select(F.struct("n", "n1", "n0"))
-    c = F.col("_c")
-    size = F.when(F.col("label") == 1, c["n1"]).otherwise(c["n0"])
-    return labelled.withColumn("_c", counts.scalar()).withColumn("weight", c["n"] / (2.0 * size)).drop("_c")
+    sizes = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
+    n, weight = sum(sizes.values()), F.lit(None).cast("double")
+    for label, size in sizes.items():
+        weight = F.when(F.col("label") == label, n / (2.0 * size)).otherwise(weight)
+    return labelled.withColumn("weight", weight)
 
 
 def _forest(num_trees, max_depth, max_features, features):
+    """A single tree sees every row; the trees of a forest draw theirs."""
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", seed=SEED,
         numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy=str(max_features),
+        bootstrap=num_trees > 1,
     )
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest])
 
@@ -71,9 +72,8 @@ def fit_discriminator(
     features: list[str] = FEATURES,
 ) -> PipelineModel:
     """Balanced random forest.  Trees ignore scale, so no scaler stage is needed."""
-    # Every level of the trees reads the rows again: they are written once.
     data = class_weights(training_set(human, simulated, features))
-    return _forest(num_trees, max_depth, max_features, features).fit(settle(data, "training-set"))
+    return _forest(num_trees, max_depth, max_features, features).fit(data)
 
 
 def score(model: PipelineModel | None, fps: DataFrame, out: str = "p_human") -> DataFrame:
@@ -96,24 +96,37 @@ def importances(spark: SparkSession, model: PipelineModel, top: int = 12) -> Dat
 
 def cross_validation(
     human: DataFrame, simulated: DataFrame, num_trees: int = NUM_TREES, max_depth: int = MAX_DEPTH,
-    max_features: int | str = "sqrt", features: list[str] = FEATURES,
+    max_features: int | str = "sqrt", features: list[str] = FEATURES, parallelism: int = 5,
 ) -> DataFrame:
     """One row per fold ``(fold, auc)``; empty below four rows.
 
     k = min(5, max(2, n // 2)); folds are even inside each class, and the class
-    weights are those of each training part.
+    weights are those of each training part.  Up to ``parallelism`` folds are
+    fitted side by side: a fit is many short jobs that leave executors idle.
     """
     data = settle(training_set(human, simulated, features), "training-set")
     n = data.count()
     k = min(5, max(2, n // 2)) if n >= 4 else 0
     folded = settle(stratified_folds(data, "label", "row_id", max(k, 1)), "folds")
     spark = data.sparkSession
-    parts = [spark.createDataFrame([], "fold int, auc double")]
-    for fold in range(k):
-        part = settle(class_weights(folded.where(F.col("fold") != fold)), "training-part")
-        model = _forest(num_trees, max_depth, max_features, features).fit(part)
+
+    def held_out(fold: int) -> tuple[int, float]:
+        model = _forest(num_trees, max_depth, max_features, features).fit(class_weights(folded.where(F.col("fold") != fold)))
         held = score(model, folded.where(F.col("fold") == fold))
-        parts.append(exact_auc(held, "p_human", "label").select(F.lit(fold).alias("fold"), "auc"))
+        return fold, exact_auc(held, "p_human", "label").first().auc
+
+    found = []
+    if k:
+        with ThreadPoolExecutor(max(1, min(k, parallelism))) as pool:
+            found = list(pool.map(inheritable_thread_target(held_out), range(k)))
+    return spark.createDataFrame(found, "fold int, auc double")
+
+
+def fold_aucs(scored: DataFrame, score_col: str, label: str, fold: str, k: int) -> DataFrame:
+    """``(fold, auc)`` of given scores, fold by fold."""
+    parts = [
+        exact_auc(scored.where(F.col(fold) == i), score_col, label).select(F.lit(i).alias("fold"), "auc") for i in range(k)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkprint.functions.banks import ACKNOWLEDGMENTS, BANKS, FEATURES
-from talkprint.operators.fingerprint import BLOCK
 
 PHRASES = {
     "click": ["please send it, thanks", "ok", "definitely #A1B2C order 12345678", "what do you mean"],
@@ -35,15 +34,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def by_block(turns: DataFrame) -> DataFrame:
-    """Turns by dialogue and block of turns: the files may be few, the work on text is spread evenly."""
-    return turns.repartition("dialog_id", F.floor(F.col("turn") / BLOCK))
-
-
 def conv_turns(spark, d) -> DataFrame:
-    return by_block(table(spark, d, "conversations").select(
+    return table(spark, d, "conversations").select(
         F.col("conv_id").alias("dialog_id"), "turn", "role", F.col("text").alias("content")
-    ))
+    )
 
 
 def phrase_dialog():
@@ -59,10 +53,10 @@ def phrase_turns(spark, d) -> DataFrame:
     for kind, texts in PHRASES.items():
         for i, t in enumerate(texts):
             content = F.when((F.col("event_type") == kind) & (F.col("event_id") % 4 == i), t).otherwise(content)
-    return by_block(table(spark, d, "events").select(
+    return table(spark, d, "events").select(
         phrase_dialog().alias("dialog_id"), (F.col("event_id") - phrase_dialog()).alias("turn"),
         F.lit("user").alias("role"), content.alias("content"),
-    ))
+    )
 
 
 RATE_DIGITS = 10  # shares of small counts end within these digits, so they never sit on a rounding edge

@@ -5,11 +5,15 @@ Condition, task, outcome and the P(human) column of the value-checked queries
 are arithmetic on ``conv_id``.
 """
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkprint.functions.banks import FEATURES
 from talkprint.operators import evaluation, model, scorecard, stats
 from talkprint.operators.fingerprint import fingerprint
+from talkprint.operators.splits import stratified_folds
 from talkprint.plans.bindings import (
     CONV, RATE_DIGITS, conv_turns, r6, sql_chamfer, sql_dims, sql_fp, sql_means, sql_r6, sql_scaler, sql_spread, sql_z, table, with_r6,
 )
@@ -362,6 +366,65 @@ def m08b(spark, d):
     return _parted_scores(spark, d, model.load_model(path))
 
 
+KINDS = ["click", "error", "purchase", "signup", "view"]
+SHARES_SQL = f"""WITH e AS (SELECT event_id, kind, (event_type = kind)::INT::DOUBLE AS flag, user_id % 2 = 0 AS human FROM events, unnest({KINDS}) k(kind)),
+t AS (SELECT count(*) FILTER (human)::DOUBLE AS n1, count(*) FILTER (NOT human)::DOUBLE AS n0 FROM e WHERE kind = 'view'),
+s AS (SELECT kind, flag, count(*) FILTER (human) / any_value(n1) AS a, count(*) FILTER (NOT human) / any_value(n0) AS b FROM e, t GROUP BY kind, flag)"""
+
+
+def _flagged(spark, d, kind):
+    """Events as fingerprints of one feature, whether they are of a kind; the populations are users of even and odd number."""
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("dialog_id"), (F.col("event_type") == kind).cast("double").alias("flag"), (F.col("user_id") % 2 == 0).alias("human")
+    )
+
+
+def _flag_tree(spark, d, kind):
+    """One tree that sees all rows.  Its two leaves hold the classes' weighted shares; as classes weigh the same, one leaf
+    tends to either class, so that no leaves are merged."""
+    rows = _flagged(spark, d, kind)
+    return model.fit_discriminator(rows.where("human"), rows.where("not human"), num_trees=1, max_features="all", features=["flag"])
+
+
+def _flag_shares(spark, d, kind, fitted):
+    cells = _flagged(spark, d, kind).select("flag").distinct()
+    return with_r6(model.score(fitted, cells).select(F.lit(kind).alias("kind"), "flag", "p_human"), ["p_human"])
+
+
+@query("m03_leaf_shares", f"{SHARES_SQL} SELECT kind, flag, round(a / (a + b), 6) + 0.0 AS p_human FROM s")
+def m03d(spark, d):
+    return reduce(DataFrame.unionByName, [_flag_shares(spark, d, k, _flag_tree(spark, d, k)) for k in KINDS])
+
+
+@query("m08_saved_leaf_shares", f"{SHARES_SQL} SELECT kind, flag, round(a / (a + b), 6) + 0.0 AS p_human FROM s WHERE kind = 'error'")
+def m08c(spark, d):
+    path = scratch(spark, "discriminator")
+    model.save_model(_flag_tree(spark, d, "error"), path)
+    return _flag_shares(spark, d, "error", model.load_model(path))
+
+
+@query("m06_scored_events", f"{SHARES_SQL} SELECT event_id AS dialog_id, round(a / (a + b), 6) + 0.0 AS p_human FROM e JOIN s USING (kind, flag) WHERE kind = 'purchase'")
+def m06b(spark, d):
+    fitted = _flag_tree(spark, d, "purchase")
+    return with_r6(model.score(fitted, _flagged(spark, d, "purchase")).select("dialog_id", "p_human"), ["p_human"])
+
+
+@query(
+    "m04_fold_aucs",
+    """WITH f AS (SELECT value AS s, event_type = 'purchase' AS y,
+      (row_number() OVER (PARTITION BY event_type = 'purchase' ORDER BY md5('42:' || event_id), event_id::VARCHAR) - 1) % 5 AS fold FROM events),
+    r AS (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY s) + (count(*) OVER (PARTITION BY fold, s) - 1) / 2.0 AS mid FROM f),
+    c AS (SELECT fold, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS q, sum(mid) FILTER (y) AS rs FROM r GROUP BY fold)
+    SELECT fold::INT AS fold, round((rs - p * (p + 1) / 2.0) / (p * q::DOUBLE), 6) + 0.0 AS auc FROM c""",
+)
+def m04c(spark, d):
+    rows = table(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("row_id"), F.col("value").alias("s"), (F.col("event_type") == "purchase").cast("double").alias("label")
+    )
+    folded = settle(stratified_folds(rows, "label", "row_id", 5), "folds")
+    return with_r6(model.fold_aucs(folded, "s", "label", "fold", 5), ["auc"])
+
+
 AUC_SQL = """WITH s AS (SELECT {score} AS s, {label} AS y FROM {src}), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS mid FROM s),
 c AS (SELECT count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS q, sum(mid) FILTER (y) AS rs FROM r)
 SELECT round((rs - p * (p + 1) / 2.0) / (p * q::DOUBLE), 6) + 0.0 AS auc, p AS n_pos, q AS n_neg FROM c"""

@@ -121,3 +121,14 @@ def test_surviving_and_turn_fallback(spark):
     ep = spark.createDataFrame([("x", 0), ("y", 9), ("z", None)], "episode_id string, n_turns int")
     turns = spark.createDataFrame([("x",), ("x",), ("y",)], "episode_id string")
     assert {r.episode_id: r.n_turns for r in scorecard.episode_turns(ep, turns).collect()} == {"x": 2, "y": 9, "z": 0}
+
+
+def test_entity_counts_by_bitmaps(spark):
+    from talkprint.operators import curves
+
+    rows = [("a", 1, "x", 1 << 60), ("a", 1, "y", -5), ("a", None, "x", 7), ("b", -40000, None, 7), (None, 5, "x", None)]
+    df = spark.createDataFrame(rows * 900, "side string, n long, s string, far long")
+    got = curves.entity_counts(df, "side", ["n", "s", "far"])
+    assert {tuple(r) for r in got.collect()} == {("a", 2700, 1, 2, 3), ("b", 900, 1, 0, 1), (None, 900, 1, 1, 0)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "bitmap_construct_agg" in plan

@@ -206,3 +206,15 @@ def test_spread_estimate_of_tiny_clouds(cloud):
     assert distance.estimate_spread(cloud([[1, 2], [1, 2]])).first().d_ref == 1.0
     two = distance.estimate_spread(cloud([[0, 0], [3, 4]])).first()
     assert abs(two.d_ref - 5) <= two.half_width + 1e-9
+
+
+def test_coreset_keeps_the_cost_of_clusters(spark, cloud):
+    rng = np.random.default_rng(21)
+    centres = rng.uniform(-10, 10, (6, 3))
+    x = centres[rng.integers(0, 6, 5000)] + rng.normal(0, 1, (5000, 3))
+    points = cloud(x).repartition(9)
+    small = distance.coreset(points, 300).collect()
+    assert len(small) <= 300 and sum(r.weight for r in small) == pytest.approx(5000, rel=0.15)
+    cost = lambda df: (np.linalg.norm(x[:, None] - np.array([r.vec for r in df.collect()])[None], axis=2).min(1) ** 2).sum()
+    sampled, full = (cost(distance.compress_cloud(points, 6, restarts=4, sample=s)) for s in (300, None))
+    assert sampled <= 1.2 * full
