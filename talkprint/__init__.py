@@ -14,7 +14,7 @@ from talkprint.sources.shared import Scratch
 __version__ = "0.3.0"
 
 __all__ = [
-    "FEATURES", "Cloud", "Scratch", "chamfer", "clean_dialogs", "composite", "compress_cloud", "condition_metrics", "cross_validation",
+    "Cloud", "FEATURES", "Scratch", "chamfer", "clean_dialogs", "composite", "compress_cloud", "condition_metrics", "cross_validation",
     "dice_alignment", "estimate_spread", "exact_auc", "fingerprint", "fit_discriminator", "group_disjoint_split", "importances",
     "individual_fingerprints", "load_model", "mean_fingerprint", "mean_task_chamfer", "overall_chamfer", "population_stats", "read_dialogs",
     "read_keyed_dialogs", "read_tasks", "read_text_dialogs", "reference_spread", "report", "save_model", "score", "split", "to_turns",
