@@ -28,7 +28,7 @@ from talkprint.llm.common import Recent, map_batches
 
 # The word pattern of the byte-level pre-tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 NO_RANK = 1 << 60
 SHORT_WORD = 200
 
