@@ -30,6 +30,8 @@ DATE = "1970-01-01T00:00:00Z"
 PIECE = 1 << 20
 MIN_REVISIT_BYTES = 100
 FILE_BYTES = 64 << 20
+#: What the scheduler of a large cluster takes well; beyond it a task rewrites several archives.
+MAX_TASKS = 20_000
 
 
 def _open(uri: str):
@@ -75,7 +77,8 @@ class Inflated:
     """The bytes of a gzip file of one or many members, read in bounded pieces."""
 
     def __init__(self, source):
-        self.source, self.inflater, self.buffer, self.fed = source, zlib.decompressobj(31), b"", False
+        self.source, self.inflater, self.fed = source, zlib.decompressobj(31), False
+        self.buffer, self.at = b"", 0
 
     def _more(self) -> bool:
         while True:
@@ -92,27 +95,28 @@ class Inflated:
             self.fed = True
             got = self.inflater.decompress(rest, PIECE)
             if got:
-                self.buffer += got
+                # What has been read goes once per piece, not at every record.
+                self.buffer, self.at = self.buffer[self.at:] + got, 0
                 return True
 
     def read(self, size: int) -> bytes:
-        while len(self.buffer) < size:
+        while len(self.buffer) - self.at < size:
             if not self._more():
                 raise ValueError("the archive ends inside a record")
-        out, self.buffer = self.buffer[:size], self.buffer[size:]
-        return out
+        self.at += size
+        return self.buffer[self.at - size:self.at]
 
     def until(self, mark: bytes) -> bytes | None:
         """Bytes up to and with ``mark``; None at the end of the archive."""
-        at = self.buffer.find(mark)
-        while at < 0:
-            seen = len(self.buffer)
+        found = self.buffer.find(mark, self.at)
+        while found < 0:
+            seen = len(self.buffer) - self.at
             if not self._more():
-                if self.buffer.strip():
+                if self.buffer[self.at:].strip():
                     raise ValueError("the archive ends inside a header")
                 return None
-            at = self.buffer.find(mark, max(0, seen - len(mark)))
-        return self.read(at + len(mark))
+            found = self.buffer.find(mark, max(0, seen - len(mark)))
+        return self.read(found + len(mark) - self.at)
 
 
 def parse_head(block: bytes) -> list[tuple[bytes, bytes]]:
@@ -319,11 +323,18 @@ def archive_pages(pages: DataFrame, folder: str | None = None, at_least: int = M
     folder = folder or scratch(pages.sparkSession, "warc")
     records = settle(write_monolithic(pages, f"{folder}/monolithic"), "warc-records")
     changed = revisits(records, at_least).groupBy("archive").agg(F.collect_list(F.struct("place", "refers_to")).alias("changes"))
-    files = records.select("archive").distinct().join(changed, "archive", "left")
-    spread = files.repartition(F.col("archive"))
-    return settle(normalise(spread, f"{folder}/archives"), "warc-files")
+    files = settle(records.select("archive").distinct().join(changed, "archive", "left"), "warc-changes")
+    return settle(normalise(_spread(files), f"{folder}/archives"), "warc-files")
+
+
+def _spread(files: DataFrame) -> DataFrame:
+    """A task per archive, as far as ``MAX_TASKS`` go.
+
+    A row stands for a whole file, so the number is stated: by the bytes of its rows AQE would put them all into one task.
+    """
+    return files.repartition(min(max(files.count(), 1), MAX_TASKS), "archive")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, at_least: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Archive every page and read all of it back."""
-    return read_indexed(archive_pages(pages, folder, at_least).repartition(F.col("archive")))
+    return read_indexed(_spread(archive_pages(pages, folder, at_least)))
