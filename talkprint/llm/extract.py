@@ -8,9 +8,12 @@ short blocks.  Both ratios are laid out in page order, smoothed over the
 neighbouring blocks, fused into one score, and the paths whose score passes a
 threshold drawn from the page's own spread are content.  Whatever else stands
 in the elements that hold those blocks (headings, lists, quotes) belongs to the
-article too, unless the markup itself names it as something else.  Inside an
-``article`` or ``main`` only unmistakable names count, and all that is left of an
-``article`` is content.
+article too, unless the markup itself names it as something else.
+
+Markup informs the scores: where a page has an ``article`` or a ``main``, text
+outside of them counts with the weight ``OUTSIDE``.  It does not decide: an
+``article`` none of whose paths passes is left out, and one with such a path is
+kept whole.  Inside of them only unmistakable names rule text out.
 """
 
 import html
@@ -46,6 +49,8 @@ NAMED_INSIDE = frozenset("ad ads advert adverts advertisement adbox comments com
 NAMED_LISTS, POSTS = frozenset("related recommended trending popular".split()), frozenset("posts articles stories links".split())
 #: ... and only in names without any word but these and ``NAMED`` (``share-buttons``, but not ``market-share``).
 FURNITURE = POSTS | frozenset("area bar block box button buttons container form icons inline list section slot unit wrap wrapper".split())
+#: Names of an article inside an article that is a reader's comment.
+REMARKS = frozenset("comment comments reply replies".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Beside such a word (``has-sidebar``) a name tells how the page is laid out.
 ABOUT_LAYOUT = frozenset("has no with without".split())
@@ -59,6 +64,8 @@ SIBLINGS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
+#: Weight of the scores of text outside of what a page marks as its article.
+OUTSIDE = 0.02
 PUNCTUATION = ".,;:!?…。，、；：！？؟،।"
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
@@ -184,6 +191,8 @@ def blocks(page: str) -> list[Block]:
         named = bool(names & NAMED) and not names & ABOUT_LAYOUT and tag not in ("html", "body", "article", "main")
         if named and inside:
             named = tag not in HEADINGS and _no_article(attributes)
+        if tag == "article" and names & REMARKS:
+            named = any(e.tag == "article" for e in stack)
         rules_out = named or tag in DROPPED and not (tag == "header" and inside)
         stack.append(Element(tag, names, rules_out))
         dropped += rules_out
@@ -199,8 +208,8 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(padded, kernel, "valid")
 
 
-def content_paths(found: list[Block], spread: float = 0.5) -> set:
-    """Paths whose smoothed and fused ratios pass ``spread`` deviations of the page's scores."""
+def content_paths(found: list[Block], spread: float = 0.5, weights: np.ndarray | float = 1.0) -> set:
+    """Paths whose smoothed, fused and weighted ratios pass ``spread`` deviations of the page's scores."""
     length, marks, count = {}, {}, {}
     for b in found:
         length[b.path] = length.get(b.path, 0) + len(b.text)
@@ -208,7 +217,7 @@ def content_paths(found: list[Block], spread: float = 0.5) -> set:
         count[b.path] = count.get(b.path, 0) + 1
     text_ratio = _smooth(np.array([length[b.path] / count[b.path] for b in found]))
     mark_ratio = _smooth(np.array([(marks[b.path] + 0.1) / count[b.path] for b in found]))
-    fused = text_ratio / text_ratio.max() * mark_ratio / mark_ratio.max()
+    fused = text_ratio / text_ratio.max() * mark_ratio / mark_ratio.max() * weights
     scores: dict = {}
     for b, s in zip(found, fused, strict=True):
         scores.setdefault(b.path, []).append(s)
@@ -226,18 +235,28 @@ def main_text(page: str | None) -> str:
     found = [b for b in blocks(page) if within(b, "article", "main") or not linked(b)]
     if not found:
         return ""
-    marked = [b for b in found if within(b, "article", "main")]
-    pool = marked or found
-    chosen = content_paths(pool)
-    # The elements that directly hold content blocks, but for the page itself.
-    holders = {
-        id(b.chain[-2] if b.chain[-1].tag == "p" and len(b.chain) > 1 else b.chain[-1])
-        for b in pool if b.path in chosen and b.chain
-    }
-    page_level = {id(e) for b in pool for e in b.chain if e.tag in ("html", "body")}
-    # What the page itself marks as article, and the headings of what it marks as main, need no further sign.
-    own = lambda b: within(b, "article") or bool(marked) and within(b, *HEADINGS)
-    return " ".join(b.text for b in pool if own(b) or b.path in chosen or any(id(e) in holders - page_level for e in b.chain))
+    marked = np.array([within(b, "article", "main") for b in found])
+    chosen = content_paths(found, weights=np.where(marked, 1.0, OUTSIDE) if marked.any() else 1.0)
+    content = [b for b in found if b.path in chosen]
+    page_level = {id(e) for b in found for e in b.chain if e.tag in ("html", "body")}
+    holders = {id(holder(b)) for b in content if b.chain} - page_level
+    mains = {id(e) for b in content for e in b.chain if e.tag == "main"}
+
+    def belongs(b: Block) -> bool:
+        if b.path in chosen:
+            return True
+        up = {id(e) for e in b.chain}
+        return bool(up & holders) or bool(up & mains) and within(b, *HEADINGS)
+
+    return " ".join(b.text for b in found if belongs(b))
+
+
+def holder(b: Block) -> Element:
+    """The outermost article around a block; without one the element that directly holds it or its paragraph."""
+    articles = [e for e in b.chain if e.tag == "article"]
+    if articles:
+        return articles[0]
+    return b.chain[-2] if b.chain[-1].tag == "p" and len(b.chain) > 1 else b.chain[-1]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -190,6 +190,41 @@ def test_names_inside_an_article_do_not_rule_text_out(inner, want):
     assert extract.main_text(f"<body><nav>Home</nav><article>{inner}</article><footer>us</footer></body>") == want
 
 
+def generated_page(rng: random.Random, tag: str) -> tuple[str, str]:
+    """A page of a known article in a ``tag`` and of everything that is to go."""
+    sentence = lambda n: " ".join(rng.choice("the of and text word long some page".split()) for _ in range(n)).capitalize()
+    paragraph = lambda: " ".join(f"{sentence(rng.randint(5, 20))}, {sentence(3).lower()}." for _ in range(rng.randint(1, 6)))
+    title, texts = sentence(6), [paragraph() for _ in range(rng.randint(3, 30))]
+    menu = "".join(f"<li><a href=/{i}>{sentence(1)}</a></li>" for i in range(rng.randint(3, 12)))
+    page = (
+        f"<html><body><div><ul>{menu}</ul></div><div class=box7><span>{sentence(3)}</span></div>"
+        f"<{tag}><h1>{title}</h1>{''.join(f'<p>{t}</p>' for t in texts)}</{tag}>"
+        f"<div class=box8><span>{sentence(4)}</span></div><div class=sidebar><p>{paragraph()}</p></div><footer>{sentence(5)}</footer></body></html>"
+    )
+    return page, " ".join([title, *texts])
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section class=x1"])
+def test_generated_pages_give_their_article(tag):
+    rng = random.Random(11)
+    for _ in range(60):
+        page, want = generated_page(rng, tag)
+        assert extract.main_text(page.replace("</section class=x1>", "</section>")) == want
+
+
+def test_the_ratios_decide(monkeypatch):
+    page, want = generated_page(random.Random(3), "article")
+    assert extract.main_text(page) == want
+    # Text outside of a nearly empty article is found by its ratios.
+    assert TEXT in extract.main_text(f"<article><span>Ad</span></article><div>{ARTICLE * 20}</div>")
+    monkeypatch.setattr(extract, "content_paths", lambda *_, **__: set())
+    assert extract.main_text(page) == ""
+
+
+def test_comments_inside_an_article_go():
+    assert extract.main_text(f"<article>{ARTICLE}<article class='comment'><p>Nice, I think. So.</p></article></article>") == TEXT
+
+
 def test_headings_of_main_are_content():
     assert extract.main_text(f"<main><h1 id='social-notice'>Title</h1><div>{ARTICLE}</div></main>") == f"Title {TEXT}"
 
