@@ -5,6 +5,9 @@ the ranks of adjacent part pairs.  One step scans the ranks for the smallest,
 deletes the boundary between the two parts and refreshes the one or two ranks
 beside it.  For words of a few bytes this beats heaps and linked lists, and
 words recur, so each Python worker keeps a bounded cache of encoded words.
+Words that a batch of texts brings in are merged side by side: words of equal
+length are the rows of one array of parts and one of ranks, and as a step takes
+one boundary from every row that still has a rank, rows stay equally long.
 Only words beyond ``SHORT_WORD`` bytes use a heap, as the scans would grow with
 the square of their length.
 
@@ -19,7 +22,9 @@ import heapq
 import json
 import re
 from array import array
+from collections.abc import Iterator
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +36,8 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 CACHE_WORDS = 800_000
 NO_RANK = 1 << 60
 SHORT_WORD = 200
+GROUP_CHARS = 1_000_000
+SIDE_BY_SIDE = 50_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -45,6 +52,10 @@ def _short(key: str) -> bool:
     return len(key) <= SHORT_WORD
 
 
+def _slices(ids: np.ndarray) -> Iterator[np.ndarray]:
+    return (ids[at:at + SIDE_BY_SIDE] for at in range(0, len(ids), SIDE_BY_SIDE))
+
+
 class ByteBPE:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         with open(path, encoding="utf-8") as f:
@@ -65,6 +76,10 @@ class ByteBPE:
             left, right = map(raw, pair.split(" ") if isinstance(pair, str) else pair)
             self.ranks[self.ids[left] * self.span + self.ids[right]] = rank
             self.made.append(self.ids[left + right])
+        self.pairs = np.array(sorted(self.ranks), np.int64)
+        self.pair_ranks = np.array([self.ranks[p] for p in self.pairs.tolist()], np.int32)
+        self.made_ids = np.array(self.made, np.int32)
+        self.letter_ids = np.array(self.letters, np.int32)
         self.specials = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.texts = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.specials.items()}
         longest_first = sorted(self.specials, key=len, reverse=True)
@@ -73,7 +88,15 @@ class ByteBPE:
         self.cache_words = cache_words
         self.chunks = Recent(self.chunk, cache_words // 2, _short)
         self.known = Recent(self.word, cache_words // 4, _short)
-        self.strings = {i: str(i) for i in self.texts}
+        # Ids of chunks by packed_all: new ones, and those from before the last turn of generations.
+        self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # Decimal digits and a comma of every id, padded with zero bytes; bytes of every id, end to end.
+        last = max(self.texts)
+        self.decimal = np.array([f"{i},".encode() for i in range(last + 1)]).view(np.uint8).reshape(last + 1, -1)
+        spelt = [self.texts.get(i, b"") for i in range(last + 1)]
+        self.lengths = np.array([len(t) for t in spelt], np.int64)
+        self.starts, self.spelt = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(spelt), np.uint8)
 
     def merge(self, word: bytes) -> tuple[list[int], list[int]]:
         """Part boundaries of one word and the ids of its parts."""
@@ -124,6 +147,115 @@ class ByteBPE:
                 offer(before[i])
         return [p for p in parts if p is not None]
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; ``len(made)``, above all ranks, where there is none."""
+        keys = left.astype(np.int64) * self.span + right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], np.int32(len(self.made)))
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids, as little-endian 32-bit bytes, of words of equal length: the steps of ``merge`` on all of them at once."""
+        none, out = len(self.made), [b""] * len(words)
+        which = np.arange(len(words))
+        parts = self.letter_ids[np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)]
+        near = self.ranks_of(parts[:, :-1], parts[:, 1:])
+        while len(which):
+            at = near.argmin(1) if near.shape[1] else np.zeros(len(which), np.int64)
+            low = near[np.arange(len(which)), at] if near.shape[1] else np.full(len(which), none, np.int32)
+            done = low == none
+            if done.any():
+                width, ids = 4 * parts.shape[1], parts[done].astype("<u4").tobytes()
+                for k, row in enumerate(which[done].tolist()):
+                    out[row] = ids[width * k:width * k + width]
+                which, parts, near, at, low = (x[~done] for x in (which, parts, near, at, low))
+                if not len(which):
+                    break
+            rows, (n, m) = np.arange(len(which)), parts.shape
+            # The pair (at, at + 1) becomes one part: its inner boundary goes, and so does its rank.
+            stays = np.ones((n, m), bool)
+            stays[rows, at + 1] = False
+            parts = parts[stays].reshape(n, m - 1)
+            parts[rows, at] = self.made_ids[low]
+            stays = np.ones((n, m - 1), bool)
+            stays[rows, at] = False
+            near = near[stays].reshape(n, m - 2)
+            before, after = rows[at > 0], rows[at < m - 2]
+            near[before, at[before] - 1] = self.ranks_of(parts[before, at[before] - 1], parts[before, at[before]])
+            near[after, at[after]] = self.ranks_of(parts[after, at[after]], parts[after, at[after] + 1])
+        return out
+
+    def merge_words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids, as bytes, of every word of the pre-tokenizer; short ones side by side."""
+        by_length: dict[int, list[str]] = {}
+        out = {}
+        for word in words:
+            n = len(word) if word.isascii() else len(word.encode())
+            if n <= SHORT_WORD:
+                by_length.setdefault(n, []).append(word)
+            else:
+                out[word] = self.word(word)
+        for same in by_length.values():
+            for at in range(0, len(same), SIDE_BY_SIDE):
+                some = same[at:at + SIDE_BY_SIDE]
+                out.update(zip(some, self.merge_all([w.encode() for w in some]), strict=True))
+        return out
+
+    def merge_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids, as bytes, of chunks of text without spaces that a space precedes."""
+        if not chunks:
+            return {}
+        order = list(chunks)
+        # Each chunk opens with a space and holds no other, so that words with a space begin the chunks.
+        words = self.words.findall(" " + " ".join(order))
+        ids = self.merge_words(set(words))
+        found = list(map(ids.__getitem__, words))
+        starts = [k for k, word in enumerate(words) if word[0] == " "]
+        return {
+            chunk: found[s] if e == s + 1 else b"".join(found[s:e])
+            for chunk, s, e in zip(order, starts, [*starts[1:], len(words)], strict=True)
+        }
+
+    def packed_all(self, texts: list[str]) -> Iterator[bytes]:
+        """``packed`` of every text; what is new in about ``GROUP_CHARS`` characters of text is merged together."""
+        start = 0
+        while start < len(texts):
+            end, chars = start, 0
+            while end < len(texts) and chars < GROUP_CHARS:
+                chars += len(texts[end])
+                end += 1
+            yield from self._packed_group(texts[start:end])
+            start = end
+
+    def _packed_group(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self.held) >= self.cache_words // 2:
+            self.older, self.held = self.held, {}
+        rows, wanted = [], set()
+        for text in texts:
+            if self.special and self.special.search(text):
+                rows.append(None)
+                continue
+            first, *rest = text.split(" ")
+            found = list(map(self.held.get, rest))
+            places = [k for k, ids in enumerate(found) if ids is None]
+            lacking = [rest[k] for k in places]
+            # An empty chunk, or one that opens with white space, may share its space with the one before.
+            if any(not c or c[0].isspace() for c in lacking):
+                rows.append(None)
+                continue
+            wanted.update(lacking)
+            rows.append((first, found, places, lacking))
+        made = {c: self.older[c] for c in wanted if c in self.older}
+        made.update(self.merge_chunks(wanted.difference(made)))
+        self.held.update((c, ids) for c, ids in made.items() if len(c) <= SHORT_WORD)
+        for text, row in zip(texts, rows, strict=True):
+            if row is None:
+                yield self.packed(text)
+                continue
+            first, found, places, lacking = row
+            for k, chunk in zip(places, lacking, strict=True):
+                found[k] = made[chunk]
+            yield self.pack(first) + b"".join(found)
+
     def word(self, word: str) -> bytes:
         """Ids, as little-endian 32-bit bytes, of a word of the pre-tokenizer."""
         data = word.encode()
@@ -158,9 +290,18 @@ class ByteBPE:
     def encode(self, text: str) -> list[int]:
         return memoryview(self.packed(text)).cast("I").tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """Decimal ids joined by commas."""
+        return b"".join((d := self.decimal[some])[d > 0].tobytes() for some in _slices(ids))[:-1]
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """Text of the ids; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
+        out = []
+        for some in _slices(np.asarray(ids, np.int64)):
+            lengths = self.lengths[some]
+            ends = np.cumsum(lengths)
+            out.append(self.spelt[np.arange(ends[-1]) + np.repeat(self.starts[some] - ends + lengths, lengths)].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 @functools.cache
@@ -178,13 +319,12 @@ def encode_decode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", te
 
     def run(batches):
         bpe = codec(path)
-        names = bpe.strings
         for b in batches:
             out = [b["id"], [], [], []]
-            for t in b["text"]:
-                ids = bpe.encode(t)
+            for packed in bpe.packed_all(b["text"]):
+                ids = np.frombuffer(packed, "<u4")
                 out[1].append(len(ids))
-                out[2].append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                out[2].append(hashlib.sha256(bpe.decimals(ids)).hexdigest())
                 out[3].append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield out
 
@@ -198,7 +338,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         bpe = codec(path)
         for b in batches:
-            yield [b["id"], [bpe.encode(t) for t in b["text"]]]
+            yield [b["id"], [memoryview(p).cast("I").tolist() for p in bpe.packed_all(b["text"])]]
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return map_batches(narrow, run, f"{id_col} long, ids array<int>")

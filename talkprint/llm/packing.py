@@ -31,7 +31,7 @@ from talkprint.sources.shared import settle
 CAPACITY = 2048
 BLOCK_ITEMS = 2000
 WELL_FILLED = 0.985
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 
 class Shelf:
@@ -258,6 +258,9 @@ class LibraryBPE(bpe.ByteBPE):
         special = set(self.specials.values())
         return {t: i for t, i in self.ids.items() if i not in special}
 
+    def merge_chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        return {c: self.pack(" " + c) for c in chunks}
+
     def pack(self, text: str) -> bytes:
         if len(text) > bpe.SHORT_WORD:
             return super().pack(text)
@@ -278,11 +281,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encode = codec(path).packed
+        encode = codec(path).packed_all
         for b in batches:
             out = [[] for _ in range(5)]
-            for i, t in zip(b["id"], b["text"], strict=True):
-                ids = memoryview(encode(t) + end)
+            for i, found in zip(b["id"], encode(b["text"]), strict=True):
+                ids = memoryview(found + end)
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or min(n, capacity), n + 1, capacity)]
                 for k, (s, e) in enumerate(zip(cuts, cuts[1:])):

@@ -60,6 +60,31 @@ def test_ids_for_packing_of_real_documents(library):
     assert [ours.encode(t) for t in texts] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("texts", [ODD, random_texts(500, 7), ["a b" * 3, "x" * 300 + " y", "w " * 5000, "q\n z"] * 3], ids=["odd", "random", "long"])
+def test_texts_encoded_together_equal_library(library, texts):
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for ours in (bpe.ByteBPE(BPE), bpe.ByteBPE(BPE, cache_words=10), packing.LibraryBPE(BPE)):
+        for _ in range(2):
+            assert [np.frombuffer(p, "<u4").tolist() for p in ours.packed_all(texts)] == want
+    for ids in want:
+        assert ours.decimals(np.array(ids, np.uint32)) == ",".join(map(str, ids)).encode()
+
+
+def test_words_side_by_side_equal_words_alone():
+    ours, rng = bpe.ByteBPE(BPE), random.Random(3)
+    for n in (1, 2, 9, 60):
+        words = [bytes(rng.choice(b"abehinorst \xc3\xa9") for _ in range(n)) for _ in range(200)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours.merge_all(words)] == [ours.merge(w)[1] for w in words]
+
+
+def test_groups_and_tables_of_chunks_are_bounded():
+    small = bpe.ByteBPE(BPE, cache_words=10)
+    texts = [f"a{i} b{i} " + "z" * 250 + f"{i}" for i in range(100)]
+    for t in texts:
+        list(small.packed_all([t]))
+        assert len(small.held) + len(small.older) <= 14 and not any(len(c) > bpe.SHORT_WORD for c in small.held)
+
+
 def test_bounds_of_merged_words():
     bounds, parts = bpe.codec(BPE).merge(b" hello")
     assert bounds[0] == 0 and bounds[-1] == 6 and len(bounds) == len(parts) + 1
