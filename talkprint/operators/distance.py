@@ -11,10 +11,12 @@ quadratic in the number of *distinct* points by definition, and
 Coverage looks for nearest neighbours and need not try all pairs.  A bounded number
 of pivots parts space into cells, of which every cloud knows the distances of its
 nearest and farthest member to the pivot.  By the triangle inequality these bound
-the distance of a point to the whole cell, so a point travels only to the cells
-that may hold its nearest neighbour, and inside a block of a cell the same bounds
-are used once more (:func:`nearest`).  Nothing but pivots is collected or sent to
-all tasks.
+the distance of a point to the whole cell.  Neighbouring cells share blocks of
+bounded size; a point travels only to the blocks with a cell that may hold its
+nearest neighbour, once to each, and inside a block the same bounds are used once
+more (:func:`nearest`).  Where bounds rule nothing out, a point so meets as many
+blocks as the cloud fills, not every cell.  Nothing but pivots is collected or sent
+to all tasks.
 """
 
 import numpy as np
@@ -25,16 +27,23 @@ from pyspark.sql import functions as F
 from talkprint.sources.shared import settle
 
 BLOCK_ROWS = 2048
+BLOCKS = 16  # a cloud is cut into so many blocks before they grow
+WIDE = 8  # and blocks grow to so many times their rows: more blocks mean more copies of every row
+AT_ONCE = 1 << 20  # distances held at a time
+
+
+def _n_blocks(n: int, block_rows: int) -> int:
+    """Number of blocks of ``block_rows`` rows, or up to ``WIDE`` times as many if there would be over ``BLOCKS``."""
+    return max(1, -(-n // min(max(block_rows, -(-n // BLOCKS)), WIDE * block_rows)))
 
 
 def _blocks(points: DataFrame, keys: list[str], block_rows: int) -> tuple[DataFrame, int]:
-    """Distinct vectors with weight ``w`` in hash blocks ``blk`` of about ``block_rows``,
-    and the number of blocks.
+    """Distinct vectors with weight ``w`` in hash blocks ``blk`` and the number of blocks (:func:`_n_blocks`).
 
     Every block meets many others, so the distinct table is written once.
     """
     distinct = settle(points.groupBy(*keys, "vec").agg(F.count("*").alias("w")), "cloud")
-    n_blk = max(1, -(-distinct.count() // block_rows))
+    n_blk = _n_blocks(distinct.count(), block_rows)
     return distinct.withColumn("blk", F.pmod(F.xxhash64(*keys, "vec"), F.lit(n_blk)).cast("int")), n_blk
 
 
@@ -59,11 +68,13 @@ def _spread_cell(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": [0.0]})
     a, b = _matrix(left), _matrix(right)
     wa, wb = left["w"].to_numpy(float), right["w"].to_numpy(float)
-    d = np.sqrt(_squared(a, b))
-    if lo == hi:
-        np.fill_diagonal(d, 0.0)
-        return pd.DataFrame({"part": [float(wa @ d @ wb) / 2.0]})
-    return pd.DataFrame({"part": [float(wa @ d @ wb)]})
+    total, step = 0.0, max(1, AT_ONCE // len(b))
+    for at in range(0, len(a), step):
+        d = np.sqrt(_squared(a[at:at + step], b))
+        if lo == hi:
+            np.fill_diagonal(d[:, at:], 0.0)
+        total += float(wa[at:at + step] @ d @ wb)
+    return pd.DataFrame({"part": [total / 2.0 if lo == hi else total]})
 
 
 def reference_spread(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -151,7 +162,8 @@ def estimate_spread(points: DataFrame, pairs: int = 20_000, confidence: float =
 POINT, HUMAN, WHOLE = 0, 1, 2  # what a row of minima tells of: a point, a human for part of a group, a whole group
 PIVOTS = 128
 FEW = 64  # so many points are tried one by one
-QUERY_BLOCKS = 16  # blocks of queries that share a copy of the data they need
+QUERY_BLOCKS = 4  # blocks of queries that share a copy of the data they need, and blocks of rows in a block of data
+ROUTED = 32  # blocks of data that a block of queries is sent to at a time
 _SLACK = 1e-9  # of the larger distance: rounding of bounds must not hide a neighbour
 
 
@@ -178,14 +190,16 @@ def nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
     members = [np.flatnonzero(cell == c) for c in range(k)]
     best, index, tried = np.full(len(a), np.inf), np.zeros(len(a), int), k * (len(a) + len(b))
 
-    def look(rows: np.ndarray, c: int) -> None:
+    def look(found: np.ndarray, c: int) -> None:
         nonlocal tried
-        d2 = _squared(a[rows], b[members[c]])
-        at = d2.argmin(axis=1)
-        d = np.sqrt(d2[np.arange(len(rows)), at])
-        closer = d < best[rows]
-        best[rows[closer]], index[rows[closer]] = d[closer], members[c][at[closer]]
-        tried += d2.size
+        step = max(1, AT_ONCE // len(members[c]))
+        for rows in (found[s:s + step] for s in range(0, len(found), step)):
+            d2 = _squared(a[rows], b[members[c]])
+            at = d2.argmin(axis=1)
+            d = np.sqrt(d2[np.arange(len(rows)), at])
+            closer = d < best[rows]
+            best[rows[closer]], index[rows[closer]] = d[closer], members[c][at[closer]]
+            tried += d2.size
 
     for c in range(k):
         if len(members[c]) and len(rows := np.flatnonzero(own == c)):
@@ -210,13 +224,17 @@ def _distinct(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _pivots(distinct: DataFrame, n: int) -> np.ndarray:
-    """At most ``PIVOTS`` vectors of the cloud, spread by hash."""
+    """At most ``PIVOTS`` vectors of the cloud, spread by hash, in the order of their longest axis."""
     some = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(min(PIVOTS, int(n**0.5) + 1)).collect()
-    return np.array([r.vec for r in some])
+    found = np.array([r.vec for r in some])
+    mid = found - found.mean(axis=0)
+    axis = mid @ np.linalg.svd(mid, full_matrices=False)[2][0] if np.isfinite(mid).all() else np.zeros(len(found))
+    return found[np.argsort(axis, kind="stable")]
 
 
-def _routed(queries: DataFrame, n_queries: int, data: DataFrame, pivots: np.ndarray, block_rows: int, counter) -> DataFrame:
-    """``grp, pid, d``: distance of every query (``pid, vec``) to the nearest of every group of ``data`` (``grp, vec``)."""
+def _meeting(queries: DataFrame, n_queries: int, data: DataFrame, pivots: np.ndarray, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Queries as ``grp, sub, salt, pids, vecs``, packed for every block of ``data`` that may hold a neighbour, and
+    the blocks' rows as ``grp, sub, salt, vec``."""
     grp_type, n_blk = dict(data.dtypes)["grp"], max(1, -(-n_queries // block_rows))
 
     def place(frames):
@@ -226,12 +244,21 @@ def _routed(queries: DataFrame, n_queries: int, data: DataFrame, pivots: np.ndar
                 yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), far=d.min(axis=1))
 
     placed = settle(data.select("grp", "vec").mapInPandas(place, f"grp {grp_type}, vec array<double>, cell int, far double"), "cells")
-    sizes = placed.groupBy("grp", "cell").agg(
-        F.min("far").alias("low"), F.max("far").alias("high"), F.ceil(F.count("*") / block_rows).cast("int").alias("cuts")
+    # The cells of a group, one after the other, are cut into blocks of even size.
+    sizes = placed.groupBy("grp", "cell").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count("*").alias("n"))
+    upto, rows = F.sum("n").over(Window.partitionBy("grp").orderBy("cell")), QUERY_BLOCKS * block_rows
+    ends = [F.floor((upto - F.col("n")) / rows).cast("int").alias("first"), F.floor((upto - 1) / rows).cast("int").alias("last")]
+    cells = settle(sizes.select("grp", "cell", "low", "high", *ends), "cell-bounds")
+    groups = cells.groupBy("grp").agg(
+        (F.max("last") + 1).alias("n_sub"), F.sort_array(F.collect_list(F.struct("cell", "low", "high", "first", "last"))).alias("cells")
+    )
+    n_parts = max(1, -(-int(groups.agg(F.sum("n_sub")).first()[0] or 0) // ROUTED))
+    maps = (
+        groups.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)))
+        .withColumn("part", F.pmod(F.xxhash64("grp", "sub"), F.lit(n_parts)).cast("int"))
+        .groupBy("part", "grp").agg(F.collect_list("sub").alias("subs"), F.first("cells").alias("cells"))
     )
-    maps = sizes.groupBy("grp").agg(F.collect_list(F.struct("cell", "low", "high", "cuts")).alias("cells"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blk - 1)))
-    asking = queries.select(F.pmod(F.xxhash64("pid"), F.lit(n_blk)).cast("int").alias("blk"), "pid", "vec")
+    asking = queries.select(F.pmod(F.xxhash64("pid"), F.lit(n_blk)).cast("int").alias("blk"), _every(n_parts).alias("part"), "pid", "vec")
 
     def route(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -239,37 +266,41 @@ def _routed(queries: DataFrame, n_queries: int, data: DataFrame, pivots: np.ndar
             a = _matrix(left)
             d, pids = _distances(a, pivots), left["pid"].to_numpy()
             salt = int(left["blk"].iloc[0]) // QUERY_BLOCKS
-            for grp, cells in zip(right["grp"], right["cells"], strict=True):
-                cell, low, high, cuts = (np.array([c[k] for c in cells]) for k in ("cell", "low", "high", "cuts"))
+            for grp, subs, cells in zip(right["grp"], right["subs"], right["cells"], strict=True):
+                cell, low, high, first, last = (np.array([c[k] for c in cells]) for k in ("cell", "low", "high", "first", "last"))
                 to = d[:, cell]
                 # Some member lies as close to its pivot as the nearest one does.
-                reach = (to + low).min(axis=1)[:, None] + _SLACK * (to + 1)
-                for c, rows in enumerate((to - high <= reach).T):
+                near = to - high <= (to + low).min(axis=1)[:, None] + _SLACK * (to + 1)
+                for sub in subs:
+                    rows = near[:, (first <= sub) & (sub <= last)].any(axis=1)
                     if rows.any():
-                        packed = pids[rows].tobytes(), a[rows].tobytes()
-                        out += [(grp, int(cell[c]), sub, salt, *packed) for sub in range(int(cuts[c]))]
-        return pd.DataFrame(out, columns=["grp", "cell", "sub", "salt", "pids", "vecs"], dtype=object)
+                        out.append((grp, int(sub), salt, pids[rows].tobytes(), a[rows].tobytes()))
+        return pd.DataFrame(out, columns=["grp", "sub", "salt", "pids", "vecs"], dtype=object)
 
-    travelling = asking.groupBy("blk").cogroup(maps.withColumn("blk", every).groupBy("blk")).applyInPandas(
-        route, f"grp {grp_type}, cell int, sub int, salt int, pids binary, vecs binary"
+    travelling = asking.groupBy("blk", "part").cogroup(maps.withColumn("blk", _every(n_blk)).groupBy("blk", "part")).applyInPandas(
+        route, f"grp {grp_type}, sub int, salt int, pids binary, vecs binary"
     )
     salts = F.explode(F.sequence(F.lit(0), F.lit((n_blk - 1) // QUERY_BLOCKS)))
-    at_home = placed.join(sizes.select("grp", "cell", "cuts"), ["grp", "cell"]).select(
-        "grp", "cell", F.pmod(F.xxhash64("vec"), F.col("cuts")).cast("int").alias("sub"), salts.alias("salt"), "vec"
+    place_in = F.col("first") + F.pmod(F.xxhash64("vec"), F.col("last") - F.col("first") + 1).cast("int")
+    at_home = placed.join(cells.select("grp", "cell", "first", "last"), ["grp", "cell"]).select(
+        "grp", place_in.alias("sub"), salts.alias("salt"), "vec"
     )
-    key = ["grp", "cell", "sub", "salt"]
+    return travelling, at_home
+
+
+def _routed(queries: DataFrame, n_queries: int, data: DataFrame, pivots: np.ndarray, block_rows: int, counter) -> DataFrame:
+    """``grp, pid, d``: distance of every query (``pid, vec``) to the nearest of every group of ``data`` (``grp, vec``)."""
+    grp_type, key = dict(data.dtypes)["grp"], ["grp", "sub", "salt"]
+    travelling, at_home = _meeting(queries, n_queries, data, pivots, block_rows)
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, found = [np.zeros(0, np.int64)], [np.zeros(0)]
+        ids, found = np.zeros(0, np.int64), np.zeros(0)
         if len(left) and len(right):
             b = _matrix(right)
-            for pids, vecs in zip(left["pids"], left["vecs"], strict=True):
-                d, tried = nearest(np.frombuffer(vecs).reshape(-1, b.shape[1]), b)
-                _count(counter, tried)
-                ids.append(np.frombuffer(pids, np.int64))
-                found.append(d)
-        ids = np.concatenate(ids)
-        return pd.DataFrame({"grp": pd.Series([left["grp"].iloc[0]] * len(ids) if len(ids) else [], dtype=object), "pid": ids, "d": np.concatenate(found)})
+            found, tried = nearest(np.frombuffer(b"".join(left["vecs"])).reshape(-1, b.shape[1]), b)
+            ids = np.frombuffer(b"".join(left["pids"]), np.int64)
+            _count(counter, tried)
+        return pd.DataFrame({"grp": pd.Series([left["grp"].iloc[0]] * len(ids) if len(ids) else [], dtype=object), "pid": ids, "d": found})
 
     found = travelling.groupBy(*key).cogroup(at_home.groupBy(*key)).applyInPandas(solve, f"grp {grp_type}, pid long, d double")
     return found.groupBy("grp", "pid").agg(F.min("d").alias("d"))
@@ -281,7 +312,7 @@ def _whole_groups(groups: DataFrame, n_groups: int, humans: DataFrame, n_humans:
     Every group meets every block of humans, as each has a distance to each.
     """
     grp_type = dict(groups.dtypes)["grp"]
-    n_p, n_h = max(1, -(-n_groups // block_rows)), max(1, -(-n_humans // block_rows))
+    n_p, n_h = _n_blocks(n_groups, block_rows), _n_blocks(n_humans, block_rows)
     left = groups.select(F.pmod(F.xxhash64("grp"), F.lit(n_p)).cast("int").alias("cp"), _every(n_h).alias("ch"), "grp", "vec")
     right = humans.select(_every(n_p).alias("cp"), F.pmod(F.xxhash64("vec"), F.lit(n_h)).cast("int").alias("ch"), "w", "vec")
 

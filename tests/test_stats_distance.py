@@ -189,6 +189,28 @@ def test_groups_of_all_sizes_and_copies(spark, cloud):
         assert {r.g: r.chamfer for r in got.collect()} == pytest.approx(want)
 
 
+def test_a_point_meets_blocks_not_cells_where_no_bound_helps(spark, cloud):
+    """In many dimensions every cell is in reach; copies of a point must be as few as blocks, packed in rows of bounded size."""
+    rng, block_rows, n = np.random.default_rng(14), 25, 1500
+    p = cloud(rng.normal(0, 1, (n, 24)), [i % 3 for i in range(n)])
+    h = cloud(rng.normal(0, 1, (400, 24))).select("vec", F.col("id").cast("long").alias("pid"))
+    pivots = distance._pivots(h, 400)
+    sent, home = distance._meeting(h, 400, p.select(F.col("g").alias("grp"), "vec"), pivots, block_rows)
+    rows, blocks = sent.select("grp", "sub", (F.length("pids") / 8).alias("n")).collect(), home.groupBy("grp", "sub", "salt").count().collect()
+    fill = distance.QUERY_BLOCKS * block_rows
+    assert sum(r.n for r in rows) <= 400 * (n / fill + 3) < 400 * 3 * len(pivots)
+    assert len({(r.grp, r.sub) for r in rows}) <= n / fill + 3 and max(r["count"] for r in blocks) <= 3 * fill
+    assert max(r.n for r in rows) <= 3 * block_rows
+    got = {r.g: r.chamfer for r in distance.chamfer(p, h, d_ref(spark, 30), "g", block_rows).collect()}
+    x, hs = np.array([r.vec for r in p.orderBy("id").collect()]), np.array([r.vec for r in h.collect()])
+    assert got == pytest.approx({str(g): brute_chamfer(x[g::3], hs, 30) for g in range(3)})
+
+
+def test_blocks_grow_before_they_multiply():
+    """Copies of a row are as many as blocks of its cloud."""
+    assert [distance._n_blocks(n, 2048) for n in (0, 2048, 2049, 32_768, 51_000, 262_144, 307_000)] == [1, 1, 2, 16, 16, 16, 19]
+
+
 def test_spread_estimate_keeps_its_bound(spark, cloud):
     rng = np.random.default_rng(13)
     x = np.vstack([rng.normal(0, 1, (700, 4)), rng.normal(9, 0.2, (300, 4)), np.zeros((200, 4))])
