@@ -4,7 +4,7 @@ Four stages over the ``documents`` table, each written as Parquet in the
 session's shared folder and read back as the next one's input:
 
 1. language identification drops documents without a recognisable language, if there are labels to learn from;
-2. one document of each group of near duplicates stays, by verified likeness;
+2. one document of each group of near duplicates stays: SimHash with the pigeonhole principle, then verified likeness;
 3. suffix-array deduplication removes passages that occur elsewhere too;
 4. best-fit packing places what is left in training sequences.
 
@@ -59,7 +59,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are alike by 0.8 or more, every link verified."""
+    """One document of each group whose five-word shingles are alike by 0.8 or more.
+
+    Links are found by SimHash and, where fingerprints are too far apart at that
+    likeness, by bands of minimum hashes; every link is verified.
+    """
     return shingle_join.one_of_each(docs)
 
 

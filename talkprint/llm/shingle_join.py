@@ -1,15 +1,19 @@
-"""Near duplicates by the exact Jaccard likeness of their shingle sets: probe and verify.
-
-A 64-bit SimHash cannot serve as the probe here: at likeness 0.8 fingerprints
-differ in 9.7 of 64 bits on average, and a radius that misses next to nothing
-takes in unrelated pairs by the million.  Probes are bands of minimum hashes
-instead: sets of likeness J agree in one of ``BANDS`` bands of ``ROWS`` minima
-with probability ``1 - (1 - J^ROWS)^BANDS``, which falls short of 1 by 1.1e-9 at
-0.8.  Every link is then verified on the hashed shingles themselves.
-
-* Equal sets are one node.
-* A node is first verified against one other only, the smallest node that it
-  meets; groups of copies fall together here, in as many comparisons as nodes.
+"""Near duplicates by SimHash, verified on the exact Jaccard likeness of their shingle sets.
+
+Every set has a 64-bit SimHash; fingerprints within ``RADIUS`` bits are found with
+the generalised pigeonhole principle (:mod:`talkprint.llm.simhash`), and every link
+is verified on the hashed shingles themselves.
+
+At likeness 0.8 fingerprints differ in 9.7 of 64 bits on average, and a radius that
+misses next to nothing takes in unrelated pairs by the million.  What the
+fingerprints leave apart therefore probes by bands of minimum hashes as well: sets of
+likeness J agree in one of ``BANDS`` bands of ``ROWS`` minima with probability
+``1 - (1 - J^ROWS)^BANDS``, which falls short of 1 by 1.1e-9 at 0.8.
+
+* Equal sets are one node; equal fingerprints are one in the search by SimHash.
+* A node that its fingerprint did not join yet is first verified against one other
+  only, the smallest node that it meets in a band; groups of copies fall together
+  here, in as many comparisons as nodes.
 * In buckets whose nodes are not in one component yet, a spanning forest of the
   pairs with the most agreeing minima joins all that sizes and minima do not rule
   out (``SLACK`` is over six deviations).  Its links are verified too.
@@ -30,6 +34,7 @@ from talkprint.llm import simhash
 from talkprint.llm.common import SLICE_ROWS, map_batches, utf8
 from talkprint.sources.shared import settle
 
+RADIUS = 6
 ROWS, BANDS = 5, 52
 SLACK = 0.16
 BLOCK = 4096
@@ -57,6 +62,15 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of the set, as a signed long: bit ``b`` is set if it is set in more than half of the hashes."""
+    ones = np.zeros(simhash.BITS, np.int64)
+    for at in range(0, len(hashes), simhash.SHINGLES_AT_ONCE):
+        part = hashes[at:at + simhash.SHINGLES_AT_ONCE]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def alike(a: np.ndarray, b: np.ndarray, permille: int) -> bool:
     """Whether the likeness is at least ``permille`` thousandths, in whole numbers."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -64,24 +78,38 @@ def alike(a: np.ndarray, b: np.ndarray, permille: int) -> bool:
 
 
 def probes(rows: DataFrame, shingle: int, text_col: str) -> DataFrame:
-    """``row, node, size, keys, minima`` of every row: a hash of its set, the values of its bands, a byte of each minimum."""
+    """``row, node, size, fp, keys, minima`` of every row: a hash of its set, its SimHash, the values of its bands, a byte of
+    each minimum."""
 
     def run(batches):
         for b in batches:
-            out = [b["row"], [], [], [], []]
+            out = [b["row"], [], [], [], [], []]
             for t in b["text"]:
                 found = shingle_set(t, shingle)
                 low = minima(found)
                 keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(low.reshape(BANDS, ROWS))]
                 out[1].append(xxhash.xxh64_intdigest(found.tobytes()))
                 out[2].append(len(found))
-                out[3].append(np.array(keys, np.uint64).view(np.int64).tolist())
-                out[4].append(low.astype(np.uint8).tobytes())
+                out[3].append(fingerprint(found))
+                out[4].append(np.array(keys, np.uint64).view(np.int64).tolist())
+                out[5].append(low.astype(np.uint8).tobytes())
             out[1] = np.array(out[1], np.uint64).view(np.int64).tolist()
             yield out
 
     narrow = rows.select(F.col("__row").alias("row"), utf8(text_col).alias("text"))
-    return map_batches(narrow, run, "row long, node long, size int, keys array<long>, minima binary")
+    return map_batches(narrow, run, "row long, node long, size int, fp long, keys array<long>, minima binary")
+
+
+def near_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a, b``: pairs of nodes with equal fingerprints, and of the first nodes of fingerprints within ``radius`` bits.
+
+    Their closure is that of all pairs of nodes whose fingerprints are that near.
+    """
+    first = settle(nodes.groupBy("fp").agg(F.min("node").alias("b")), "fingerprint-nodes")
+    equal = nodes.join(first, "fp").where("node != b").select(F.col("node").alias("a"), "b")
+    near = simhash.links(first.select("fp"), radius).withColumnsRenamed({"a": "fp_a", "b": "fp_b"})
+    ends = [first.select(F.col("fp").alias(f"fp_{x}"), F.col("b").alias(x)) for x in ("a", "b")]
+    return settle(equal.unionByName(near.join(ends[0], "fp_a").join(ends[1], "fp_b").select("a", "b")), "near-fingerprints")
 
 
 def shingle_sets(wanted: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, text_col: str) -> DataFrame:
@@ -224,9 +252,13 @@ def row_components(rows: DataFrame, shingle: int, permille: int, text_col: str)
         F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     known = lambda label: nodes.join(label, "node").select("node", "size", F.col("component").alias("label"), "minima")
 
+    found = verified(near_fingerprints(nodes), nodes, rows, shingle, text_col, permille)
+    label = label_of(found)
     centres = buckets.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    first = settle(buckets.join(centres, "key").where("node != b").groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b")), "first")
-    found = verified(first, nodes, rows, shingle, text_col, permille)
+    met_first = buckets.join(centres, "key").where("node != b").groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b"))
+    of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    first = settle(met_first.join(of("a"), "a").join(of("b"), "b").where("of_a != of_b").select("a", "b"), "first")
+    found = found.unionByName(verified(first, nodes, rows, shingle, text_col, permille))
 
     label = label_of(found)
     active = buckets.join(parted(buckets, label), "key").join(known(label), "node").withColumn("hashes", F.lit(None).cast("binary"))

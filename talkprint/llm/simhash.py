@@ -230,8 +230,9 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
         return x
 
     out = []
-    for at in range(0, len(a), 1024):
-        near = np.bitwise_count(a[at:at + 1024, None] ^ b[None, :]) <= radius
+    # Few rows at a time: among near copies nearly all pairs are listed.
+    for at in range(0, len(a), 64):
+        near = np.bitwise_count(a[at:at + 64, None] ^ b[None, :]) <= radius
         for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
             x, y = top(ia[at + i]), top(ib[j])
             if x != y:

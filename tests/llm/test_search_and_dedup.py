@@ -270,6 +270,36 @@ def test_removal_equals_brute_force(spark, monkeypatch, bucket):
     assert canon(map(tuple, got)) == canon(want)
 
 
+def test_fingerprints_of_sets_lead_to_pairs_within_the_radius(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    texts = {}
+    for i in range(30):
+        words = [f"{w}x{i // 6}" for w in base]
+        for _ in range(i % 6):
+            words[rng.randrange(400)] = f"new{rng.random()}"
+        texts[i] = " ".join(words)
+    texts[30] = texts[0] + " "
+    rows = spark.createDataFrame(sorted(texts.items()), "__row long, text string")
+    nodes = shingle_join.probes(rows, 5, "text").dropDuplicates(["node"])
+    fps = {r.node: r.fp % 2**64 for r in nodes.collect()}
+    assert len(fps) == 30 and all(
+        fps[r.node] == sum((2 * sum(int(h) >> b & 1 for h in s) > len(s)) << b for b in range(64))
+        for r in shingle_join.probes(rows, 5, "text").where("row < 3").collect() for s in [shingle_join.shingle_set(texts[r.row].encode())]
+    )
+
+    def closed(pairs):
+        least = {n: n for n in fps}
+        for _ in fps:
+            for x, y in pairs:
+                least[x] = least[y] = min(least[x], least[y])
+        return least
+
+    found = [(r.a, r.b) for r in shingle_join.near_fingerprints(nodes).collect()]
+    near = [(x, y) for x in fps for y in fps if x < y and (fps[x] ^ fps[y]).bit_count() <= shingle_join.RADIUS]
+    assert near and closed(found) == closed(near)
+
+
 def test_suffix_sort_orders_and_finds_pairs():
     rng = random.Random(1)
     for trial in range(40):
