@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkprint.llm import simhash
-from talkprint.llm.common import SLICE_ROWS, map_batches, utf8
+from talkprint.llm.common import SLICE_ROWS, give_back, map_batches, utf8
 from talkprint.sources.shared import settle
 
 RADIUS = 6
@@ -234,6 +234,7 @@ def met(rows: DataFrame, permille: int, forest: bool) -> DataFrame:
                 b += [s + k for k in found[1]]
             held = held.iloc[ready[-1]:] if frame is not None else None
             yield pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])}, dtype=np.int64)
+        give_back()
 
     cells = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return cells.mapInPandas(meet, "a long, b long").distinct()

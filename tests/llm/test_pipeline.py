@@ -1,14 +1,17 @@
 """The pipeline's stages and the registered queries."""
 
 import os
+import sys
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
 from talkprint.llm import language, simhash
+from talkprint.llm.common import map_batches
 from talkprint.llm.queries import ORACLE, QUERIES
 from tests.conftest import SF
 from tests.llm.test_search_and_dedup import brute_removed
@@ -134,3 +137,26 @@ def test_run_end_to_end(spark):
     assert out.count() > 0 and fills.where("n > 2048").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "suffix_array_dedup", "best_fit_packing"]
     assert simhash.BITS == 64
+
+
+def test_a_task_gives_its_memory_back(spark):
+    one = spark.range(1).coalesce(1)
+
+    def used():
+        return sum(int(line.split()[1]) for line in open("/proc/self/smaps_rollup") if line.startswith("Pss_Anon")) / 1024
+
+    def fill(batches):
+        for _ in batches:
+            held = [np.ones(12_500) for _ in range(2_000)]
+            sys.pinned_by_test = held.pop()  # freed memory below it stays with the allocator
+            yield [[os.getpid()], [used()]]
+
+    def look(batches):
+        for _ in batches:
+            yield [[os.getpid()], [used()]]
+
+    schema = "pid long, mb double"
+    [(pid, full)] = map_batches(one, fill, schema).collect()
+    later = map_batches(one, look, schema)
+    found = (later.collect()[0] for _ in range(16))  # idle workers take turns
+    assert next(r.mb for r in found if r.pid == pid) < full - 150
