@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +99,21 @@ def test_blocks_change_nothing(spark, cloud, block_rows):
     assert mean == pytest.approx(np.mean(list(want.values())))
 
 
+def test_a_spread_cell_holds_few_distances():
+    rng = np.random.default_rng(3)
+    x, w = rng.random((5000, 6)), rng.integers(1, 4, 5000)
+    side = lambda blk, s: pd.DataFrame({"blk": blk, "w": w[s], "vec": list(x[s])})
+    a, b = slice(0, 2000), slice(2000, 5000)
+    tracemalloc.start()
+    apart = distance._spread_cell(pd.concat([side(0, a), side(1, b)], ignore_index=True).assign(ci=0, cj=1)).part[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    inside = distance._spread_cell(side(0, a).assign(ci=0, cj=0)).part[0]
+    far = lambda s: w[a] @ np.stack([np.sqrt(((p - x[s]) ** 2).sum(1)) for p in x[a]]) @ w[s]
+    assert apart == pytest.approx(far(b)) and inside == pytest.approx(far(a) / 2)
+    assert peak < 8e6  # a million distances alone take as much
+
+
 def test_spread_of_tiny_clouds(cloud):
     assert distance.reference_spread(cloud([[1, 2]])).first().d_ref == 1.0
     assert distance.reference_spread(cloud([[1, 2], [1, 2]])).first().d_ref == 1.0
