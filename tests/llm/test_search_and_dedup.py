@@ -1,5 +1,6 @@
 """Top-k search, near duplicates and substring deduplication against brute force."""
 
+import datetime
 import hashlib
 import random
 from collections import Counter
@@ -338,3 +339,17 @@ def test_removal_without_rows_and_kept_text(spark):
     df = spark.createDataFrame(rows, empty.schema)
     left = {r.doc_id: r.text for r in suffix_dedup.without_repeats(df).collect()}
     assert left[3] is None and left[4] == "short" and len(left[1].encode()) < 60 and left[1].startswith("first")
+
+
+def test_kept_text_is_computed_once_and_leaves_other_columns(spark):
+    passage = "pässage " * 60
+    at = [datetime.datetime(2024, 1, d) for d in (1, 2, 3)]
+    rows = [(1, "first " + passage, [1.5], at[0]), (2, None, None, None), (None, passage + "ünd", [], at[1]), (2, "", [None], at[2])]
+    df = spark.createDataFrame(rows, "n long, body string, v array<double>, t timestamp")
+    left = suffix_dedup.without_repeats(df, id_col="n", text_col="body").where(F.char_length("body") > 0)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("EvalPython") == 1
+    kept = [tuple(r) for r in suffix_dedup.without_repeats(df, id_col="n", text_col="body").collect()]
+    assert left.count() == 2 and left.schema == df.schema
+    assert canon([(n, v, t) for n, _, v, t in kept]) == canon([(n, v, t) for n, _, v, t in rows])
+    assert sorted(str(b) for _, b, *_ in kept) == sorted(["first", "None", "ünd", ""])
